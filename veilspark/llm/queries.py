@@ -34,9 +34,30 @@ select d.doc_id, len(w) as n_words, coalesce(len(ps), 0) as n_removed,
 from docs d left join cut c using (doc_id)
 """
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilspark.llm.ngram_jaccard import grouped
+
+    return grouped(_table(spark, sf_dir, "documents"))
+
+
+OP2_SQL = f"""
+with recursive docs as (select doc_id, {WORDS_SQL.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} as w from documents),
+sh as (select distinct doc_id, case when len(w) < 5 then array_to_string(w, ' ') else array_to_string(w[i:i + 4], ' ') end as s, len(w) < 5 as short
+       from (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) as i from docs where len(w) > 0)),
+n as (select doc_id, count(*) as n from sh group by doc_id),
+pair as (select a.doc_id as a, b.doc_id as b, count(*) as c from sh a join sh b on a.s = b.s and a.short = b.short and a.doc_id < b.doc_id group by 1, 2),
+links as (select a, b from pair join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 75 * (x.n + y.n - c)),
+edges as (select a, b from links union all select b, a from links),
+reach as (select a as node, a as r from edges union select e.b, reach.r from reach join edges e on e.a = reach.node)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, least(d.doc_id, coalesce(m.r, d.doc_id)) as component_id
+from docs d left join n using (doc_id) left join (select node, min(r) as r from reach group by node) m on m.node = d.doc_id
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_substring_dedup": op3_substring_dedup,
 }
 SQL: dict[str, str] = {
+    "op2_ngram_jaccard_join": OP2_SQL,
     "op3_substring_dedup": OP3_SQL,
 }
