@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 BLOCK = 1 << 20
 LONG = 1 << 15
 #: Words of a chunk that a map task sorts at once.
-CHUNK_WORDS = 1 << 21
+CHUNK_WORDS = 1 << 20
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
