@@ -53,9 +53,23 @@ select d.doc_id, coalesce(n.n, 0) as n_shingles, least(d.doc_id, coalesce(m.r, d
 from docs d left join n using (doc_id) left join (select node, min(r) as r from reach group by node) m on m.node = d.doc_id
 """
 
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilspark.llm.token_counts import LIMIT, count_tokens
+
+    out = count_tokens(_table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("byte_bpe_50k.json"))
+    return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > LIMIT).alias("over_limit"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_substring_dedup": op3_substring_dedup,
+    "op9_token_counts": op9_token_counts,
 }
 SQL: dict[str, str] = {
     "op2_ngram_jaccard_join": OP2_SQL,
