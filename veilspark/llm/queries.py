@@ -66,9 +66,21 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > LIMIT).alias("over_limit"))
 
 
+def packed(documents: DataFrame) -> DataFrame:
+    from veilspark.llm.packing import pack_documents
+
+    out = pack_documents(documents, vocabulary("word_bpe_49k.json"))
+    return out.select("doc_id", "start", "length", F.crc32("token_ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_length", "step_group")
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_substring_dedup": op3_substring_dedup,
+    "op8_packing": op8_packing,
     "op9_token_counts": op9_token_counts,
 }
 SQL: dict[str, str] = {
