@@ -77,11 +77,27 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(_table(spark, sf_dir, "documents"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilspark.llm import quality
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.score(docs, *quality.train(docs)).select("doc_id", "quality", "posterior", "keep")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilspark.llm import toxicity
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels"))).drop("text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_substring_dedup": op3_substring_dedup,
+    "op6_quality_classifier": op6_quality_classifier,
     "op8_packing": op8_packing,
     "op9_token_counts": op9_token_counts,
+    "op10_toxicity": op10_toxicity,
 }
 SQL: dict[str, str] = {
     "op2_ngram_jaccard_join": OP2_SQL,
