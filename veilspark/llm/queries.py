@@ -91,10 +91,26 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels"))).drop("text")
 
 
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilspark.llm.embedding_dedup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+OP7_SQL = """
+with recursive v as (select vec_id, label, list_transform(embedding, lambda x: x::double) as e from embeddings),
+ok as (select vec_id, label, e from v where label is not null and e is not null and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(e, lambda x: x != 0)) > 0),
+links as (select a.vec_id as a, b.vec_id as b from ok a join ok b on a.label = b.label and a.vec_id != b.vec_id and len(a.e) = len(b.e) where list_cosine_similarity(a.e, b.e) >= 0.93),
+reach as (select a as node, least(a, b) as r from links union select l.b, reach.r from reach join links l on l.a = reach.node)
+select v.vec_id, (select count(*) from links l where l.a = v.vec_id) as n_links, least(v.vec_id, coalesce(m.r, v.vec_id)) as component_id, v.vec_id = least(v.vec_id, coalesce(m.r, v.vec_id)) as kept
+from v left join (select node, min(r) as r from reach group by node) m on m.node = v.vec_id
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_substring_dedup": op3_substring_dedup,
     "op6_quality_classifier": op6_quality_classifier,
+    "op7_embedding_near_dedup": op7_embedding_near_dedup,
     "op8_packing": op8_packing,
     "op9_token_counts": op9_token_counts,
     "op10_toxicity": op10_toxicity,
@@ -102,4 +118,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 SQL: dict[str, str] = {
     "op2_ngram_jaccard_join": OP2_SQL,
     "op3_substring_dedup": OP3_SQL,
+    "op7_embedding_near_dedup": OP7_SQL,
 }
