@@ -106,9 +106,31 @@ select v.vec_id, (select count(*) from links l where l.a = v.vec_id) as n_links,
 from v left join (select node, min(r) as r from reach group by node) m on m.node = v.vec_id
 """
 
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilspark.llm.decontamination import contaminated
+
+    return contaminated(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
+
+
+_PLAIN = "translate(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '.,;:!?\"''()[]', '')"
+_SEED_WORDS = r"regexp_extract_all(" + _PLAIN + r", '[^\x20\x09-\x0D]+')"
+_MASK_SQL = "[[0, 1, 2, 3, 4, 5], [0, 1, 3, 4, 7, 9], [0, 2, 3, 6, 7, 8], [0, 1, 2, 5, 8, 10]]"
+OP4_SQL = f"""
+with d as (select doc_id, {_SEED_WORDS} as w from documents), b as (select item_id, {_SEED_WORDS} as w from benchmark),
+mask as (select unnest({_MASK_SQL}) as m, unnest(range(4)) as k),
+ds as (select doc_id, p, k, array_to_string(list_transform(m, lambda o: w[p + o + 1]), ' ') as s from (select doc_id, w, unnest(range(len(w) - 10)) as p from d where len(w) >= 11), mask),
+bs as (select distinct item_id, q, k, array_to_string(list_transform(m, lambda o: w[q + o + 1]), ' ') as s from (select item_id, w, unnest(range(len(w) - 10)) as q from b where len(w) >= 11), mask),
+hit as (select distinct doc_id, item_id, p - q as g from ds join bs using (k, s)),
+lay as (select doc_id, item_id, g, greatest(0, -g) as f, least(len(b.w), len(d.w) - g) as z, least(20, len(b.w)) as size, d.w as dw, b.w as bw from hit join d using (doc_id) join b using (item_id)),
+eq as (select doc_id, item_id, g, size, list_transform(range(f, z), lambda i: (dw[g + i + 1] = bw[i + 1])::int) as e from lay where z - f >= size),
+best as (select doc_id, item_id, g, size, list_max(list_transform(range(1, len(e) - size + 2), lambda i: list_sum(e[i:i + size - 1]))) as o from eq)
+select doc_id, item_id, max(o)::int as overlap, arg_max(g, o * 1000000 - g) as start from best where 100 * o >= 80 * size group by 1, 2
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_embedding_near_dedup": op7_embedding_near_dedup,
     "op8_packing": op8_packing,
@@ -118,5 +140,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 SQL: dict[str, str] = {
     "op2_ngram_jaccard_join": OP2_SQL,
     "op3_substring_dedup": OP3_SQL,
+    "op4_benchmark_decontamination": OP4_SQL,
     "op7_embedding_near_dedup": OP7_SQL,
 }
