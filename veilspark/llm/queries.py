@@ -34,6 +34,12 @@ select d.doc_id, len(w) as n_words, coalesce(len(ps), 0) as n_removed,
 from docs d left join cut c using (doc_id)
 """
 
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilspark.llm.url_filter import judged
+
+    return judged(_table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veilspark.llm.ngram_jaccard import grouped
 
@@ -128,6 +134,7 @@ select doc_id, item_id, max(o)::int as overlap, arg_max(g, o * 1000000 - g) as s
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filters": op1_url_filters,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
