@@ -133,11 +133,19 @@ best as (select doc_id, item_id, g, size, list_max(list_transform(range(1, len(e
 select doc_id, item_id, max(o)::int as overlap, arg_max(g, o * 1000000 - g) as start from best where 100 * o >= 80 * size group by 1, 2
 """
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilspark.llm import kneser_ney
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2).alias("held_out"))
+    return kneser_ney.score(docs, kneser_ney.train(docs.where("not held_out"))).drop("text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
+    "op5_lm_scoring": op5_lm_scoring,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_embedding_near_dedup": op7_embedding_near_dedup,
     "op8_packing": op8_packing,
