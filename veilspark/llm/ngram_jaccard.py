@@ -11,9 +11,9 @@ signatures of every power that a partner's size may have.
    gets back those of two documents or more, the only ones that can match, and falls out if they can't reach the
    threshold. A chunk that sees a hash in HOT documents or more tells its own documents itself and sends one entry.
 2. Equal sets are one class from here on; one copy stands for all.
-3. Within a signature every document is verified against a pivot, and what is linked gets one component. Only members
-   of a signature that are in another component than most of its members are then verified against all the others, so
-   that no link between components is lost and pairs within a linked group are not made.
+3. Every document is verified against the most central pivot of its signatures, and what is linked gets one component.
+   Only members of a signature that are in another component than most of its members are then verified against those
+   and one another, in tiles, so that no link between components is lost and pairs within a linked group are not made.
 
 Defined cases: null, empty or blank texts have an empty set and link with nothing, not even with one another; fewer
 words than a shingle make one shingle; rows that share an id are one document with the union of their sets; rows
@@ -36,12 +36,14 @@ from veilspark.llm.shared import runs
 SHINGLE, PERCENT = 5, 75
 #: Documents of a chunk from which a token is told to them at once; documents up to which a token is rare.
 HOT, RARE = 32, 8
+#: Documents of a tile's side, and tokens that a tile's matrices hold at once.
+BLOCK, _COLUMNS = 128, 1 << 14
 _EVERYWHERE = np.int32(2**31 - 1)
 
 _WIRE = T.StructType([T.StructField("_part", T.IntegerType()), T.StructField("_kind", T.IntegerType()), *(T.StructField(c, T.BinaryType()) for c in ("_ids", "_a", "_b", "_c"))])
 #: Blocks: tokens with a document; tokens that are hot somewhere; frequencies by document; size and fingerprint of sets.
 _TOKENS, _HOTTEST, _TOLD, _SETS = range(4)
-_SET = T.StructType([T.StructField("_id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("f0", T.LongType()), T.StructField("f1", T.LongType()), T.StructField("rare", T.IntegerType()), T.StructField("tokens", T.ArrayType(T.LongType()))])
+_SET = T.StructType([T.StructField("_id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("f0", T.LongType()), T.StructField("f1", T.LongType()), T.StructField("rare", T.IntegerType()), T.StructField("central", T.DoubleType()), T.StructField("tokens", T.ArrayType(T.LongType()))])
 
 
 def _blocks(part: np.ndarray, kind: int, *columns: np.ndarray, delta: int = -1) -> pa.RecordBatch:
@@ -188,12 +190,13 @@ def _sets(percent: int):
         order = np.lexsort((t, df, place))
         t, df, place = t[order], df[order], place[order]
         rare = np.bincount(place[df <= RARE], minlength=len(ids)).astype(np.int32)
+        central = np.bincount(place, np.log2(np.minimum(df, 4096)), len(ids)) / np.maximum(n, 1)
         offsets = np.concatenate([[0], np.cumsum(np.where(able, held, 0))]).astype(np.int32)
         for i in range(0, len(ids), shared.BATCH_ROWS):
             j = min(len(ids), i + shared.BATCH_ROWS)
             a, z = int(offsets[i]), int(offsets[j])
             lists = pa.ListArray.from_arrays(pa.array(np.append(offsets[i:j] - a, z - a).astype(np.int32), mask=np.append(~able[i:j], False)), pa.array(t[a:z].view(np.int64)))
-            yield shared.batch(_SET, [ids[i:j], n[i:j], f0[i:j].view(np.int64), f1[i:j].view(np.int64), rare[i:j], lists.cast(pa.list_(pa.int64()))])
+            yield shared.batch(_SET, [ids[i:j], n[i:j], f0[i:j].view(np.int64), f1[i:j].view(np.int64), rare[i:j], central[i:j], lists.cast(pa.list_(pa.int64()))])
 
     return run
 
@@ -230,24 +233,32 @@ def signatures(n: int, rare: int, tokens: np.ndarray, percent: int) -> np.ndarra
 
 
 def _signed(percent: int):
-    """(signature, id, n) for documents."""
+    """(signature, id, n, own, central) for documents; own: how many of the n tokens no other document has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, n, rare = (b.column(i).to_numpy() for i in range(3))
-            lists = b.column(3)
-            flat, at = lists.flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+            ids, n, rare, central = (b.column(i).to_numpy() for i in range(4))
+            lists = b.column(4)
+            flat, held = lists.flatten().to_numpy().view(np.uint64), lists.value_lengths().to_numpy()
+            at = np.concatenate([[0], np.cumsum(held)])
             each = [signatures(int(n[i]), int(rare[i]), flat[at[i] : at[i + 1]], percent) for i in range(len(ids))]
             times = np.array([len(x) for x in each])
             if not times.sum():
                 continue
-            sig, who, size = np.concatenate(each).view(np.int64), np.repeat(ids, times), np.repeat(n, times)
-            for i in range(0, len(sig), 1 << 17):
-                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 17)]) for x in (sig, who, size)], names=["sig", "id", "n"])
+            columns = [np.concatenate(each).view(np.int64), *(np.repeat(x, times) for x in (ids, n, n - held, central))]
+            for i in range(0, len(columns[0]), 1 << 17):
+                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 17)]) for x in columns], names=["sig", "id", "n", "own", "central"])
 
     return run
 
 
+def _able(percent: int, n: str = "n", own: str = "own", m: str = "nx", other: str = "ownx") -> str:
+    """SQL: whether sets of n and m tokens may link. What either alone has is in the union and not in the intersection,
+    so that of at most c common tokens c / (c + own + other) has to reach the threshold."""
+    common = f"least({n} - {own}, {m} - {other})"
+    return f"100 * {common} >= {percent} * ({common} + {own} + {other}) and 100 * {common} >= {percent} * greatest({n}, {m})"
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that link."""
     one = sets.select(F.col("_id").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
@@ -256,6 +267,69 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(f"100 * common >= {percent} * (na + nb - common)").select("a", "b")
 
 
+def _tile(percent: int):
+    """Links between a block of outsiders and a block of documents of other components, one for each component."""
+
+    def run(table: pa.Table) -> pa.Table:
+        side, ids, n, own, part = (table.column(c).to_numpy() for c in ("side", "id", "n", "own", "component"))
+        lists = table.column("tokens").combine_chunks()
+        flat, held = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
+        row = np.repeat(np.arange(len(ids)), held)
+        x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        found: list[tuple[int, int]] = []
+        if len(x) and len(y):
+            most = np.minimum((n - own)[x][:, None], (n - own)[y][None, :])
+            able = (100 * most >= percent * (most + own[x][:, None] + own[y][None, :])) & (part[x][:, None] != part[y][None, :])
+            x, y = x[able.any(1)], y[able.any(0)]
+        if len(x) and len(y):
+            place = np.full(len(ids), -1)
+            place[x], place[y] = np.arange(len(x)), np.arange(len(y))
+            keep = place[row] >= 0
+            flat, row = flat[keep], row[keep]
+            vocabulary, code = np.unique(flat, return_inverse=True)
+            first = side[row] == 0
+            common = np.zeros((len(x), len(y)), np.float32)
+            order = np.argsort(code, kind="stable")
+            code, row, first = code[order], row[order], first[order]
+            for c in range(0, len(vocabulary), _COLUMNS):
+                i, j = np.searchsorted(code, [c, c + _COLUMNS])
+                left, right = np.zeros((len(x), _COLUMNS), np.float32), np.zeros((len(y), _COLUMNS), np.float32)
+                f = first[i:j]
+                left[place[row[i:j][f]], code[i:j][f] - c] = 1
+                right[place[row[i:j][~f]], code[i:j][~f] - c] = 1
+                common += left @ right.T
+            whole = n[x][:, None] + n[y][None, :] - common
+            hits = np.argwhere((100 * common >= percent * whole) & (part[x][:, None] != part[y][None, :]))
+            seen = set()
+            for i, j in hits.tolist():
+                if (key := (i, part[y[j]])) not in seen:
+                    seen.add(key)
+                    found.append((int(ids[x[i]]), int(ids[y[j]])))
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    return run
+
+
+def _across(signed: DataFrame, reps: DataFrame, label: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components. Of the members of a signature, those outside its most common component are
+    compared with that component and with one another, in tiles of BLOCK x BLOCK documents whose token sets meet as
+    matrices: every pair of one signature and two components is in some tile, rows are made for blocks and not for pairs."""
+    named = signed.select("sig", "id").join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    each = named.groupBy("sig", "component").agg(F.count("*").alias("c"))
+    mixed = each.groupBy("sig").agg(F.max_by("component", F.struct("c", "component")).alias("home"), F.count("*").alias("kinds")).where("kinds > 1")
+    outside = named.join(mixed.select("sig", "home"), "sig").where("component != home").select("home", "id").distinct().checkpoint()
+    sets = reps.selectExpr("_id as id", "n", "n - size(tokens) as own", "tokens").join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    homes = outside.groupBy("home").agg(F.count("*").alias("s"))
+    inside = sets.select("id", "component").join(homes.select(F.col("home").alias("component")), "component", "left_semi").select(F.col("component").alias("home"), "id")
+    everyone = inside.union(outside)
+    sizes = everyone.groupBy("home").agg(F.count("*").alias("g")).join(homes, "home").selectExpr("home", f"ceil(s / {BLOCK}) as rows", f"ceil(g / {BLOCK}) as cols")
+    block = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    left = outside.join(sizes, "home").select("home", "id", F.lit(0).alias("side"), block("rows").alias("i"), F.explode(F.expr("sequence(0, cast(cols as int) - 1)")).alias("j"))
+    right = everyone.join(sizes, "home").select("home", "id", F.lit(1).alias("side"), F.explode(F.expr("sequence(0, cast(rows as int) - 1)")).alias("i"), block("cols").alias("j"))
+    tiles = left.union(right.select(*left.columns)).join(sets, "id")
+    return tiles.groupBy("home", "i", "j").applyInArrow(_tile(percent), "a long, b long")
+
+
 def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id), a row for each id."""
     spark = shared.prepared(docs.sparkSession)
@@ -266,21 +340,16 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     sets = shared.routed(told, n).mapInArrow(_sets(percent), _SET).checkpoint()
     able = sets.where("tokens is not null")
     copies = able.groupBy("n", "f0", "f1").agg(F.min("_id").alias("rep"), F.count("*").alias("c"))
-    reps = able.join(copies.select(F.col("rep").alias("_id")), "_id", "left_semi").select("_id", "n", "rare", "tokens").checkpoint()
-    signed = reps.mapInArrow(_signed(percent), "sig long, id long, n long")
-    # a pivot for each signature; of its pivots a document tries the smallest
-    pivots = signed.groupBy("sig").agg(F.min("id").alias("a"), F.count("*").alias("c")).where("c > 1").select("sig", "a")
-    first = signed.join(pivots, "sig").where("a < id").groupBy(F.col("id").alias("b")).agg(F.min("a").alias("a"))
+    reps = able.join(copies.select(F.col("rep").alias("_id")), "_id", "left_semi").select("_id", "n", "rare", "central", "tokens").checkpoint()
+    signed = reps.mapInArrow(_signed(percent), "sig long, id long, n long, own long, central double")
+    # the pivot of a signature is its most central document, which copies that differ in different places still link to
+    place = F.struct("central", (-F.col("id")).alias("less"), F.col("n").alias("nx"), F.col("own").alias("ownx"))
+    pivots = signed.groupBy("sig").agg(F.max(place).alias("p"), F.count("*").alias("c")).where("c > 1").select("sig", "p")
+    tried = signed.join(pivots, "sig").selectExpr("id as b", "n", "own", "p", "-p.less as a", "p.nx", "p.ownx").where(f"a != b and {_able(percent)}")
+    first = tried.groupBy("b").agg(F.max("p").alias("p")).selectExpr("b", "-p.less as a")
     links = _verified(first, reps, percent).checkpoint()
     label = shared.components(links)
-    named = signed.join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    each = named.groupBy("sig", "component").agg(F.count("*").alias("c"))
-    mixed = each.groupBy("sig").agg(F.max_by("component", F.struct("c", "component")).alias("most"), F.count("*").alias("kinds")).where("kinds > 1")
-    members = named.join(mixed.select("sig", "most"), "sig").select("sig", "id", "n", "component", "most").checkpoint()
-    few = members.where("component != most").select("sig", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
-    near = members.join(few, "sig").where(f"component != cx and 100 * n >= {percent} * nx and 100 * nx >= {percent} * n")
-    pairs = near.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
-    more = _verified(pairs, reps, percent).checkpoint()
+    more = _across(signed, reps, label, percent).checkpoint()
     if not more.isEmpty():
         label = shared.components(links.union(more))
     copies = able.select("_id", "n", "f0", "f1").join(copies.where("c > 1").select("n", "f0", "f1", "rep"), ["n", "f0", "f1"]).select("_id", "rep")
