@@ -5,6 +5,274 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from veilspark.functions import extract, language, patterns, replacement
+from veilspark.operators import compare, detect, verify
+from veilspark.plans import intervals
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+
+
+# DuckDB has no lookaround: a match captures what stands before and after it
+_OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+_IPV4 = rf"(?:^|[^\w.])((?:{_OCTET}\.){{3}}{_OCTET})(?:$|[^\w.]|\.$|\.[^\d])"
+_PHONE = r"(?:^|[^\w+])(\+(?:[0-8]|9[02-9]|9\s)\d{0,2}[\s.-]?\(?\d{1,4}\)?(?:[\s.-]?\d{2,4}){2,4})(?:$|[^\d])"
+_HEX = r"(?:^|[^0-9a-zA-Z_])([0-9a-f]{128}|[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32}|[0-9A-F]{64}|[0-9A-F]{40})(?:$|[^0-9a-zA-Z_])"
+_CARD = r"(?:^|[^\w-])(\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}|\d{4}[ -]?\d{6}[ -]?\d{5})(?:$|[^\w-])"
+_EMAIL = r"(?:^|[^\w.%+-])([A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62})(?:\.[A-Za-z0-9-]{1,63})*\.[A-Za-z]{2,24})(?:$|[^\w.-]|\.$|\.[^A-Za-z0-9])"
+
+
+def _each(pattern: str, columns: str = "doc_id, source") -> str:
+    return f"select {columns}, unnest(regexp_extract_all(text, '{pattern}', 1)) as value from documents"
+
+
+@query()
+def pii_label_counts(spark, sf_dir):
+    """Detections by label and source, overlaps resolved."""
+    docs = documents(spark, sf_dir)
+    found = detect.detections(docs.withColumn("key", F.struct("doc_id", "source")), "key")
+    return found.groupBy(F.col("key.source").alias("source"), "label").agg(F.count("*").alias("n"), F.count_distinct("key.doc_id").alias("documents"))
+
+
+@query()
+def pii_detections(spark, sf_dir):
+    return detect.detections(documents(spark, sf_dir))
+
+
+@query(f"select source, count(*) as n, count(distinct doc_id) as documents, count(distinct value) as distinct_values from ({_each(_IPV4)}) group by source")
+def ipv4_by_source(spark, sf_dir):
+    found = documents(spark, sf_dir).select("doc_id", "source", F.explode(extract.ipv4(F.col("text"))).alias("value"))
+    return found.groupBy("source").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("documents"), F.count_distinct("value").alias("distinct_values"))
+
+
+@query(f"select doc_id, value, regexp_matches(lower(split_part(value, '@', 2)), '(?:^|\\.)example\\.[a-z.]{{2,}}$|\\.(?:example|test|invalid|localhost)$|^localhost$') as dummy, count(*) as n from ({_each(_EMAIL)}) where value not like '%..%' group by all")
+def emails_with_dummy_flag(spark, sf_dir):
+    found = documents(spark, sf_dir).select("doc_id", F.explode(extract.emails(F.col("text"))).alias("e"))
+    return found.groupBy("doc_id", F.col("e.value").alias("value"), F.col("e.dummy").alias("dummy")).agg(F.count("*").alias("n"))
+
+
+_LUHN = "list_sum(list_transform(range(1, length(d) + 1), lambda i: case when (length(d) - i) % 2 = 0 then d[i]::int else case when d[i]::int * 2 > 9 then d[i]::int * 2 - 9 else d[i]::int * 2 end end)) % 10 = 0"
+
+
+@query(f"select distinct doc_id, value, {_LUHN} as luhn from (select doc_id, value, regexp_replace(value, '[^0-9]', '', 'g') as d from ({_each(_CARD)})) where length(d) between 13 and 19 and length(regexp_replace(d, d[1], '', 'g')) > 0")
+def card_numbers_luhn(spark, sf_dir):
+    found = documents(spark, sf_dir).select("doc_id", F.explode(extract.cards(F.col("text"))).alias("c"))
+    return found.select("doc_id", F.col("c.value").alias("value"), F.col("c.luhn").alias("luhn")).distinct()
+
+
+@query(f"select doc_id, value from ({_each(_PHONE)}) where length(regexp_replace(value, '[^0-9]', '', 'g')) between 8 and 15 and value not like '+91%'")
+def phones_international(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", F.explode(extract.phones(F.col("text"))).alias("value"))
+
+
+@query(f"select source, length(value)::int as digits, count(*) as n from ({_each(_HEX)}) where regexp_matches(value, '[0-9]') and regexp_matches(value, '[a-fA-F]') group by all")
+def hex_digests(spark, sf_dir):
+    found = documents(spark, sf_dir).select("source", F.explode(extract.digests(F.col("text"))).alias("value"))
+    return found.groupBy("source", F.length("value").alias("digits")).agg(F.count("*").alias("n"))
+
+
+@query("""select lang, count(*) as documents, sum(len(regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}]+|[^\\s\\p{L}\\p{M}\\p{N}]')))::bigint as tokens from documents group by lang""")
+def token_counts_by_language(spark, sf_dir):
+    return documents(spark, sf_dir).groupBy("lang").agg(F.count("*").alias("documents"), F.sum(F.size(extract.tokens(F.col("text")))).alias("tokens"))
+
+
+@query("""with u as (select page_id, unnest(regexp_extract_all(html, '(?:https?://|www\\.)[^\\s<>"'']+')) as v from pages)
+select page_id, regexp_replace(v, '[.,;:]+$', '') as value, count(*) as n from u group by all""")
+def urls_in_pages(spark, sf_dir):
+    found = table(spark, sf_dir, "pages").select("page_id", F.explode(extract.urls(F.col("html"))).alias("value"))
+    return found.groupBy("page_id", "value").agg(F.count("*").alias("n"))
+
+
+@query(f"""with f as (select doc_id, 'IP/MAC Address' as label from ({_each(_IPV4)}) union all select doc_id, 'SHA/SSH/Hash Key' from ({_each(_HEX)}) where regexp_matches(value, '[0-9]') and regexp_matches(value, '[a-fA-F]')
+union all select doc_id, 'Person Phone No' from ({_each(_PHONE)}) where length(regexp_replace(value, '[^0-9]', '', 'g')) between 8 and 15 and value not like '+91%')
+select label, place, coalesce(n, 0) as n from (values {', '.join(f"('{n}', {k})" for k, (n, _) in enumerate(patterns.LABELS))}) t(label, place) left join (select label, count(*) as n from f group by label) using (label)""")
+def zero_filled_label_counts(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    found = docs.select(F.explode(F.concat(F.transform(extract.ipv4(F.col("text")), lambda _: F.lit("IP/MAC Address")), F.transform(extract.digests(F.col("text")), lambda _: F.lit("SHA/SSH/Hash Key")), F.transform(extract.phones(F.col("text")), lambda _: F.lit("Person Phone No")))).alias("label"))
+    return compare.filled_counts(found, "label", tuple(n for n, _ in patterns.LABELS)).select("label", "place", "n")
+
+
+@query(f"select role, count(*) as turns, sum(len(regexp_extract_all(text, '{_IPV4}', 1)))::bigint as addresses, sum(len(regexp_extract_all(text, '\\d{{4,}}')))::bigint as numbers from conversations group by role")
+def pii_in_conversations_by_role(spark, sf_dir):
+    t = table(spark, sf_dir, "conversations")
+    return t.groupBy("role").agg(F.count("*").alias("turns"), F.sum(F.size(extract.ipv4(F.col("text")))).alias("addresses"), F.sum(F.regexp_count("text", F.lit(r"[0-9]{4,}"))).cast("long").alias("numbers"))
+
+
+@query(f"""select quality, toxic, count(*) as documents, sum(n)::bigint as addresses from (select doc_id, len(regexp_extract_all(text, '{_IPV4}', 1)) as n from documents) join labels using (doc_id) group by all""")
+def pii_density_by_label(spark, sf_dir):
+    n = documents(spark, sf_dir).select("doc_id", F.size(extract.ipv4(F.col("text"))).alias("n"))
+    return n.join(table(spark, sf_dir, "labels"), "doc_id").groupBy("quality", "toxic").agg(F.count("*").alias("documents"), F.sum("n").alias("addresses"))
+
+
+_SPANS = """spans as (select l_orderkey as doc, (l_partkey % 400)::int as start, (l_partkey % 400 + 1 + l_quantity)::int as "end", case l_linenumber % 3 when 0 then 'Person Name' when 1 then 'Person Email' else 'Account Number' end as label,
+ round(0.5 + l_discount * 4, 2) as confidence, l_linenumber as ord, l_linenumber % 2 as side from lineitem)"""
+
+
+def _spans(spark, sf_dir) -> DataFrame:
+    """Spans of made-up documents, one for each order; lines are spans."""
+    li = table(spark, sf_dir, "lineitem")
+    label = F.expr("case l_linenumber % 3 when 0 then 'Person Name' when 1 then 'Person Email' else 'Account Number' end")
+    return li.select(F.col("l_orderkey").alias("doc"), F.expr("cast(l_partkey % 400 as int)").alias("start"), F.expr("cast(l_partkey % 400 + 1 + l_quantity as int)").alias("end"), label.alias("label"), F.expr("round(0.5 + l_discount * 4, 2)").alias("confidence"), F.col("l_linenumber").alias("ord"), F.expr("l_linenumber % 2").alias("side"))
+
+
+def _sides(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    s = _spans(spark, sf_dir)
+    return s.where("side = 0").drop("side", "ord", "confidence").distinct(), s.where("side = 1").select("doc", F.col("start").alias("b_start"), F.col("end").alias("b_end"), F.col("label").alias("b_label")).distinct()
+
+
+_SIDES = _SPANS + """, a as (select distinct doc, start, "end", label from spans where side = 0), b as (select distinct doc, start as b_start, "end" as b_end, label as b_label from spans where side = 1)"""
+
+
+@query(f"""with {_SIDES} select a.doc, start, "end", label, b_start, b_end, b_label from a join b on a.doc = b.doc and start < b_end and b_start < "end" """)
+def interval_overlap_join(spark, sf_dir):
+    a, b = _sides(spark, sf_dir)
+    return intervals.overlap_join(a, b, "doc")
+
+
+@query(f"""with {_SIDES} select * from a where not exists (select 1 from b where a.doc = b.doc and start < b_end and b_start < "end")""")
+def interval_anti_join(spark, sf_dir):
+    a, b = _sides(spark, sf_dir)
+    return intervals.overlap_join(a, b, "doc", "left_anti").select("doc", "start", "end", "label")
+
+
+@query(f"""with {_SIDES}, m as (select a.*, b_start, b_end, b_label, least("end", b_end) - greatest(start, b_start) as overlap from a join b on a.doc = b.doc and start < b_end and b_start < "end"),
+r as (select *, row_number() over (partition by doc, start, "end", label order by overlap desc, (label = b_label) desc, case when label = b_label then -b_start else b_start end) as n from m) select * exclude (n) from r where n = 1
+ and (select count(*) from m x where x.doc = r.doc and x.start = r.start and x."end" = r."end" and x.label = r.label and x.overlap = r.overlap and (x.label = x.b_label) = (r.label = r.b_label) and x.b_start = r.b_start) = 1""")
+def interval_best_overlap(spark, sf_dir):
+    a, b = _sides(spark, sf_dir)
+    # where two candidates are alike in all that decides, either may win: those are left to neither side
+    met = intervals.overlap_join(a, b, "doc").withColumn("overlap", F.least("end", "b_end") - F.greatest("start", "b_start"))
+    alike = met.groupBy("doc", "start", "end", "label", "overlap", (F.col("label") == F.col("b_label")).alias("same"), "b_start").agg(F.count("*").alias("c"))
+    best = intervals.best_overlap(a, b, "doc").withColumn("same", F.col("label") == F.col("b_label"))
+    return best.join(alike, ["doc", "start", "end", "label", "overlap", "same", "b_start"]).where("c = 1").drop("c", "same")
+
+
+@query(f"""with {_SPANS}, r as (select *, row_number() over (partition by doc, start, "end", label order by confidence desc, ord) as n from spans) select doc, start, "end", label, confidence from r where n = 1""")
+def same_span_dedupe(spark, sf_dir):
+    return intervals.surest(_spans(spark, sf_dir), ["doc"]).select("doc", "start", "end", "label", "confidence")
+
+
+@query(f"""with {_SPANS}, w as (select doc, start, "end", max("end") over (partition by doc order by start, "end" rows between unbounded preceding and 1 preceding) as b from spans),
+g as (select *, sum(case when b is null or start - b > 12 then 1 else 0 end) over (partition by doc order by start, "end" rows unbounded preceding) as island from w)
+select doc, island::bigint as island, min(start) as start, max("end") as "end", count(*) as n from g group by doc, island""")
+def change_clusters(spark, sf_dir):
+    rows = intervals.islands(_spans(spark, sf_dir), ["doc"], "start", "end", 12)
+    return rows.groupBy("doc", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n"))
+
+
+@query(f"""with {_SPANS}, r as (select label, doc, start, "end", confidence, row_number() over (partition by label order by confidence desc, doc, start, "end") as n from spans) select label, doc, start, "end", confidence from r where n <= 100""")
+def page_of_each_label(spark, sf_dir):
+    """The first 100 of each label, a report."""
+    rows = _spans(spark, sf_dir).select("label", "doc", "start", "end", "confidence")
+    return intervals.top_k(rows, ["label"], [F.desc("confidence"), F.col("doc"), F.col("start"), F.col("end")], 100)
+
+
+@query()
+def greedy_disjoint_spans(spark, sf_dir):
+    rank = F.create_map(*(F.lit(x) for k, n in enumerate(patterns.SPECIFICITY) for x in (n, k)))
+    each = _spans(spark, sf_dir).groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("start", "end", "label", "confidence"))).alias("s"))
+    return each.select("doc", F.explode(intervals.disjoint(F.col("s"), rank)).alias("s")).select("doc", "s.*")
+
+
+@query("""select l_linestatus, l_returnflag, list_sort(list(l_quantity::double))[(count(*) // 2 + 1)::int] as median from lineitem group by all""")
+def upper_medians(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").groupBy("l_linestatus", "l_returnflag").agg(intervals.upper_median(F.collect_list(F.col("l_quantity").cast("double"))).alias("median"))
+
+
+@query("""with e as (select user_id, event_id, ts, case when event_type = 'purchase' then value end as v from events)
+select event_id, last_value(v ignore nulls) over (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding) as before from e""")
+def nearest_before_by_user(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", F.struct("ts", "event_id").alias("o"), F.when(F.col("event_type") == "purchase", F.col("value")).alias("v"))
+    return intervals.nearest_before(e, "user_id", "o", "v", "before").select("event_id", "before")
+
+
+@query("""with d as (select doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z]{3,}')) as w from documents where length(text) < 1500), b as (select item_id, list_distinct(regexp_extract_all(lower(text), '[a-z]{3,}')) as w from benchmark),
+c as (select d.doc_id, b.item_id, count(*) as common from (select doc_id, unnest(w) as x from d) d join (select item_id, unnest(w) as x from b) b using (x) group by all)
+select doc_id, item_id, round(common / (len(d.w) + len(b.w) - common), 6) as similarity from c join d using (doc_id) join b using (item_id) where common >= 0.5 * (len(d.w) + len(b.w) - common)""")
+def similar_rows(spark, sf_dir):
+    """Documents and benchmark items that are alike in their words: an equi-join on words, then counts."""
+    words = lambda t: F.array_distinct(F.regexp_extract_all(F.lower(t), F.lit("([a-z]{3,})"), 1))
+    d = documents(spark, sf_dir).where("length(text) < 1500").select("doc_id", words(F.col("text")).alias("w"))
+    b = table(spark, sf_dir, "benchmark").select("item_id", words(F.col("text")).alias("w"))
+    x = d.select("doc_id", F.size("w").alias("n"), F.explode("w").alias("x"))
+    y = b.select("item_id", F.size("w").alias("m"), F.explode("w").alias("x"))
+    common = x.join(y, "x").groupBy("doc_id", "n", "item_id", "m").agg(F.count("*").alias("common"))
+    return common.where("common >= 0.5 * (n + m - common)").select("doc_id", "item_id", F.round(F.col("common") / (F.col("n") + F.col("m") - F.col("common")), 6).alias("similarity"))
+
+
+_REPLACED = """r as (select c_nationkey as pair, c_custkey as ord, 'Person Name' as label, lower('N' || (c_custkey % 37)) as n_text, lower('R' || ((c_custkey % 37) * (1 + c_custkey % 2) % 31)) as n_now from customer)"""
+
+
+@query(f"""with {_REPLACED}, v as (select pair, n_text, n_now, count(*) as n, min(ord) as f from r group by all),
+k as (select *, row_number() over (partition by pair, n_text order by n desc, f) as place, count(*) over (partition by pair, n_text) as variants from v)
+select pair, n_text, n_now, n, place, variants from k where variants >= 2""")
+def coherence_variants(spark, sf_dir):
+    """Replacements of one value that differ, by how common they are."""
+    r = table(spark, sf_dir, "customer").selectExpr("c_nationkey as pair", "c_custkey as ord", "lower(concat('N', c_custkey % 37)) as n_text", "lower(concat('R', (c_custkey % 37) * (1 + c_custkey % 2) % 31)) as n_now")
+    v = verify._ranked(r, "pair", ["n_text"], "n_now").where("v_all >= 2")
+    return v.groupBy("pair", "n_text", "n_now").agg(F.max("v_n").alias("n"), F.max("v_rank").cast("long").alias("place"), F.max("v_all").cast("long").alias("variants"))
+
+
+@query("""select c_custkey, case when t = '' then 'the PII was deleted instead of being replaced' when regexp_matches(t, '^[\\[<{(].*[\\]>})]$') then '"' || t || '" is a placeholder, not realistic text'
+ when regexp_matches(t, '^[xX*#•_?\\-]{2,}$|^(?:[xX*#•]{2,}[\\s-]?)+\\d{0,4}$') then '"' || t || '" is masked, not realistic text' end as why
+ from (select c_custkey, case c_custkey % 5 when 0 then '' when 1 then '[' || c_name || ']' when 2 then 'XXXX-' || lpad((c_custkey % 10000)::varchar, 4, '0') when 3 then c_mktsegment else c_name end as t from customer) where c_custkey % 5 < 3""")
+def sensible_replacements(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").where("c_custkey % 5 < 3")
+    t = F.expr("case c_custkey % 5 when 0 then '' when 1 then concat('[', c_name, ']') else concat('XXXX-', lpad(cast(c_custkey % 10000 as string), 4, '0')) end")
+    return c.select("c_custkey", replacement.not_sensible(t).alias("why"))
+
+
+@query("""with l as (select doc_id, unnest(string_split(text, chr(10))) as u from documents), x as (select doc_id, u, list_distinct(regexp_extract_all(lower(u), '\\p{L}{2,}')) as w, len(regexp_extract_all(lower(u), '\\p{L}{2,}')) as c from l where trim(u) != '' and length(u) <= 400 and len(regexp_extract_all(u, '[\\p{L}\\p{M}]')) >= 8),
+h as (select *, """ + ", ".join(f"len(list_intersect(w, [{', '.join(chr(39) + x + chr(39) for x in dict.fromkeys(s.split()))}])) as {k}" for k, s in language.STOP_WORDS.items()) + """ from x)
+select language, count(*) as lines from (select case when c >= 3 and greatest(Hinglish, Spanish, French, German, Portuguese, Indonesian) >= 2 and greatest(Hinglish, Spanish, French, German, Portuguese, Indonesian) > English then
+ case greatest(Hinglish, Spanish, French, German, Portuguese, Indonesian) when Hinglish then 'Hinglish' when Spanish then 'Spanish' when French then 'French' when German then 'German' when Portuguese then 'Portuguese' else 'Indonesian' end else 'English' end as language from h) group by language""")
+def line_languages(spark, sf_dir):
+    """Lines of up to 400 characters by language; longer ones are judged by the sentence elsewhere."""
+    lines = documents(spark, sf_dir).select(F.explode(F.split("text", "\n", -1)).alias("u")).where("trim(u) != '' and length(u) <= 400")
+    return lines.select(language.language_of(F.col("u")).alias("language")).where("language is not null").groupBy("language").agg(F.count("*").alias("lines"))
+
+
+@query()
+def language_reports(spark, sf_dir):
+    return language.document_report(documents(spark, sf_dir)).select("doc_id", "verdict", "share", "total_letters", "main_language", "summary", "reasons")
+
+
+def _pairs(spark, sf_dir) -> DataFrame:
+    """Documents with a redacted version of their own: addresses and long numbers rewritten."""
+    right = F.regexp_replace(F.regexp_replace("text", r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}", "10.0.0.9"), r"\+\d[\d ().-]{8,}\d", "[PHONE]")
+    return documents(spark, sf_dir).select(F.col("doc_id").alias("pair_id"), F.col("text").alias("left_text"), right.alias("right_text"))
+
+
+@query()
+def compare_pairs(spark, sf_dir):
+    return compare.compare(_pairs(spark, sf_dir), labels=None)
+
+
+@query()
+def identify_pairs(spark, sf_dir):
+    return compare.identify(compare.compare(_pairs(spark, sf_dir), labels=None))
+
+
+@query()
+def verify_pairs(spark, sf_dir):
+    return verify.verify(_pairs(spark, sf_dir))

@@ -47,7 +47,7 @@ def verhoeff(s: str) -> bool:
 
 
 def luhn_column(value: Column) -> Column:
-    return F.luhn_check(F.regexp_replace(value, "[^0-9]", ""))
+    return F.call_function("luhn_check", F.regexp_replace(value, "[^0-9]", ""))
 
 
 def iban_column(value: Column) -> Column:

@@ -1,0 +1 @@
+"""Relational operators over spans: joins of intervals, choice, clusters, groups."""
