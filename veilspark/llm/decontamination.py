@@ -5,8 +5,8 @@ the others, so that a seed survives substitutions at ignored places. The seeds o
 joined by hash. Around a hit, document and item are laid over one another, and the hit counts if WINDOW consecutive
 places (all places of a shorter item) hold at least SHARE percent equal words.
 
-The seeds of the items are broadcast after their number is checked; beyond MOST the join is shuffled, and texts are
-then fetched by document. Documents are only exploded into places within a task, nothing of them is shuffled but hits.
+The seeds of the items, and later the hits, are broadcast after their number is checked; beyond MOST the joins are
+shuffled. Documents are exploded into places within a task, and nothing but ids and places of hits leaves it.
 
 Defined cases: null and empty texts have no words and match nothing; items of fewer than SPAN words have no seeds and
 match nothing; a row without an id is no document; repeated ids give one row for each item they hold.
@@ -22,7 +22,7 @@ from veilspark.llm import shared
 #: The places of a seed that each mask looks at.
 MASKS = ((0, 1, 2, 3, 4, 5), (0, 1, 3, 4, 7, 9), (0, 2, 3, 6, 7, 8), (0, 1, 2, 5, 8, 10))
 SPAN, WINDOW, SHARE = 11, 20, 80
-#: Seeds of test items that are broadcast at most, of about 100 bytes each with their item's place.
+#: Seeds of test items, and hits, that are broadcast at most, of about 32 bytes each.
 MOST = 1_000_000
 PUNCTUATION = ".,;:!?\"'()[]"
 
@@ -45,14 +45,13 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     """(doc_id, item_id, overlap, start): the items that a document holds, the most equal words of a window, and the word at which the item would begin."""
     spark = shared.prepared(docs.sparkSession)
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), words(F.col(f"`{text_col}`")).alias("w")).where("id is not null")
-    test = items.select(F.col(f"`{item_col}`").alias("item"), words(F.col(f"`{item_text}`")).alias("w")).where("item is not null")
-    test = seeds(test, "q", "item", "w").withColumnRenamed("w", "b").distinct()
-    small = test.limit(most + 1).count() <= most
-    if small:
-        hits = seeds(texts, "p", "id", "w").join(F.broadcast(test), "seed").withColumn("d", F.col("p") - F.col("q"))
-    else:
-        found = seeds(texts, "p", "id").join(test.drop("b"), "seed").select("id", "item", (F.col("p") - F.col("q")).alias("d")).distinct()
-        hits = found.join(test.select("item", "b").distinct(), "item").join(texts, "id")
+    test = items.select(F.col(f"`{item_col}`").alias("item"), words(F.col(f"`{item_text}`")).alias("b")).where("item is not null")
+    own = seeds(test.withColumnRenamed("b", "w"), "q", "item").distinct()
+    own = F.broadcast(own) if own.limit(most + 1).count() <= most else own
+    # no text goes with a place: only which documents and items meet, and how they lie
+    met = seeds(texts, "p", "id").join(own, "seed").select("id", "item", (F.col("p") - F.col("q")).alias("d")).distinct().checkpoint()
+    few = met.limit(most + 1).count() <= most
+    hits = texts.join(F.broadcast(met) if few else met, "id").join(test.distinct(), "item")
     # the item laid over the document, from its word d on; both from the first word that the two have
     first = F.greatest(F.lit(0), -F.col("d"))
     n = F.least(F.size("b"), F.size("w") - F.col("d")) - first
