@@ -276,3 +276,75 @@ def identify_pairs(spark, sf_dir):
 @query()
 def verify_pairs(spark, sf_dir):
     return verify.verify(_pairs(spark, sf_dir))
+
+
+@query()
+def review_summary(spark, sf_dir):
+    """The view of all pairs: values found, labelled, visible, problems."""
+    from veilspark.operators import analyze
+
+    return analyze.analyze(_pairs(spark, sf_dir), labels=None)["summary"]
+
+
+_EXTRA_URL = r"((?:https?://|www\.)[^\s<>\"'')]+|(?:[A-Za-z0-9-]+\.)+(?:com|in|io|org|net|co|ai|dev|me)/[^\s<>\"'')]+)"
+
+
+@query(f"""with t as (select doc_id, unnest(regexp_extract_all(text, '{_EXTRA_URL}', 1)) as v from documents) select doc_id, 'URL/Link' as site, regexp_replace(v, '[.,;:]+$', '') as text from t
+union all select doc_id, 'Vehicle Number Plate', unnest(regexp_extract_all(text, '(?:^|[^A-Za-z0-9_])([A-Z]{{2}}[ -]?\\d{{1,2}}[ -]?[A-Z]{{1,3}}[ -]?\\d{{4}})(?:$|[^A-Za-z0-9_])', 1)) from documents""")
+def site_extras(spark, sf_dir):
+    from veilspark.operators import view
+
+    return view.extras(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+@query()
+def page_texts(spark, sf_dir):
+    from veilspark.sources.html import text_of
+
+    return table(spark, sf_dir, "pages").select("page_id", text_of(F.col("html")).alias("text"))
+
+
+@query("""with f as (select c_custkey, c_nationkey as pair_id, case c_custkey % 4 when 0 then 'LEAKAGE' when 1 then 'REDACTED_OK' when 2 then 'OVER_REDACTED' else 'NOT_SENSIBLE' end as category, case c_custkey % 3 when 0 then 'redact' when 1 then 'keep' end as verdict from customer),
+o as (select *, category in ('OVER_REDACTED', 'REDACTED_OK', 'NOT_SENSIBLE') as done from f),
+k as (select *, case when verdict = 'redact' and not done then 'missed' when verdict = 'keep' and done then 'over' when verdict = 'redact' and category = 'NOT_SENSIBLE' then 'quality' end as kind from o)
+select pair_id, sum((verdict is null)::int)::bigint as open, sum((verdict is not null and kind is null)::int)::bigint as ok, sum((verdict is not null and kind is not null)::int)::bigint as fix from k group by pair_id""")
+def reviewer_decisions(spark, sf_dir):
+    from veilspark.operators import view
+
+    f = table(spark, sf_dir, "customer").selectExpr("c_nationkey as pair_id", "case c_custkey % 4 when 0 then 'LEAKAGE' when 1 then 'REDACTED_OK' when 2 then 'OVER_REDACTED' else 'NOT_SENSIBLE' end as category", "case c_custkey % 3 when 0 then 'redact' when 1 then 'keep' end as verdict")
+    fix, kind, text = view.outcome("L2")
+    return view.decision_summary(f.withColumns({"fix": fix, "kind": kind, "outcome": text}))
+
+
+@query("select o_custkey, o_orderkey, coalesce(v, case when f is null then -1.0 else f - 0.5 end) as filled from (select *, last_value(x ignore nulls) over (partition by o_custkey order by o_orderkey rows unbounded preceding) as v, first_value(x ignore nulls) over (partition by o_custkey order by o_orderkey rows between current row and unbounded following) as f from (select o_custkey, o_orderkey, case when o_orderstatus = 'F' then o_orderkey::double end as x from orders))")
+def filled_row_keys(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.when(F.col("o_orderstatus") == "F", F.col("o_orderkey").cast("double")).alias("x"))
+    return intervals.filled(o, "o_custkey", "o_orderkey", "x", "filled").select("o_custkey", "o_orderkey", "filled")
+
+
+@query("""with d as (select doc_id, string_split(text, chr(10)) as l from documents) select doc_id, len(l) as rows, len(list_distinct(l)) as distinct_rows from d""")
+def row_counts(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", F.split("text", "\n", -1).alias("l")).select("doc_id", F.size("l").alias("rows"), F.size(F.array_distinct("l")).alias("distinct_rows"))
+
+
+@query()
+def reordered_rows(spark, sf_dir):
+    """Rows of documents against the same rows turned round by their middle."""
+    from veilspark.operators import analyze
+
+    rows = F.filter(F.split("text", "\n"), lambda x: x != "")
+    d = documents(spark, sf_dir).where("length(text) < 6000").select(F.col("doc_id").alias("pair_id"), rows.alias("left_rows")).where("size(left_rows) >= 4")
+    half = (F.size("left_rows") / 2).cast("int")
+    d = d.withColumn("right_rows", F.concat(F.slice("left_rows", half + 1, F.size("left_rows")), F.slice("left_rows", F.lit(1), half)))
+    return analyze.reorder(d)
+
+
+@query()
+def assembled_documents(spark, sf_dir):
+    """Documents put together again from overlapping reads of ten rows."""
+    from veilspark.streaming import assemble
+
+    row = lambda x: F.struct(x.alias("text"), F.array().cast("array<int>").alias("words"), F.lit(False).alias("para"))
+    d = documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("task_id"), F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "").alias("l")).where("size(l) >= 2")
+    reads = d.select("task_id", "l", F.explode(F.expr("sequence(0, size(l) - 1, 6)")).alias("at"))
+    return assemble.assemble_batch(reads.select("task_id", F.col("at").cast("long").alias("seq"), F.lit("left").alias("side"), F.lit("").alias("header"), F.to_json(F.transform(F.slice("l", F.col("at") + 1, F.lit(10)), row)).alias("rows")))

@@ -41,7 +41,7 @@ def language_of(u: Column, script_only: Column | None = None) -> Column:
     voted = F.when((count >= 3) & (best["n"] >= 2) & (best["n"] > hits["English"]), best["name"]).otherwise("English")
     if script_only is not None:
         voted = F.when(script_only, "English").otherwise(voted)
-    return F.when(n < 8, None).when(u.rlike(r"[^\x00-\x7F]") & (other > 0) & (other / n >= 0.3), most["name"]).otherwise(voted)
+    return F.when(n < 8, None).when(u.rlike(r"[\p{L}\p{M}&&[^\u0000-ɏ]]") & (other / n >= 0.3), most["name"]).otherwise(voted)
 
 
 def units(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:

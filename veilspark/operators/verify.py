@@ -16,6 +16,7 @@ from veilspark.functions import align, known, replacement
 from veilspark.functions.language import document_report, structure_reasons
 from veilspark.functions.patterns import REVIEW_THRESHOLD
 from veilspark.functions.spans import Span
+from veilspark.plans.materialize import once
 from veilspark.operators.compare import Pair, pair_rows, percent
 
 CATEGORIES = ("LEAKAGE", "INCOHERENT", "DATATYPE", "NOT_SENSIBLE", "OVER_REDACTED", "UNKNOWN_TEXT", "UNSURE", "REDACTED_OK", "TASK")
@@ -243,14 +244,14 @@ def coherent(ok: DataFrame, id_col: str) -> DataFrame:
 def verify(pairs: DataFrame, id_col: str = "pair_id", left: str = "left_text", right: str = "right_text", labels: str | None = None) -> DataFrame:
     """Findings of every pair: category, label, ranges, text, note, suggest and an id that is unique in the pair."""
     q = lambda c: F.concat(F.lit("“"), c, F.lit("”"))
-    rows = raw(pairs, id_col, left, right, labels).repartition(F.col(id_col))
+    rows = once(raw(pairs, id_col, left, right, labels))
     why, kept = replacement.not_sensible(F.col("replacement")), replacement.digits_kept(F.col("label"), F.col("text"), F.col("replacement"))
     cols = [F.col(id_col), "phase", "ord", *_COLUMNS]
     several = rows.where("category = 'SEVERAL'").withColumn("note", F.concat(F.lit("Replacement is not sensible: "), why, F.lit("."))).where("note is not null").withColumn("category", F.lit("NOT_SENSIBLE"))
     judged = rows.where("category = 'REPLACED' and not (leaked and replacement = '')").withColumn("kept", kept).withColumn("why", why).withColumn("same", replacement.same_type(F.col("label"), F.col("replacement")))
     bad = judged.where("kept is not null or why is not null or not same")
     bad = bad.withColumn("category", F.expr("case when kept is not null then 'LEAKAGE' when why is not null then 'NOT_SENSIBLE' else 'DATATYPE' end")).withColumn("note", F.when(F.col("kept").isNotNull(), F.concat("label", F.lit(" only partly redacted: the digits "), q(F.col("kept")), F.lit(" from "), q(F.col("text")), F.lit(" are still visible on the right."))).when(F.col("why").isNotNull(), F.concat(F.lit("Replacement is not sensible: "), "why", F.lit("."))).otherwise(F.concat(q(F.col("text")), F.lit(" was replaced with "), q(replacement.short(F.col("replacement"))), F.lit(", which is not a "), "label", F.lit(". The replacement should be the same kind of data."))))
-    good = coherent(judged.where("kept is null and why is null and same"), id_col)
+    good = once(coherent(judged.where("kept is null and why is null and same"), id_col))
     done = good.where("incoherent is not null or not leaked").withColumn("category", F.when(F.col("incoherent").isNotNull(), "INCOHERENT").otherwise("REDACTED_OK")).withColumn("note", F.coalesce("incoherent", F.concat(F.lit("Replaced with "), q(replacement.short(F.col("replacement"))), F.lit(".")))).withColumn("phase", F.when(F.col("incoherent").isNotNull(), 6).otherwise(7))
     # words that were changed into another value's replacement
     used = good.groupBy(id_col, F.col("n_now").alias("n_right")).agg(F.max_by(F.struct("label", "text", "replacement"), "ord").alias("u"))
@@ -258,7 +259,7 @@ def verify(pairs: DataFrame, id_col: str = "pair_id", left: str = "left_text", r
     taken = direct.join(used, [id_col, "n_right"], "left").withColumn("again", F.col("u").isNotNull() & (replacement.normalized(F.col("u.text")) != replacement.normalized(F.col("text"))))
     reused = F.concat(q(replacement.short(F.col("text"))), F.lit(" was changed to "), q(replacement.short(F.col("u.replacement"))), F.lit(", which is already the replacement for "), q(F.col("u.text")), F.lit(". Two different values must not get the same replacement."))
     direct = taken.withColumn("note", F.when(F.col("again"), reused).otherwise(F.col("note"))).withColumn("category", F.when(F.col("again"), "INCOHERENT").otherwise(F.col("category"))).withColumn("label", F.when(F.col("again"), F.col("u.label")).otherwise(F.col("label")))
-    report = document_report(pairs.select(F.col(id_col), F.col(left).alias("text")), id_col)
+    report = once(document_report(pairs.select(F.col(id_col), F.col(left).alias("text")), id_col).where("verdict != 'english' or size(reasons) >= 2"))
     nothing = {c: F.lit(None).cast(t) for c, t in (("label", "string"), ("left_start", "int"), ("left_end", "int"), ("right_start", "int"), ("right_end", "int"), ("confidence", "double"), ("known_name", "string"))}
     task = lambda text, note, where: report.where(where).select(id_col, F.lit(8).alias("phase"), F.lit(0).alias("ord"), F.lit("TASK").alias("category"), *(nothing[c].alias(c) for c in ("label", "left_start", "left_end", "right_start", "right_end")), text.alias("text"), nothing["confidence"].alias("confidence"), F.lit("L2").alias("source"), note.alias("note"), nothing["known_name"].alias("known_name"))
     tasks = task(F.concat(F.lit("Language: "), "main_language"), F.concat(F.lit("Other language — sampling imperfection. "), "summary", F.lit(" Flag this task.")), "verdict != 'english'").union(task(F.lit("Unstructured text"), F.concat(F.lit("The document looks unstructured ("), F.array_join("reasons", "; "), F.lit("). Flag this task.")), "size(reasons) >= 2"))
