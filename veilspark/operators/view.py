@@ -138,3 +138,50 @@ def decided(findings: DataFrame, verdicts: DataFrame, stage: str, id_col: str =
 def decision_summary(rows: DataFrame, id_col: str = "pair_id") -> DataFrame:
     count = lambda c: F.sum(F.when(c, 1).otherwise(0))
     return rows.groupBy(id_col).agg(count(F.col("verdict").isNull()).alias("open"), count(F.col("fix") == F.lit(False)).alias("ok"), count(F.col("fix")).alias("fix"))
+
+
+def question(stage: str) -> tuple[Column, Column, Column]:
+    """(ask, suggestion, tone) of a finding."""
+    s = F.col("suggest")
+    tone = {"yes": "redact", "not": "keep"} if stage == "L1" else {"redact": "redact", "keep": "keep"}
+    toned = F.coalesce(F.try_element_at(_map(tone), s), F.lit("unsure"))
+    if stage == "L1":
+        group = F.coalesce(F.try_element_at(_map({"PI": "Personal PII", "BI": "Business PII", "CRED": "a Credential"}), F.col("group")), F.lit("PII"))
+        said = F.when(s == "yes", F.concat(F.lit("Assistant: "), group, F.lit(" — label it as "), "label")).when(s == "not", "Assistant: no PII found here").otherwise("Assistant: not sure — your call")
+        return F.lit("Is it PII?"), said, toned
+    said = F.when(s == "redact", "Assistant: PII — should be redacted").when(s == "keep", "Assistant: not PII — keep the original").otherwise("Assistant: not sure — your call")
+    return F.lit("Should it be redacted?"), said, toned
+
+
+def short_status(stage: str) -> Column:
+    """Two or three words on a finding."""
+    c, note = F.col("category"), F.coalesce("note", F.lit(""))
+    if stage == "L1":
+        s = F.col("status")
+        known = note.contains("is on the business names list")
+        return F.when(known, "Over-scrubbing").when(s == "unlabeled", "Not labeled").when(s == "wrong", F.concat(F.lit("Labeled "), F.coalesce("right_label", F.lit("differently")))).when(s == "extra", "Extra label").when(s == "labeled", "Labeled ✓").otherwise("Check it")
+    plain = {"UNSURE": "Possible PII", "INCOHERENT": "Inconsistent", "DATATYPE": "Wrong data type", "NOT_SENSIBLE": "Not realistic", "REDACTED_OK": "Redacted ✓", "TASK": "Whole task"}
+    leak = F.when(note.contains("partly"), "Partly redacted").when(note.contains("another"), "Leaked elsewhere").otherwise("Not redacted")
+    return (
+        F.when(c == "LEAKAGE", leak).when(c == "OVER_REDACTED", F.when(F.col("known_name").isNotNull(), "Over-scrubbing").otherwise("Changed — PII?"))
+        .when(c == "UNKNOWN_TEXT", F.when(note.contains("not in the original"), "Text added").otherwise("Words missing")).otherwise(F.coalesce(F.try_element_at(_map(plain), c), F.lit("")))
+    )
+
+
+def open_issues(findings: DataFrame, verdicts: DataFrame, search: str = "", id_col: str = "pair_id") -> DataFrame:
+    """Findings that are issues, have no verdict, and hold the search text in what they say."""
+    said = F.lower(F.concat_ws(" ", "text", "label", "note"))
+    issues = findings.where(~F.col("category").isin("REDACTED_OK", "IDENTIFIED", "CORRECT"))
+    return issues.where(said.contains(search.lower())).join(verdicts.select(id_col, "id"), [id_col, "id"], "left_anti")
+
+
+def marks(found: DataFrame, boxes: DataFrame, id_col: str = "pair_id") -> DataFrame:
+    """A rectangle for each row of words that an item covers: the hull of its words. boxes: (id, b_start, b_end, row, x, y, w, h)."""
+    met = intervals.overlap_join(found.select(id_col, "id", "start", "end"), boxes, id_col)
+    x2, y2 = F.max(F.col("x") + F.col("w")), F.max(F.col("y") + F.col("h"))
+    return met.groupBy(id_col, "id", "row").agg(F.min("x").alias("x"), F.min("y").alias("y"), (x2 - F.min("x")).alias("w"), (y2 - F.min("y")).alias("h"))
+
+
+def tags() -> Column:
+    """What an item's mark says: its site label, whether that is missing or another, how it is redacted."""
+    return F.concat_ws(" · ", "site", F.when(F.col("labeled") == "no", "not labeled").when(F.col("labeled") == "other", F.concat(F.lit("labeled "), "right_site")), F.when(F.col("redaction").isin("visible", "partly", "replacement"), F.col("redaction")))
