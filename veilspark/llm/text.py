@@ -7,6 +7,8 @@ with the same scheme over the word hashes. Both pass a finaliser, so any bits of
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import hashlib
 
 import numpy as np
@@ -16,8 +18,12 @@ import pyarrow.compute as pc
 #: Bytes hashed at once, and the length beyond which a word is hashed alone.
 BLOCK = 1 << 20
 LONG = 1 << 15
-#: Words of a chunk that a map task sorts at once.
-CHUNK_WORDS = 1 << 20
+#: Words of a chunk that a map task sorts at once; a worker then stays under 400 MB.
+CHUNK_WORDS = 1 << 19
+
+# Workers live on between tasks: large arrays go back to the system when they are freed, where the C library can do so.
+with contextlib.suppress(OSError, AttributeError):
+    ctypes.CDLL(None).mallopt(-3, 2 << 20)  # M_MMAP_THRESHOLD
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
