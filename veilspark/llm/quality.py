@@ -4,8 +4,8 @@ Overlapping heuristics vote good, bad or nothing on every document. Their votes
 documents in Spark (at most 3^heuristics patterns), and expectation-maximisation finds from the counts how often each
 heuristic is right on good and on bad documents, and how common bad ones are: the heuristics are taken as independent
 given the class. It starts from the view that a heuristic speaks up against few good documents, each for a defect of
-its own, so that one vote against a document outweighs those that miss its defect. The posterior of a pattern labels its documents. A hashed linear
-scorer is fitted to the posteriors of a bounded sample, the first SAMPLE documents in the order of their ids' hashes,
+its own, so that one vote against a document outweighs those that miss its defect. The posterior of a pattern labels its
+documents. A hashed linear scorer is fitted to the posteriors of a bounded sample, the first SAMPLE documents in the order of their ids' hashes,
 and scores all documents, each whole.
 
 Features of the scorer: the shapes of words (runs of lower case, capitals, digits and each sign), hashed into BUCKETS,
@@ -31,7 +31,7 @@ from veilspark.llm import linear, shared, text
 SAMPLE, BUCKETS, THRESHOLD, ROUNDS = 6000, 1 << 12, 0.5, 100
 #: Heuristics name defects and are held to vote right on good documents at least this often; else the estimate may
 #: settle on one kind of defect and take the others for good.
-RIGHT_ON_GOOD = 0.996
+RIGHT_ON_GOOD = 0.999
 SIGNS = np.zeros(256, bool)
 SIGNS[[*b"#$%&*|^~<>=+_@\\{}[]"]] = True
 UPPER, LETTER = np.zeros(256, bool), np.zeros(256, bool)
@@ -76,7 +76,7 @@ def votes(m: dict[str, np.ndarray]) -> np.ndarray:
     two = lambda x, bad, good, on=True: np.where(on & (x >= bad), 0, np.where(on & (x <= good), 1, -1))
     return np.column_stack([
         two(m["signs"], 0.15, 0.02, m["n"] > 0), two(m["capitals"], 0.5, 0.15, m["letters"] >= 20), two(m["shouts"], 0.1, 0.01, m["n"] > 0),
-        two(m["columns"], 0.1, 0.01, m["n"] > 0), two(m["repeats"], 0.35, 0.12, long), np.where(m["n"] < 3, 0, np.where(m["n"] >= 20, 1, -1)),
+        two(m["columns"], 0.1, 0.01, m["n"] > 0), two(m["repeats"], 0.35, 0.12, long), np.where(m["n"] >= 20, 1, -1),
         np.where(long & ((m["length"] < 2) | (m["length"] > 25) | (m["letter_share"] < 0.5)), 0, np.where(long & (m["letter_share"] > 0.7), 1, -1)),
     ]).astype(np.int8)
 
@@ -178,7 +178,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     for i, r in enumerate(got):
         np.add.at(x[i], np.searchsorted(used, np.frombuffer(r.buckets, np.int64)), np.frombuffer(r.amounts))
     y = np.array([posterior.get(r.pattern, 0.5) for r in got])
-    w, b = linear.fit(x, y, np.ones(len(got)), ridge=1e-5)
+    w, b = linear.fit(x, y, np.ones(len(got)), ridge=1e-6, steps=1000)
     weights = np.zeros(buckets)
     weights[used] = w
     return Scorer(weights, b), posterior
