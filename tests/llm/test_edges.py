@@ -170,6 +170,13 @@ def test_decontamination_stands_substitutions(spark):
     assert {(r.doc_id, r.item_id) for r in decontamination.contaminated(d, items, most=3).collect()} == set(got)
 
 
+def test_decontamination_folds_case_over_all_of_unicode(spark):
+    item = " ".join(f"straße{i} größe ève{i} ñandú οδός{i}" for i in range(4))
+    docs = [(1, item.upper()), (2, "before it " + item.upper() + " after it"), (3, item.title())]
+    got = decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(9, item)], "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id, r.overlap, r.start) for r in got} == {(1, 9, 20, 0), (2, 9, 20, 2), (3, 9, 20, 0)}
+
+
 def test_token_counts_are_the_library_s(spark, sf_dir):
     from tokenizers import Tokenizer
 

@@ -1,6 +1,6 @@
 """Benchmark decontamination by spaced seeds, in DataFrame functions only.
 
-Words (A-Z lower-cased, PUNCTUATION deleted) are hashed; a fixed mask picks some of SPAN consecutive words and ignores
+Words (PUNCTUATION deleted, case folded over all of Unicode) are hashed; a fixed mask picks some of SPAN consecutive words and ignores
 the others, so that a seed survives substitutions at ignored places. The seeds of test items and of documents are
 joined by hash. Around a hit, document and item are laid over one another, and the hit counts if WINDOW consecutive
 places (all places of a shorter item) hold at least SHARE percent equal words.
@@ -28,9 +28,10 @@ PUNCTUATION = ".,;:!?\"'()[]"
 
 
 def words(text: Column) -> Column:
-    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    plain = F.translate(F.coalesce(text.cast("string"), F.lit("")), upper + PUNCTUATION, lower)
-    return F.filter(F.split(plain, "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    # by way of capitals, so that letters with several small forms (ß and ss, σ and ς) are one; Spark would drop an upper
+    # right inside a lower
+    capitals = F.translate(F.upper(F.coalesce(text.cast("string"), F.lit(""))), PUNCTUATION, "")
+    return F.filter(F.split(F.lower(capitals), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
 
 
 def seeds(df: DataFrame, place: str, *kept: str) -> DataFrame:
