@@ -177,6 +177,24 @@ def test_decontamination_folds_case_over_all_of_unicode(spark):
     assert {(r.doc_id, r.item_id, r.overlap, r.start) for r in got} == {(1, 9, 20, 0), (2, 9, 20, 2), (3, 9, 20, 0)}
 
 
+def test_decontamination_finds_partial_passages(spark):
+    item, short = [f"t{i}" for i in range(40)], [f"s{i}" for i in range(15)]
+    other = lambda k, n=60: [f"c{k}x{i}" for i in range(n)]
+    held = {
+        # 13 to 19 words at the start, in the middle and at the end of documents, from each part of the item
+        1: item[:13] + other(1), 2: item[10:23] + other(2), 3: item[27:] + other(3),
+        4: other(4) + item[:13] + other(5), 5: other(6) + item[10:25] + other(7), 6: other(8) + item[27:] + other(9),
+        7: other(10) + item[:13], 8: other(11) + item[10:23], 9: other(12) + item[27:],
+        10: other(13) + item[:19], 11: item[-19:] + other(14), 12: item[5:18],
+        # where fewer places overlap, by the share of those
+        13: other(15) + item[:12], 14: item[-12:] + other(16), 15: other(17) + item[:7] + ["x"] + item[8:16],
+    }
+    clean = {50: other(18) + item[10:22] + other(19), 51: item[10:22] + other(20), 52: other(21) + item[:10], 53: other(22) + short[:10] + other(23), 54: other(24) + item[:6] + other(25, 4) + item[10:14]}
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in (held | clean).items()], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(short))], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs, items).collect()} == {(k, 1) for k in held}
+
+
 def test_token_counts_are_the_library_s(spark, sf_dir):
     from tokenizers import Tokenizer
 
