@@ -212,7 +212,7 @@ select doc_id, item_id, round(common / (len(d.w) + len(b.w) - common), 6) as sim
 def similar_rows(spark, sf_dir):
     """Documents and benchmark items that are alike in their words: an equi-join on words, then counts."""
     words = lambda t: F.array_distinct(F.regexp_extract_all(F.lower(t), F.lit("([a-z]{3,})"), 1))
-    d = documents(spark, sf_dir).where("length(text) < 1500").select("doc_id", words(F.col("text")).alias("w"))
+    d = documents(spark, sf_dir).select("doc_id", words(F.col("text")).alias("w"))
     b = table(spark, sf_dir, "benchmark").select("item_id", words(F.col("text")).alias("w"))
     x = d.select("doc_id", F.size("w").alias("n"), F.explode("w").alias("x"))
     y = b.select("item_id", F.size("w").alias("m"), F.explode("w").alias("x"))
@@ -332,8 +332,8 @@ def reordered_rows(spark, sf_dir):
     """Rows of documents against the same rows turned round by their middle."""
     from veilspark.operators import analyze
 
-    rows = F.filter(F.split("text", "\n"), lambda x: x != "")
-    d = documents(spark, sf_dir).where("length(text) < 6000").select(F.col("doc_id").alias("pair_id"), rows.alias("left_rows")).where("size(left_rows) >= 4")
+    rows = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x != "")
+    d = documents(spark, sf_dir).select(F.col("doc_id").alias("pair_id"), rows.alias("left_rows"))
     half = (F.size("left_rows") / 2).cast("int")
     d = d.withColumn("right_rows", F.concat(F.slice("left_rows", half + 1, F.size("left_rows")), F.slice("left_rows", F.lit(1), half)))
     return analyze.reorder(d)
@@ -345,6 +345,6 @@ def assembled_documents(spark, sf_dir):
     from veilspark.streaming import assemble
 
     row = lambda x: F.struct(x.alias("text"), F.array().cast("array<int>").alias("words"), F.lit(False).alias("para"))
-    d = documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("task_id"), F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "").alias("l")).where("size(l) >= 2")
-    reads = d.select("task_id", "l", F.explode(F.expr("sequence(0, size(l) - 1, 6)")).alias("at"))
+    d = documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("task_id"), F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(x) != "").alias("l"))
+    reads = d.select("task_id", "l", F.explode(F.expr("sequence(0, greatest(size(l) - 1, 0), 6)")).alias("at"))
     return assemble.assemble_batch(reads.select("task_id", F.col("at").cast("long").alias("seq"), F.lit("left").alias("side"), F.lit("").alias("header"), F.to_json(F.transform(F.slice("l", F.col("at") + 1, F.lit(10)), row)).alias("rows")))
