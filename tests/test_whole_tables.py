@@ -28,3 +28,9 @@ def test_partners_are_all_pairs():
     for _ in range(300):
         left, right = ([frozenset(rng.choice(list("abcdefghijklmnop"), rng.integers(0, 9))) for _ in range(12)] for _ in range(2))
         assert rowmatch.partners(left, right) == [[(s, i) for i, a in enumerate(left) if (s := rowmatch.alike(a, b))] for b in right]
+
+
+def test_long_lines_count_by_the_sentence(spark, tmp_path):
+    german, english = "Das ist nicht die Zeile für dich und mich.", "This is a line with the usual words for you."
+    documents(spark, tmp_path, german + "\n" + english, " ".join([german] * 12 + [english] * 3), None)
+    assert {r.language: r.lines for r in catalog.QUERIES["line_languages"](spark, str(tmp_path)).collect()} == {"German": 13, "English": 4}

@@ -247,9 +247,9 @@ h as (select *, """ + ", ".join(f"len(list_intersect(w, [{', '.join(chr(39) + x
 select language, count(*) as lines from (select case when c >= 3 and greatest(Hinglish, Spanish, French, German, Portuguese, Indonesian) >= 2 and greatest(Hinglish, Spanish, French, German, Portuguese, Indonesian) > English then
  case greatest(Hinglish, Spanish, French, German, Portuguese, Indonesian) when Hinglish then 'Hinglish' when Spanish then 'Spanish' when French then 'French' when German then 'German' when Portuguese then 'Portuguese' else 'Indonesian' end else 'English' end as language from h) group by language""")
 def line_languages(spark, sf_dir):
-    """Lines of up to 400 characters by language; longer ones are judged by the sentence elsewhere."""
-    lines = documents(spark, sf_dir).select(F.explode(F.split("text", "\n", -1)).alias("u")).where("trim(u) != '' and length(u) <= 400")
-    return lines.select(language.language_of(F.col("u")).alias("language")).where("language is not null").groupBy("language").agg(F.count("*").alias("lines"))
+    """Lines by language; of lines over 400 characters each sentence counts. The SQL has only the short ones."""
+    units = language.units(documents(spark, sf_dir).select("doc_id", "text"), "doc_id")
+    return units.select(language.language_of(F.col("unit")).alias("language")).where("language is not null").groupBy("language").agg(F.count("*").alias("lines"))
 
 
 @query()
