@@ -34,3 +34,11 @@ def test_long_lines_count_by_the_sentence(spark, tmp_path):
     german, english = "Das ist nicht die Zeile für dich und mich.", "This is a line with the usual words for you."
     documents(spark, tmp_path, german + "\n" + english, " ".join([german] * 12 + [english] * 3), None)
     assert {r.language: r.lines for r in catalog.QUERIES["line_languages"](spark, str(tmp_path)).collect()} == {"German": 13, "English": 4}
+
+
+def test_all_replacements_are_judged(spark, tmp_path):
+    rows = [(0, "A", "B"), (1, "A", "B"), (2, "A", "B"), (3, "A", "BUILDING"), (4, "Customer#000000004", "B"), (8, "A", "xxxx"), (9, "[NAME]", "B"), (14, "unknown", "B")]
+    spark.createDataFrame(rows, "c_custkey long, c_name string, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    got = {r.c_custkey: r.why for r in catalog.QUERIES["sensible_replacements"](spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows) and {k for k, why in got.items() if why is None} == {3, 4}
+    assert got[8] == '"xxxx" is masked, not realistic text' and got[14] == '"unknown" is not a realistic value'

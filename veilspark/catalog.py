@@ -237,9 +237,9 @@ def coherence_variants(spark, sf_dir):
  when regexp_matches(t, '^[xX*#•_?\\-]{2,}$|^(?:[xX*#•]{2,}[\\s-]?)+\\d{0,4}$') then '"' || t || '" is masked, not realistic text' end as why
  from (select c_custkey, case c_custkey % 5 when 0 then '' when 1 then '[' || c_name || ']' when 2 then 'XXXX-' || lpad((c_custkey % 10000)::varchar, 4, '0') when 3 then c_mktsegment else c_name end as t from customer) where c_custkey % 5 < 3""")
 def sensible_replacements(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").where("c_custkey % 5 < 3")
-    t = F.expr("case c_custkey % 5 when 0 then '' when 1 then concat('[', c_name, ']') else concat('XXXX-', lpad(cast(c_custkey % 10000 as string), 4, '0')) end")
-    return c.select("c_custkey", replacement.not_sensible(t).alias("why"))
+    """Why each customer's replacement isn't sensible, null where it is. The SQL leaves out those with plain values."""
+    t = F.expr("case c_custkey % 5 when 0 then '' when 1 then concat('[', c_name, ']') when 2 then concat('XXXX-', lpad(cast(c_custkey % 10000 as string), 4, '0')) when 3 then c_mktsegment else c_name end")
+    return table(spark, sf_dir, "customer").select("c_custkey", replacement.not_sensible(t).alias("why"))
 
 
 @query("""with l as (select doc_id, unnest(string_split(text, chr(10))) as u from documents), x as (select doc_id, u, list_distinct(regexp_extract_all(lower(u), '\\p{L}{2,}')) as w, len(regexp_extract_all(lower(u), '\\p{L}{2,}')) as c from l where trim(u) != '' and length(u) <= 400 and len(regexp_extract_all(u, '[\\p{L}\\p{M}]')) >= 8),
