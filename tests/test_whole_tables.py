@@ -42,3 +42,11 @@ def test_all_replacements_are_judged(spark, tmp_path):
     got = {r.c_custkey: r.why for r in catalog.QUERIES["sensible_replacements"](spark, str(tmp_path)).collect()}
     assert len(got) == len(rows) and {k for k, why in got.items() if why is None} == {3, 4}
     assert got[8] == '"xxxx" is masked, not realistic text' and got[14] == '"unknown" is not a realistic value'
+
+
+def test_spans_whose_best_partners_tie_keep_a_row(spark, tmp_path):
+    # of one order: line 2 from 10 to 16; lines 1, 7 and 3 begin at 10 as well and end later, two of them at once
+    lines = [(1, 10, 5.0, 2), (1, 10, 20.0, 1), (1, 10, 9.0, 7), (1, 10, 9.0, 3)]
+    spark.createDataFrame([(*x, 0.0) for x in lines], "l_orderkey long, l_partkey long, l_quantity double, l_linenumber int, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = catalog.QUERIES["interval_best_overlap"](spark, str(tmp_path)).select("start", "end", "b_start", "b_end", "b_label", "overlap").collect()
+    assert [tuple(r) for r in got] == [(10, 16, 10, 20, "Person Email", 6)]

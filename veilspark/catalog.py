@@ -160,11 +160,7 @@ r as (select *, row_number() over (partition by doc, start, "end", label order b
  and (select count(*) from m x where x.doc = r.doc and x.start = r.start and x."end" = r."end" and x.label = r.label and x.overlap = r.overlap and (x.label = x.b_label) = (r.label = r.b_label) and x.b_start = r.b_start) = 1""")
 def interval_best_overlap(spark, sf_dir):
     a, b = _sides(spark, sf_dir)
-    # where two candidates are alike in all that decides, either may win: those are left to neither side
-    met = intervals.overlap_join(a, b, "doc").withColumn("overlap", F.least("end", "b_end") - F.greatest("start", "b_start"))
-    alike = met.groupBy("doc", "start", "end", "label", "overlap", (F.col("label") == F.col("b_label")).alias("same"), "b_start").agg(F.count("*").alias("c"))
-    best = intervals.best_overlap(a, b, "doc").withColumn("same", F.col("label") == F.col("b_label"))
-    return best.join(alike, ["doc", "start", "end", "label", "overlap", "same", "b_start"]).where("c = 1").drop("c", "same")
+    return intervals.best_overlap(a, b, "doc")
 
 
 @query(f"""with {_SPANS}, r as (select *, row_number() over (partition by doc, start, "end", label order by confidence desc, ord) as n from spans) select doc, start, "end", label, confidence from r where n = 1""")

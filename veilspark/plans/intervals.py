@@ -25,10 +25,10 @@ def overlap_join(a: DataFrame, b: DataFrame, on: str, how: str = "inner", width:
 
 
 def best_overlap(a: DataFrame, b: DataFrame, on: str) -> DataFrame:
-    """For each row of a (start, end, label) the row of b (b_start, b_end, b_label) of the most overlap; of equals the last of the same label, else the first."""
+    """For each row of a (start, end, label) the row of b (b_start, b_end, b_label) of the most overlap; of equals the last of the same label, else the first; then the one that ends first, then by b_label."""
     met = overlap_join(a, b, on).withColumn("overlap", F.least("end", "b_end") - F.greatest("start", "b_start"))
     same = F.col("label") == F.col("b_label")
-    w = Window.partitionBy(on, "start", "end", "label").orderBy(F.desc("overlap"), F.desc(same), F.when(same, -F.col("b_start")).otherwise(F.col("b_start")))
+    w = Window.partitionBy(on, "start", "end", "label").orderBy(F.desc("overlap"), F.desc(same), F.when(same, -F.col("b_start")).otherwise(F.col("b_start")), "b_end", "b_label")
     return met.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
