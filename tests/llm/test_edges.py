@@ -209,6 +209,22 @@ def test_token_counts_are_the_library_s(spark, sf_dir):
     assert got == [len(library.encode(t or "", add_special_tokens=False).ids) for t in odd_ones]
 
 
+def test_huge_texts_are_counted_from_their_spliced_chunks(monkeypatch):
+    import pyarrow as pa
+    from pyspark.sql import types as T
+    from tokenizers import Tokenizer
+
+    path = vocabulary("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    texts = ["", "a short one", "so many words, größer ones too,\nand 日本語 " * 40, None, "last"]
+    schema = T.StructType([T.StructField("_text", T.StringType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
+    count = lambda: next(token_counts._counted(path, 200, 8, schema)(iter([pa.RecordBatch.from_arrays([pa.array(texts)], ["_text"])]))).column(2).to_pylist()
+    want = [len(library.encode(t or "", add_special_tokens=False).ids) for t in texts]
+    assert count() == want
+    monkeypatch.setattr(token_counts, "spans_of", lambda said, *_: [(0, 5)])
+    assert count() == [*want[:2], len(library.encode(texts[2][:5], add_special_tokens=False).ids), *want[3:]]
+
+
 def test_classifiers_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{sf}/labels.parquet")

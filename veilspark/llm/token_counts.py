@@ -4,9 +4,10 @@ A huge document is encoded in chunks that overlap. Two encodings of the overlap
 proven stable: a place that both have as a token's start and before which the pattern of the vocabulary must end a
 match (white space after another character), whatever stands further left or right. The tokens of the left chunk up to
 there and those of the right one from there on are spliced. If the overlap has no such place, it is widened, at the
-last to all that is left. Every text goes this way; one shorter than a chunk is one chunk.
+last to all that is left. Each chunk's tokens are counted between its two splices.
 
-Within chunks, distinct pieces between stable boundaries are encoded once a worker.
+Texts of up to a chunk need no splice: their distinct pieces between stable boundaries are encoded once a worker, and
+counted by the piece. Those with special strings or other white space are encoded whole.
 
 Defined cases: a null text counts as empty: no bytes, no tokens. Special strings inside texts are one token each, as
 the library has it by default. Rows are counted one by one, whatever their ids, and keep all their columns.
@@ -75,27 +76,20 @@ def _counted(path: str, chunk: int, overlap: int, schema: T.StructType):
             data, bounds = text.text_buffer(column)
             size = np.diff(bounds)
             raw = data.tobytes()
-            alone = pieces.texts_with(raw, bounds, path, other_space=True)
-            cuts = [bounds]
+            whole = (size > chunk) | pieces.texts_with(raw, bounds, path, other_space=True)
             n = np.zeros(len(size), np.int64)
-            for i in np.flatnonzero((size > chunk) | alone):
+            for i in np.flatnonzero(whole):
                 said = raw[bounds[i] : bounds[i + 1]].decode()
-                at = bounds[i]
-                for a, z in spans_of(said, starts, chunk, overlap):
-                    if alone[i]:
-                        n[i] += len(library.encode(said[a:z], add_special_tokens=False).ids)
-                    else:
-                        at = at + len(said[a:z].encode())
-                        cuts.append(np.array([at]))
-            ends = np.unique(np.concatenate(cuts))
-            if ends[0]:
-                ends = np.concatenate([[0], ends])
+                n[i] = sum(len(library.encode(said[a:z], add_special_tokens=False).ids) for a, z in spans_of(said, starts, chunk, overlap))
+            ends = np.unique(bounds)
             a, z, ptr = pieces.pieces(data, ends, with_space=True)
-            total = np.zeros(len(a) + 1, np.int64)
-            place = encoder.places(data, a, z)
-            total[1:] = np.cumsum(encoder.counts[place])
-            each = np.searchsorted(ends, bounds)
-            n = np.where(alone, n, total[ptr[each[1:]]] - total[ptr[each[:-1]]])
+            short = ~whole[np.searchsorted(bounds, a, "right") - 1]
+            place = encoder.places(data, a[short], z[short])
+            each = np.zeros(len(a), np.int64)
+            each[short] = encoder.counts[place]
+            total = np.concatenate([[0], np.cumsum(each)])
+            at = np.searchsorted(ends, bounds)
+            n = np.where(whole, n, total[ptr[at[1:]]] - total[ptr[at[:-1]]])
             yield shared.batch(schema, [*b.columns, size, n])
 
     return run
