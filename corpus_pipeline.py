@@ -1,4 +1,11 @@
-"""A corpus pipeline of five stages, each written as Parquet and read again as the next one's documents."""
+"""A corpus pipeline of five stages, each written as Parquet and read again as the next one's documents.
+
+Every stage but the last returns the columns of its documents, of whatever names, with the values they had; only
+repeated passages changes text and n_chars. Defined cases, for all stages: null and empty texts are clean, of no group
+and without passages, and stay up to packing, where they are one end token each; a row without an id is packed, and no
+stage before drops it but for toxicity; texts of any length are read whole; of ties between copies the smallest id
+stays; rows that share an id share what becomes of it in the stages that judge by id (2 and 4), and are judged one by
+one by toxicity; an empty table stays empty."""
 
 from __future__ import annotations
 
@@ -7,15 +14,13 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from veilspark.llm import decontamination, ngram_jaccard, queries, substring_dedup, toxicity
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the chain rejects go."""
-    chain = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, chain).where("not is_toxic").select(*docs.columns)
+    return toxicity.without_toxic(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,11 +30,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated passages go from all documents but the first; a document of which nothing is left goes."""
-    out = substring_dedup.substring_dedup(docs)
-    left = out.where("not (n_removed > 0 and n_removed = n_words)")
-    if "n_chars" in docs.columns:
-        left = left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return left.select(*docs.columns)
+    return substring_dedup.left_over(docs, length_col="n_chars" if "n_chars" in docs.columns else None)
 
 
 def leaked_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -229,13 +229,40 @@ def test_classifiers_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     t = op10_toxicity(spark, sf).join(labels, "doc_id").collect()
-    assert sum(r.is_toxic and not r.toxic for r in t) <= 2 and sum(r.is_toxic for r in t if r.toxic) >= 0.5 * sum(r.toxic for r in t)
+    assert sum(r.is_toxic and not r.toxic for r in t) <= 4 and sum(r.is_toxic for r in t if r.toxic) >= 0.85 * sum(r.toxic for r in t)
     q = op6_quality_classifier(spark, sf).drop("quality").join(labels, "doc_id").collect()
     assert sum(r.keep for r in q if r.quality) >= 0.98 * sum(r.quality for r in q)
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    half = labels.where("doc_id % 2 = 0")
-    seen = toxicity.score(docs, toxicity.train(docs, half)).join(labels.where("doc_id % 2 = 1"), "doc_id").collect()
-    assert sum(r.is_toxic and not r.toxic for r in seen) <= 3 and any(r.is_toxic for r in seen)
+
+
+def test_toxicity_on_held_out_labels(spark):
+    """Recall and false alarms on labels that the chain has not seen: half of those of sf0.1 teach it."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    half = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(2))
+    seen = toxicity.score(docs, toxicity.train(docs, labels.where(half == 0))).join(labels.where(half == 1), "doc_id").select("toxic", "is_toxic").collect()
+    assert sum(r.is_toxic for r in seen if r.toxic) >= 0.9 * sum(r.toxic for r in seen)
+    assert sum(r.is_toxic for r in seen if not r.toxic) <= 0.02 * sum(not r.toxic for r in seen)
+
+
+def test_toxicity_rows(spark):
+    """Nulls, empty and long texts, repeated rows, clashing names, given categories, no labels, one class."""
+    rows = [(i, "calm words about rivers " + str(i), True, 0.5) for i in range(40)] + [(100 + i, f"you {'vile' if i % 2 else 'rotten'} creature {i}", False, 0.5) for i in range(40)]
+    rows += [(200, None, True, 1.0), (201, "", True, 1.0), (202, "word " * 200000 + "vile rotten", True, 1.0), (None, "you vile thing", True, 1.0), (300, "calm words", True, 1.0), (300, "calm words", True, 1.0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, is_toxic boolean, p_toxic double")
+    known = [(r[0], int(r[0] >= 100), int(r[0] >= 100 and r[0] % 2)) for r in rows[:80]] + [(5, None, None), (None, 1, 1), (999, 1, 1)]
+    labels = spark.createDataFrame(known, "doc_id long, toxic int, vile int")
+    chain = toxicity.train(docs, labels, categories=["vile"])
+    assert chain.categories == ["vile", "toxic"]
+    got = [tuple(r) for r in toxicity.score(docs, chain).select("doc_id", "text", "is_toxic", "p_vile", "p_toxic").collect()]
+    assert len(got) == len(rows)
+    flag = {(i, t): f for i, t, f, _, _ in got}
+    assert not flag[200, None] and not flag[201, ""] and flag[None, "you vile thing"] and not flag[300, "calm words"] and not flag[0, "calm words about rivers 0"]
+    assert flag[102, "you rotten creature 2"] and next(v for i, _, _, v, _ in got if i == 103) > 0.5 > next(v for i, _, _, v, _ in got if i == 102)
+    left = toxicity.without_toxic(docs, chain)
+    assert left.columns == docs.columns and {(r.doc_id, r.is_toxic, r.p_toxic) for r in left.collect()} >= {(200, True, 1.0), (0, True, 0.5)}
+    for none in (labels.limit(0), labels.where("toxic = 0")):
+        blank = toxicity.train(docs, none)
+        assert {(r.is_toxic, r.p_toxic) for r in toxicity.score(docs, blank).collect()} == {(False, 0.0)}
+    assert toxicity.score(docs.limit(0), chain).count() == 0
 
 
 def test_url_rules_and_model(spark):

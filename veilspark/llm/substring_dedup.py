@@ -196,3 +196,13 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """docs with its text replaced by the words it keeps, joined by one space, wherever any were removed."""
     out = removed_passages(docs, id_col, text_col, window).withColumn("_text", F.expr("if(n_removed > 0, kept_text, _text)"))
     return out.select(*shared.put_back(out, docs, id_col, text_col, "n_words", "n_removed"))
+
+
+def left_over(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, length_col: str | None = None) -> DataFrame:
+    """docs without the rows of which nothing is left, with the columns of docs alone; length_col, where given, is set to the length of a text that was cut."""
+    out = removed_passages(docs, id_col, text_col, window).where("not (n_removed > 0 and n_removed = n_words)")
+    text = F.expr("if(n_removed > 0, kept_text, _text)")
+    own = {id_col: F.col("_id"), text_col: text}
+    if length_col:
+        own[length_col] = F.when(F.col("n_removed") > 0, F.length("kept_text")).otherwise(F.col("_rest").getField(length_col)).cast(docs.schema[length_col].dataType)
+    return out.select(*(own.get(c, F.col("_rest").getField(c)).alias(c) for c in docs.columns))
