@@ -1,15 +1,17 @@
 """URL filter: host and path rules first, then a logistic regression on hashed character n-grams, in DataFrame and SQL
 functions only.
 
-The model is trained in Spark from a small labelled table (at most MOST rows): n-grams of host and path are hashed into
-BUCKETS, the inner products of all labelled URLs are joined up, and gradient steps in the dual run in one higher-order
+The model is trained in Spark from a small labelled table (at most MOST rows, in the order of their hashes): n-grams of host and path are hashed into
+BUCKETS, the inner products of all labelled URLs are joined up, and gradient steps with momentum in the dual run in one higher-order
 aggregate over that matrix. The weights of the buckets come back as one array, a scalar subquery of the scoring
 projection, so that pages are scored row by row without a join or a shuffle.
 
-Rules: one fits its host and all subdomains, for paths that begin with its own; the longest wins.
+Rules: one fits its host and all subdomains, for paths that begin with its own; the longest wins, of equally long ones
+(host and path together) the one that comes first.
 
 Defined cases: a null url, or one without "://", has an empty host and path, fits no rule and is judged by the model's
-intercept alone; repeated rows are judged one by one; an empty table gives an empty result.
+intercept and the marked ends of nothing alone; urls of any length are read whole; repeated rows are judged one by one;
+an empty table gives an empty result; columns named like those of the result are replaced.
 """
 
 from __future__ import annotations
@@ -17,30 +19,58 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-GRAMS, BUCKETS = (3, 4, 5), 1 << 13
-STEPS, RATE, DECAY, MOST = 200, 0.5, 0.002, 400
+GRAMS, BUCKETS = (3, 4, 5), 1 << 16
+STEPS, RATE, DECAY, MOST = 60, 0.02, 0.01, 700
 #: The probability from which a page is blocked.
-BLOCK_AT = 0.9
+BLOCK_AT = 0.6
 #: A rule for each of up to this many becomes a case of an expression; more are joined by the suffixes of hosts.
 CASES = 200
 
-#: The labelled table is made from these words, and from names of two syllables that mean nothing: both classes stand
-#: in the same hosts and paths, so that only the words tell them apart.
-BLOCKED = "casino casino-win poker slots betting free-bets jackpot pills cheap-pills viagra pharmacy-cheap adult adult-x xxx porn escort spam spam-farm malware phishing warez torrent keygen crack-serial replica-watches payday-loan free-money link-farm get-rich adserver ads-track click-track"
-ALLOWED = "news weather library university museum science history garden music sports travel recipes research archive maps health docs wiki forum school council theatre cinema poetry letters study community journal farmers-market water-works open-data city-hall free-software tracks-and-trails"
-_SYLLABLES = "tha ren lon mar tis ver sol kin tion her at th nt st ing"
-_FRAMES = (("{w}.example.com", "/en/12"), ("www.{w}.example.org", "/de/417.html"), ("m.{w}.example.net", "/fr/7/"), ("blog.{w}.example.com", "/es/3105"), ("{w}.example.net", "/en/88/"), ("blog.{w}.example.org", "/fr/260"))
+#: The labelled table is made by rule from these lists: words that tell sites to block, words of other sites, and what
+#: both have in common - what a name is put together with, ends of hosts and paths - so that only the words tell them
+#: apart. None of it is taken from a table of pages.
+BLOCKED = (
+    "casino poker roulette slots blackjack jackpot lottery betting bets gambling bookmaker viagra cialis pills pharmacy steroids "
+    "porn xxx sex adult escort nude camgirls hentai fetish payday loans debt ponzi forex "
+    "warez torrent keygen crack cheats spam scam phishing malware spyware replica counterfeit adserver adclick popads banners tracker"
+).split()
+ALLOWED = (
+    "news weather library university museum science history garden music sport travel recipes research archive maps health docs wiki forum school "
+    "council theatre cinema poetry letters study community journal market water data city software bank hotel hospital bakery painting radio "
+    "climate energy physics biology chemistry maths robotics network linux python compiler kernel editor github stack academy gallery festival church "
+    "railway airport harbour mountain river forest cycling football running chess camera phone printer laptop cloud mail search calendar photos video "
+    "tickets jobs housing insurance taxes justice parliament ministry embassy police fire rescue charity volunteer family children parents teacher "
+    "flowers coffee wine cheese bread kitchen furniture fashion shoes jewellery books comics podcast magazine tribune gazette herald chronicle"
+).split()
+_WITH = "my best top the online world live hub now zone club pro plus express star king central point first direct".split()
+_SHAPES = ("{w}", "{x}{w}", "{w}{x}", "{x}-{w}", "{w}-{x}", "{w}{n}")
+_BEFORE = ("", "www.", "", "m.", "blog.", "shop.")
+_ENDS = ("com", "org", "net", "info", "co.uk", "de", "fr", "es", "io", "dev", "edu", "eu", "example.com", "example.org", "example.net")
+_PATHS = ("/", "", "/index.html", "/about", "/en/12", "/de/417.html", "/fr/7/", "/es/3105", "/2021/04/item", "/p/88", "/list/page/2", "/en/contact", "/a/b/c.php", "/docs/start")
 
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
 
 
+def labelled_rows() -> list[tuple[str, str, int]]:
+    """(host, path, y), at most MOST: 1 is to be blocked. Words take turns with shapes, ends and paths; a
+    blocked word makes a name to be blocked, whatever word of the other list it stands with."""
+    rows = []
+    for y, words, times in ((1, BLOCKED, 6), (0, ALLOWED, 3)):
+        r = 0
+        for k, w in enumerate(words):
+            for n in range(times):
+                x = ALLOWED[11 * r % len(ALLOWED)] if y and n % 2 else ALLOWED[(17 * r + 5) % len(ALLOWED)] if not y and n == 2 else _WITH[3 * r % len(_WITH)]
+                name = _SHAPES[(k + n) % len(_SHAPES)].format(w=w, x=x, n=7 * r % 90 + 10)
+                rows.append((f"{_BEFORE[(k + n) % len(_BEFORE)]}{name}.{_ENDS[r % len(_ENDS)]}", _PATHS[5 * r % len(_PATHS)], y))
+                r += 1
+            if k % 4 == 0:  # the word in the path of a host that says nothing
+                rows.append((f"{_WITH[k % len(_WITH)]}{k}.{_ENDS[k % len(_ENDS)]}", f"/{w}/{k}", y))
+    return rows[:MOST]
+
+
 def labelled(spark: SparkSession) -> DataFrame:
     """(host, path, y): 1 is to be blocked."""
-    names = [a + b for a in _SYLLABLES.split() for b in _SYLLABLES.split() if a != b][::3]
-    words = [(w, 1, 3) for w in BLOCKED.split()] + [(w, 0, 2) for w in [*ALLOWED.split(), *names]]
-    each = [(w, y, _FRAMES[(k + n) % len(_FRAMES)]) for k, (w, y, times) in enumerate(words) for n in range(times)]
-    rows = [(h.format(w=w), p, y) for w, y, (h, p) in each]
-    return spark.sql("select * from values " + ", ".join(f"('{h}', '{p}', {y})" for h, p, y in rows) + " as t(host, path, y)")
+    return spark.sql("select * from values " + ", ".join(f"('{h}', '{p}', {y})" for h, p, y in labelled_rows()) + " as t(host, path, y)")
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -50,25 +80,25 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.translate(part(1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), part(2)
 
 
-def _one(f):
-    return lambda i: f(i)
-
-
 def buckets(host: str = "host", path: str = "path", grams: tuple[int, ...] = GRAMS, size: int = BUCKETS) -> Column:
     """The buckets of all n-grams of host and path, each with its ends marked."""
-    out = []
-    for kind, name in enumerate((host, path)):
-        marked = F.concat(F.lit("^"), F.col(name), F.lit("$"))
-        for n in grams:
-            bucket = lambda i, m=marked, n=n, k=kind: F.pmod(F.xxhash64(F.lit(k), F.substring(m, i, F.lit(n))), F.lit(size)).cast("int")
-            starts = F.when(F.length(marked) >= n, F.sequence(F.lit(1), F.length(marked) - (n - 1))).otherwise(F.array().cast("array<int>"))
-            out.append(F.transform(starts, _one(bucket)))
-    return F.concat(*out)
+    return F.concat(*(_grams(name, kind, n, size) for kind, name in enumerate((host, path)) for n in grams))
+
+
+def _grams(name: str, kind: int, n: int, size: int) -> Column:
+    # letters by place in an array: to cut an n-gram out of a long url would cost a walk up to its place
+    letters = F.concat(F.array(F.lit("^")), F.filter(F.split(name, ""), lambda c: c != ""), F.array(F.lit("$")))
+
+    def of(at: Column) -> Column:
+        bucket = lambda i: F.pmod(F.xxhash64(F.lit(kind), F.concat(*(F.get(at, i + o) for o in range(n)))), F.lit(size)).cast("int")
+        return F.when(F.size(at) >= n, F.transform(F.sequence(F.lit(0), F.size(at) - n), bucket)).otherwise(F.array().cast("array<int>"))
+
+    return F.flatten(F.transform(F.array(letters), of))  # a lambda over an array of one, so that the letters are split once
 
 
 def model(known: DataFrame, steps: int = STEPS, rate: float = RATE, decay: float = DECAY) -> DataFrame:
     """One row: w, the weight of every bucket and at last the intercept. known: (host, path, y)."""
-    rows = known.select("host", "path", F.col("y").cast("double").alias("y")).where("host is not null and path is not null and y is not null").orderBy("host", "path", "y").limit(MOST)
+    rows = known.select("host", "path", F.col("y").cast("double").alias("y")).where("host is not null and path is not null and y is not null").orderBy(F.xxhash64("host", "path"), "host", "path", "y").limit(MOST)
     rows = rows.withColumn("b", buckets()).withColumn("i", F.row_number().over(_all().orderBy("host", "path", "y")))
     counts = rows.select("i", F.size("b").alias("m"), F.explode("b").alias("b")).groupBy("i", "m", "b").agg(F.count("*").alias("c")).select("i", "b", (F.col("c") / F.sqrt("m")).alias("v"))
     left, right = counts.alias("l"), counts.alias("r")
@@ -78,18 +108,20 @@ def model(known: DataFrame, steps: int = STEPS, rate: float = RATE, decay: float
     # the intercept is a feature of every row: it adds 1 to all products
     line = lambda ks: F.transform(F.sequence(F.lit(1), F.size("t")), lambda j: F.coalesce(F.try_element_at(ks, j), F.lit(0.0)) + 1.0)
     table = table.where("size(t) > 0").select(F.col("t.y").alias("y"), F.transform("t", lambda r: line(F.element_at("ks", r["i"]))).alias("k"))
-    start = F.transform("y", lambda _: F.lit(0.0))
+    nothing = F.transform("y", lambda _: F.lit(0.0))
 
-    def step(a: Column, _: Column) -> Column:
-        margins = F.transform("k", lambda line: F.aggregate(F.zip_with(line, a, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x))
+    def step(state: Column, k: Column) -> Column:
+        ahead = F.zip_with(state["now"], state["before"], lambda a, b: a + k / (k + 3) * (a - b))
+        margins = F.transform("k", lambda line: F.aggregate(F.zip_with(line, ahead, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x))
         gain = F.zip_with("y", margins, lambda y, m: y - 1.0 / (1.0 + F.exp(-m)))
-        return F.zip_with(a, gain, lambda old, g: old * (1.0 - rate * decay) + rate * g)
+        return F.struct(F.zip_with(ahead, gain, lambda old, g: old * (1.0 - rate * decay) + rate * g).alias("now"), state["now"].alias("before"))
 
-    duals = table.select(F.posexplode(F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step)).alias("i", "a")).select((F.col("i") + 1).alias("i"), "a")
+    final = F.aggregate(F.sequence(F.lit(0), F.lit(steps - 1)), F.struct(nothing.alias("now"), nothing.alias("before")), step, lambda s: s["now"])
+    duals = table.select(F.posexplode(final).alias("i", "a")).select((F.col("i") + 1).alias("i"), "a")
     weights = counts.join(duals, "i").groupBy("b").agg(F.sum(F.col("v") * F.col("a")).alias("w"))
-    weights = weights.union(duals.agg(F.lit(BUCKETS).alias("b"), F.coalesce(F.sum("a"), F.lit(0.0)).alias("w")))
-    dense = weights.groupBy().agg(F.map_from_entries(F.collect_list(F.struct("b", "w"))).alias("m"))
-    return dense.select(F.transform(F.sequence(F.lit(0), F.lit(BUCKETS)), lambda b: F.coalesce(F.try_element_at("m", b), F.lit(0.0))).alias("w"))
+    weights = weights.union(duals.agg(F.lit(BUCKETS).alias("b"), F.sum("a").alias("w")))
+    every = known.sparkSession.range(BUCKETS + 1).select(F.col("id").cast("int").alias("b")).join(weights, "b", "left")
+    return every.agg(F.array_sort(F.collect_list(F.struct("b", F.coalesce("w", F.lit(0.0)).alias("w")))).alias("ws")).select(F.transform("ws", lambda x: x["w"]).alias("w"))
 
 
 def _all():
