@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilspark import made
 from veilspark.functions import extract, language, patterns, replacement
-from veilspark.operators import compare, detect, verify
+from veilspark.operators import compare, detect, stats, verify
 from veilspark.plans import intervals
+from veilspark.plans.materialize import dealt
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -30,7 +32,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return dealt(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
 
 
 # DuckDB has no lookaround: a match captures what stands before and after it
@@ -156,8 +158,7 @@ def interval_anti_join(spark, sf_dir):
 
 
 @query(f"""with {_SIDES}, m as (select a.*, b_start, b_end, b_label, least("end", b_end) - greatest(start, b_start) as overlap from a join b on a.doc = b.doc and start < b_end and b_start < "end"),
-r as (select *, row_number() over (partition by doc, start, "end", label order by overlap desc, (label = b_label) desc, case when label = b_label then -b_start else b_start end) as n from m) select * exclude (n) from r where n = 1
- and (select count(*) from m x where x.doc = r.doc and x.start = r.start and x."end" = r."end" and x.label = r.label and x.overlap = r.overlap and (x.label = x.b_label) = (r.label = r.b_label) and x.b_start = r.b_start) = 1""")
+r as (select *, row_number() over (partition by doc, start, "end", label order by overlap desc, (label = b_label) desc, case when label = b_label then -b_start else b_start end, b_end, b_label) as n from m) select * exclude (n) from r where n = 1""")
 def interval_best_overlap(spark, sf_dir):
     a, b = _sides(spark, sf_dir)
     return intervals.best_overlap(a, b, "doc")
@@ -183,7 +184,14 @@ def page_of_each_label(spark, sf_dir):
     return intervals.top_k(rows, ["label"], [F.desc("confidence"), F.col("doc"), F.col("start"), F.col("end")], 100)
 
 
-@query()
+_RANK = "case label " + " ".join(f"when '{n}' then {k}" for k, n in enumerate(patterns.SPECIFICITY)) + " else 99 end"
+
+
+@query(f"""with recursive {_SPANS}, s as (select distinct doc, start, "end", label, confidence from spans),
+o as (select *, row_number() over (partition by doc order by start - "end", {_RANK}, -confidence, start, "end", label) as n from s),
+r as (select doc, n, [{{'a': start, 'z': "end", 'l': label, 'c': confidence}}] as kept from o where n = 1
+ union all select o.doc, o.n, case when len(list_filter(r.kept, lambda k: k.a < o."end" and k.z > o.start)) > 0 then r.kept else list_append(r.kept, {{'a': o.start, 'z': o."end", 'l': o.label, 'c': o.confidence}}) end from r join o on o.doc = r.doc and o.n = r.n + 1),
+f as (select doc, unnest(kept) as k from r where n = (select max(n) from o where o.doc = r.doc)) select doc, k.a as start, k.z as "end", k.l as label, k.c as confidence from f""")
 def greedy_disjoint_spans(spark, sf_dir):
     rank = F.create_map(*(F.lit(x) for k, n in enumerate(patterns.SPECIFICITY) for x in (n, k)))
     each = _spans(spark, sf_dir).groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("start", "end", "label", "confidence"))).alias("s"))
@@ -202,7 +210,7 @@ def nearest_before_by_user(spark, sf_dir):
     return intervals.nearest_before(e, "user_id", "o", "v", "before").select("event_id", "before")
 
 
-@query("""with d as (select doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z]{3,}')) as w from documents where length(text) < 1500), b as (select item_id, list_distinct(regexp_extract_all(lower(text), '[a-z]{3,}')) as w from benchmark),
+@query("""with d as (select doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z]{3,}')) as w from documents), b as (select item_id, list_distinct(regexp_extract_all(lower(text), '[a-z]{3,}')) as w from benchmark),
 c as (select d.doc_id, b.item_id, count(*) as common from (select doc_id, unnest(w) as x from d) d join (select item_id, unnest(w) as x from b) b using (x) group by all)
 select doc_id, item_id, round(common / (len(d.w) + len(b.w) - common), 6) as similarity from c join d using (doc_id) join b using (item_id) where common >= 0.5 * (len(d.w) + len(b.w) - common)""")
 def similar_rows(spark, sf_dir):
@@ -231,19 +239,19 @@ def coherence_variants(spark, sf_dir):
 
 @query("""select c_custkey, case when t = '' then 'the PII was deleted instead of being replaced' when regexp_matches(t, '^[\\[<{(].*[\\]>})]$') then '"' || t || '" is a placeholder, not realistic text'
  when regexp_matches(t, '^[xX*#•_?\\-]{2,}$|^(?:[xX*#•]{2,}[\\s-]?)+\\d{0,4}$') then '"' || t || '" is masked, not realistic text' end as why
- from (select c_custkey, case c_custkey % 5 when 0 then '' when 1 then '[' || c_name || ']' when 2 then 'XXXX-' || lpad((c_custkey % 10000)::varchar, 4, '0') when 3 then c_mktsegment else c_name end as t from customer) where c_custkey % 5 < 3""")
+ from (select c_custkey, case c_custkey % 5 when 0 then '' when 1 then '[' || c_name || ']' when 2 then 'XXXX-' || lpad((c_custkey % 10000)::varchar, 4, '0') when 3 then c_mktsegment else c_name end as t from customer)""")
 def sensible_replacements(spark, sf_dir):
-    """Why each customer's replacement isn't sensible, null where it is. The SQL leaves out those with plain values."""
+    """Why each customer's replacement isn't sensible, null where it is."""
     t = F.expr("case c_custkey % 5 when 0 then '' when 1 then concat('[', c_name, ']') when 2 then concat('XXXX-', lpad(cast(c_custkey % 10000 as string), 4, '0')) when 3 then c_mktsegment else c_name end")
     return table(spark, sf_dir, "customer").select("c_custkey", replacement.not_sensible(t).alias("why"))
 
 
-@query("""with l as (select doc_id, unnest(string_split(text, chr(10))) as u from documents), x as (select doc_id, u, list_distinct(regexp_extract_all(lower(u), '\\p{L}{2,}')) as w, len(regexp_extract_all(lower(u), '\\p{L}{2,}')) as c from l where trim(u) != '' and length(u) <= 400 and len(regexp_extract_all(u, '[\\p{L}\\p{M}]')) >= 8),
+@query("""with raw as (select doc_id, unnest(string_split(text, chr(10))) as v from documents), l as (select doc_id, unnest(case when length(v) > 400 then regexp_extract_all(v, '[^.!?।]+[.!?।]*\\s*') else [v] end) as u from raw), x as (select doc_id, u, list_distinct(regexp_extract_all(lower(u), '\\p{L}{2,}')) as w, len(regexp_extract_all(lower(u), '\\p{L}{2,}')) as c from l where trim(u) != '' and len(regexp_extract_all(u, '[\\p{L}\\p{M}]')) >= 8),
 h as (select *, """ + ", ".join(f"len(list_intersect(w, [{', '.join(chr(39) + x + chr(39) for x in dict.fromkeys(s.split()))}])) as {k}" for k, s in language.STOP_WORDS.items()) + """ from x)
 select language, count(*) as lines from (select case when c >= 3 and greatest(Hinglish, Spanish, French, German, Portuguese, Indonesian) >= 2 and greatest(Hinglish, Spanish, French, German, Portuguese, Indonesian) > English then
  case greatest(Hinglish, Spanish, French, German, Portuguese, Indonesian) when Hinglish then 'Hinglish' when Spanish then 'Spanish' when French then 'French' when German then 'German' when Portuguese then 'Portuguese' else 'Indonesian' end else 'English' end as language from h) group by language""")
 def line_languages(spark, sf_dir):
-    """Lines by language; of lines over 400 characters each sentence counts. The SQL has only the short ones."""
+    """Lines by language; of lines over 400 characters each sentence counts."""
     units = language.units(documents(spark, sf_dir).select("doc_id", "text"), "doc_id")
     return units.select(language.language_of(F.col("unit")).alias("language")).where("language is not null").groupBy("language").agg(F.count("*").alias("lines"))
 
@@ -282,15 +290,15 @@ def review_summary(spark, sf_dir):
     return analyze.analyze(_pairs(spark, sf_dir), labels=None)["summary"]
 
 
-_EXTRA_URL = r"((?:https?://|www\.)[^\s<>\"'')]+|(?:[A-Za-z0-9-]+\.)+(?:com|in|io|org|net|co|ai|dev|me)/[^\s<>\"'')]+)"
+_EXTRA_URL = r"(?i)((?:https?://|www\.)[^\s<>\"'')]+|(?:[A-Za-z0-9-]+\.)+(?:com|in|io|org|net|co|ai|dev|me)/[^\s<>\"'')]+)"
 
 
-@query(f"""with t as (select doc_id, unnest(regexp_extract_all(text, '{_EXTRA_URL}', 1)) as v from documents) select doc_id, 'URL/Link' as site, regexp_replace(v, '[.,;:]+$', '') as text from t
-union all select doc_id, 'Vehicle Number Plate', unnest(regexp_extract_all(text, '(?:^|[^A-Za-z0-9_])([A-Z]{{2}}[ -]?\\d{{1,2}}[ -]?[A-Z]{{1,3}}[ -]?\\d{{4}})(?:$|[^A-Za-z0-9_])', 1)) from documents""")
+@query(f"""with t as (select page_id, unnest(regexp_extract_all(html, '{_EXTRA_URL}', 1)) as v from pages) select page_id, 'URL/Link' as site, regexp_replace(v, '[.,;:]+$', '') as text from t
+union all select page_id, 'Vehicle Number Plate', unnest(regexp_extract_all(html, '(?:^|[^A-Za-z0-9_])([A-Z]{{2}}[ -]?\\d{{1,2}}[ -]?[A-Z]{{1,3}}[ -]?\\d{{4}})(?:$|[^A-Za-z0-9_])', 1)) from pages""")
 def site_extras(spark, sf_dir):
     from veilspark.operators import view
 
-    return view.extras(documents(spark, sf_dir).select("doc_id", "text"))
+    return view.extras(table(spark, sf_dir, "pages").select("page_id", "html"), "page_id", "html")
 
 
 @query()
@@ -344,3 +352,119 @@ def assembled_documents(spark, sf_dir):
     d = documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("task_id"), F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(x) != "").alias("l"))
     reads = d.select("task_id", "l", F.explode(F.expr("sequence(0, greatest(size(l) - 1, 0), 6)")).alias("at"))
     return assemble.assemble_batch(reads.select("task_id", F.col("at").cast("long").alias("seq"), F.lit("left").alias("side"), F.lit("").alias("header"), F.to_json(F.transform(F.slice("l", F.col("at") + 1, F.lit(10)), row)).alias("rows")))
+
+
+# texts made by rule, with what is to be found in them --------------------------------------------------------------
+
+
+def _made(spark, sf_dir) -> DataFrame:
+    return dealt(table(spark, sf_dir, "customer").selectExpr("c_custkey as n"))
+
+
+def _detects(name: str):
+    def found(spark, sf_dir):
+        docs = _made(spark, sf_dir).selectExpr("n as doc", made.text_of(name) + " as text")
+        return detect.detections(docs, "doc", only=(name,)).select("doc", "start", "end", "label", "text")
+
+    found.__name__ = "detects_" + name.replace("-", "_")
+    return query(made.expected(name))(found)
+
+
+for _name in made.DETECTED:
+    _detects(_name)
+
+
+def _labelled(spark, sf_dir) -> DataFrame:
+    name, known, start, end = made.compared_label()
+    p = _made(spark, sf_dir).selectExpr("n as pair_id", made.compared_text() + " as left_text", f"{name} as l", f"{known} as k", f"cast({start} as int) as s", f"cast({end} as int) as e")
+    mark = F.struct(F.col("l").alias("label"), F.col("l").alias("raw_label"), F.col("k").alias("known"), F.col("s").alias("start"), F.col("e").alias("end"), F.expr("substring(left_text, s + 1, e - s)").alias("text"), F.lit(False).alias("placeholder"))
+    return p.select("pair_id", "left_text", F.col("left_text").alias("right_text"), F.when(F.col("l").isNotNull(), F.array(mark)).alias("labels"))
+
+
+@query(made.compared_sql())
+def labelled_comparison(spark, sf_dir):
+    """Stage one over pairs with labels, right, wrong, missing, unknown and misplaced."""
+    return compare.compare(_labelled(spark, sf_dir)).select("pair_id", "category", "label", "right_label", "left_start", "left_end", "right_start", "right_end")
+
+
+@query(made.asked_sql())
+def labelled_identification(spark, sf_dir):
+    return compare.identify(compare.compare(_labelled(spark, sf_dir))).select("pair_id", "category", "group", "status", "suggest")
+
+
+def _redacted(spark, sf_dir) -> DataFrame:
+    left, right = (made.cases([c[k] for c in made.VERIFIED]) for k in (0, 1))
+    return _made(spark, sf_dir).selectExpr("n as pair_id", f"{left} as left_text", f"{right} as right_text")
+
+
+@query(made.verified_sql())
+def redaction_findings(spark, sf_dir):
+    """Stage two over pairs that leak, mask, mistype, swap or keep values."""
+    return verify.verify(_redacted(spark, sf_dir)).select("pair_id", "category", "label")
+
+
+def _counted(sql: str, key: str, values) -> str:
+    rows = ", ".join(f"('{v}', {k})" for k, v in enumerate(values))
+    return f"with f as ({sql}), v as (select * from (values {rows}) t({key}, place)), p as (select n as pair_id from ({made.ROWS})) select p.pair_id, v.{key}, v.place, coalesce(c.n, 0) as n from p cross join v left join (select pair_id, {key}, count(*) as n from f group by all) c on c.pair_id = p.pair_id and c.{key} = v.{key}"
+
+
+@query(_counted(made.compared_sql(), "category", compare.CATEGORIES))
+def stage_one_counts(spark, sf_dir):
+    """Findings of each pair by category, 0 where there are none."""
+    p = _labelled(spark, sf_dir)
+    return stats.category_counts(p.select("pair_id"), compare.compare(p), compare.CATEGORIES)
+
+
+@query(f"""with a as ({made.asked_sql()}), p as (select n as pair_id from ({made.ROWS})) select p.pair_id, g.gr as "group", count(a.pair_id) as n from p cross join (values ('PI'), ('BI'), ('CRED')) g(gr)
+left join a on a.pair_id = p.pair_id and a."group" = g.gr and a.category in ('PI_TODO', 'BI_TODO', 'CRED_TODO', 'IDENTIFIED') group by all""")
+def stage_one_groups(spark, sf_dir):
+    """Values to label or labelled, of each pair by group."""
+    p = _labelled(spark, sf_dir)
+    return stats.group_counts(p.select("pair_id"), compare.identify(compare.compare(p)))
+
+
+@query(made.label_counts_sql([n for n, _ in patterns.LABELS]))
+def stage_one_labels(spark, sf_dir):
+    """How often each label was detected on the left and given on the right, by pair."""
+    p = _labelled(spark, sf_dir)
+    return stats.label_counts(p.select("pair_id"), detect.detections(p, "pair_id", "left_text"), p.select("pair_id", F.explode("labels").alias("x")).select("pair_id", "x.label"))
+
+
+@query(_counted(made.verified_sql(), "category", verify.CATEGORIES))
+def stage_two_counts(spark, sf_dir):
+    p = _redacted(spark, sf_dir)
+    return stats.category_counts(p.select("pair_id"), verify.verify(p), verify.CATEGORIES)
+
+
+@query(made.redaction_counts_sql())
+def redaction_counts(spark, sf_dir):
+    """Of each pair the values replaced, leaked and detected."""
+    return stats.redaction_counts(_redacted(spark, sf_dir))
+
+
+@query("""with f as (select o_custkey as pair_id, o_orderkey as id, row_number() over (partition by o_custkey order by o_orderkey) as k, count(*) over (partition by o_custkey) as m, first_value(o_orderkey) over (partition by o_custkey order by o_orderkey) as a,
+ first_value(o_orderkey) over (partition by o_custkey order by o_orderkey desc) as z, lead(o_orderkey) over (partition by o_custkey order by o_orderkey) as x, lag(o_orderkey) over (partition by o_custkey order by o_orderkey) as y from orders)
+select pair_id, id, coalesce(x, a) as next_id, coalesce(y, z) as previous_id, ((k - 1) // 100 + 1)::int as page from f""")
+def issue_navigation(spark, sf_dir):
+    """From each issue of a pair to the next and the one before, round the ends, and the page it is on."""
+    f = table(spark, sf_dir, "orders").selectExpr("o_custkey as pair_id", "o_orderkey as id", "o_orderkey as ord")
+    return stats.navigation(f).select("pair_id", "id", "next_id", "previous_id", "page")
+
+
+@query("""select n_nationkey, list_reduce(list_concat([2166136261::ubigint], list_transform(string_split(n_name, ''), lambda c: unicode(c)::ubigint), [1::ubigint], list_transform(string_split('of ' || n_regionkey, ''), lambda c: unicode(c)::ubigint), [1::ubigint]),
+ lambda h, c: (xor(h, c) * 16777619) % 4294967296)::bigint as hash from nation""")
+def token_hashes(spark, sf_dir):
+    """The FNV-1a hash of a list of tokens, which is their cache key."""
+    return table(spark, sf_dir, "nation").select("n_nationkey", extract.token_hash(F.array(F.col("n_name"), F.concat(F.lit("of "), "n_regionkey"))).alias("hash"))
+
+
+@query("""with x as (select c_custkey as doc_id, 'see https://site' || c_custkey || '.org/a, plate KA ' || lpad((c_custkey % 100)::varchar, 2, '0') || ' AB ' || lpad((c_custkey % 10000)::varchar, 4, '0') || ' there' as text from customer),
+u as (select doc_id, 'URL/Link' as site, 'https://site' || doc_id || '.org/a' as v, 4 as start from x union all select doc_id, 'Vehicle Number Plate', 'KA ' || lpad((doc_id % 100)::varchar, 2, '0') || ' AB ' || lpad((doc_id % 10000)::varchar, 4, '0'), 4 + length('https://site' || doc_id || '.org/a') + 8 from x)
+select doc_id, site, v as text, start::int as start, (start + length(v))::int as "end" from u where not (doc_id % 3 = 0 and site = 'URL/Link')""")
+def extras_without_items(spark, sf_dir):
+    """Links and plates, but for those that an item covers: here a third of the links."""
+    from veilspark.operators import view
+
+    docs = table(spark, sf_dir, "customer").selectExpr("c_custkey as doc_id", "concat('see https://site', c_custkey, '.org/a, plate KA ', lpad(cast(c_custkey % 100 as string), 2, '0'), ' AB ', lpad(cast(c_custkey % 10000 as string), 4, '0'), ' there') as text")
+    found = docs.where("doc_id % 3 = 0").select("doc_id", F.lit(0).alias("b_start"), F.lit(10).alias("b_end"))
+    return view.extras_beside(view.placed_extras(docs), found, "doc_id")

@@ -75,3 +75,14 @@ def fnv1a(text: Column) -> Column:
     """The 32-bit FNV-1a hash of the code points, as base 36."""
     h = F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), F.lit(0x811C9DC5).cast("bigint"), lambda h, c: ((h.bitwiseXOR(F.ascii(c).cast("bigint"))) * F.lit(0x01000193).cast("bigint")).bitwiseAND(F.lit(0xFFFFFFFF).cast("bigint")))
     return F.lower(F.conv(h.cast("string"), 10, 36))
+
+
+def token_hash(tokens: Column) -> Column:
+    """The 32-bit FNV-1a hash of a list of tokens, each closed by a 1, as a number."""
+    codes = F.flatten(F.transform(tokens, lambda t: F.concat(F.transform(F.filter(F.split(t, ""), lambda c: c != ""), lambda c: F.ascii(c)), F.array(F.lit(1)))))
+    return F.aggregate(codes, F.lit(0x811C9DC5).cast("bigint"), lambda h, c: ((h.bitwiseXOR(c.cast("bigint"))) * F.lit(0x01000193).cast("bigint")).bitwiseAND(F.lit(0xFFFFFFFF).cast("bigint")))
+
+
+def hash_tokens(tokens: Column) -> Column:
+    """A key for a list of tokens: its hash as base 36, and their number."""
+    return F.concat(F.lower(F.conv(token_hash(tokens).cast("string"), 10, 36)), F.lit(":"), F.size(tokens).cast("string"))

@@ -27,6 +27,11 @@ def letters(u: Column) -> Column:
     return F.regexp_count(u, F.lit(r"[\p{L}\p{M}]"))
 
 
+def _let(value: Column, f) -> Column:
+    """f(value), with value computed once: a lambda over an array of it alone."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def language_of(u: Column, script_only: Column | None = None) -> Column:
     """English unless letters of another script are 30 %, or there are at least two different stop words of another
     language and more than English ones; null for fewer than eight letters."""
@@ -34,11 +39,17 @@ def language_of(u: Column, script_only: Column | None = None) -> Column:
     script = {s: F.regexp_count(u, F.lit(rf"[\p{{Is{s}}}&&[\p{{L}}\p{{M}}]&&[^\u0000-ɏ]]")) for s in SCRIPTS}
     other = reduce(lambda a, b: a + b, script.values())
     most = F.greatest(*(F.struct(c.alias("n"), F.lit(-k).alias("k"), F.lit(SCRIPT_NAMES.get(s, s)).alias("name")) for k, (s, c) in enumerate(script.items())))
-    words = F.array_distinct(F.regexp_extract_all(F.lower(u), F.lit(r"(\p{L}{2,})"), 1))
-    count = F.size(F.regexp_extract_all(F.lower(u), F.lit(r"(\p{L}{2,})"), 1))
-    hits = {lang: F.size(F.array_intersect(words, F.array(*(F.lit(w) for w in dict.fromkeys(s.split()))))) for lang, s in STOP_WORDS.items()}
-    best = F.greatest(*(F.struct(c.alias("n"), F.lit(-k).alias("k"), F.lit(lang).alias("name")) for k, (lang, c) in enumerate(hits.items()) if lang != "English"))
-    voted = F.when((count >= 3) & (best["n"] >= 2) & (best["n"] > hits["English"]), best["name"]).otherwise("English")
+    listed = F.array(*(F.lit(w) for w in dict.fromkeys(" ".join(STOP_WORDS.values()).split())))
+
+    def vote(words: Column) -> Column:
+        def of(known: Column) -> Column:  # the different stop words of any language, few, so that each language looks at these alone
+            hits = {lang: F.size(F.array_intersect(known, F.array(*(F.lit(w) for w in dict.fromkeys(s.split()))))) for lang, s in STOP_WORDS.items()}
+            best = F.greatest(*(F.struct(c.alias("n"), F.lit(-k).alias("k"), F.lit(lang).alias("name")) for k, (lang, c) in enumerate(hits.items()) if lang != "English"))
+            return F.when((best["n"] >= 2) & (best["n"] > hits["English"]), best["name"]).otherwise("English")
+
+        return F.when(F.size(words) >= 3, _let(F.array_intersect(words, listed), of)).otherwise("English")
+
+    voted = _let(F.regexp_extract_all(F.lower(u), F.lit(r"(\p{L}{2,})"), 1), vote)
     if script_only is not None:
         voted = F.when(script_only, "English").otherwise(voted)
     return F.when(n < 8, None).when(u.rlike(r"[\p{L}\p{M}&&[^\u0000-ɏ]]") & (other / n >= 0.3), most["name"]).otherwise(voted)

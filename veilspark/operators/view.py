@@ -53,6 +53,23 @@ def extras(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return found[0].union(found[1])
 
 
+def placed_extras(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, site, text, start, end): extras with their places, from the texts between the matches."""
+    out = []
+    for site, p in EXTRAS:
+        hits, gaps = F.regexp_extract_all(text_col, F.lit(p), F.lit(0)), F.split(text_col, p, -1)
+        each = docs.where(F.col(text_col).rlike(p)).select(id_col, gaps.alias("g"), hits.alias("h")).select(id_col, "g", "h", F.posexplode("h").alias("k", "v"))
+        size = lambda c, n: F.aggregate(F.slice(c, F.lit(1), n), F.lit(0), lambda a, x: a + F.length(x))
+        start = size(F.col("g"), F.col("k") + 1) + size(F.col("h"), F.col("k"))
+        out.append(each.select(id_col, F.lit(site).alias("site"), F.regexp_replace("v", r"[.,;:]+\z", "").alias("text"), start.alias("start")))
+    return out[0].union(out[1]).withColumn("end", F.col("start") + F.length("text"))
+
+
+def extras_beside(extras: DataFrame, found: DataFrame, id_col: str = "pair_id") -> DataFrame:
+    """Extras that no item (id, b_start, b_end) overlaps."""
+    return intervals.overlap_join(extras, found, id_col, "left_anti").select(*extras.columns)
+
+
 def items(l1: DataFrame, l2: DataFrame, labels: DataFrame | None = None, id_col: str = "pair_id") -> DataFrame:
     """A row for each value found in the original: its site label, whether it is labelled (yes, no, other), how it is redacted, ok.
 
