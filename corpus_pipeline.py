@@ -59,9 +59,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents. What stages return is kept in the shared folder."""
     from veilspark.llm import shared
 
-    shared.prepared(spark)
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    folder = os.path.join(root, f"pipeline-{uuid.uuid4().hex}")
+    folder = os.path.join(shared.folder(spark), f"pipeline-{uuid.uuid4().hex}")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}-{name}"

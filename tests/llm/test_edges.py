@@ -232,6 +232,7 @@ def test_classifiers_on_held_out_labels(spark):
     assert sum(r.is_toxic and not r.toxic for r in t) <= 4 and sum(r.is_toxic for r in t if r.toxic) >= 0.85 * sum(r.toxic for r in t)
     q = op6_quality_classifier(spark, sf).drop("quality").join(labels, "doc_id").collect()
     assert sum(r.keep for r in q if r.quality) >= 0.98 * sum(r.quality for r in q)
+    assert sum(not r.keep for r in q if not r.quality) >= 0.95 * sum(not r.quality for r in q)
 
 
 def test_toxicity_on_held_out_labels(spark):
@@ -243,6 +244,36 @@ def test_toxicity_on_held_out_labels(spark):
     assert sum(r.is_toxic for r in seen if not r.toxic) <= 0.02 * sum(not r.toxic for r in seen)
 
 
+def test_accuracies_are_estimated():
+    """Documents of three defects and heuristics of given accuracies: the estimate is near them, whatever the start."""
+    rng = np.random.default_rng(6)
+    n, k = 60000, len(quality.HEURISTICS)
+    kind = rng.choice(4, n, p=[0.85, 0.05, 0.06, 0.04])
+    says_bad = np.full((4, k), 0.01)
+    says_bad[1, 0], says_bad[2, 1], says_bad[3, 2] = 0.95, 0.9, 0.97
+    votes = np.where(rng.random((n, k)) < says_bad[kind], 0, 1)
+    votes[rng.random((n, k)) < 0.2] = -1
+    patterns, back, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+    good, prior, right = quality.estimate(patterns, counts.astype(float))
+    called = good[back.ravel()] >= 0.5
+    assert np.mean(called[kind == 0]) > 0.93 and np.mean(~called[kind > 0]) > 0.7
+    assert abs(right[1, 0] - 0.05) < 0.1 and abs(right[2, 1] - 0.1) < 0.12 and right[0].min() > 0.97
+
+
+def test_quality_rows(spark):
+    """Nulls, blanks, long texts, repeated rows and clashing names, by content."""
+    plain = "Rivers run from the hills to the sea and carry sand with them all the year"
+    rows = [(i, f"{plain} number {i}", 0.1, True) for i in range(60)] + [(100 + i, f"BUY&&& NOW### THE%%% BEST$$$ {i}### OF&&& ALL$$$ THE%%% THINGS###", 0.9, False) for i in range(12)]
+    rows += [(200, None, 0.5, True), (201, "", 0.5, True), (202, " \t\n", 0.5, True), (203, (plain + ". ") * 3000, 0.5, True), (204, plain, 0.5, True), (204, plain, 0.5, True), (None, plain, 0.5, True)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality double, keep boolean")
+    got = quality.score(docs, *quality.train(docs)).collect()
+    assert len(got) == len(rows)
+    keep = {(r.doc_id, r.text): r.keep for r in got}
+    assert all(keep[r[0], r[1]] for r in rows[:60]) and not any(keep[r[0], r[1]] for r in rows[60:72])
+    assert not keep[200, None] and not keep[201, ""] and not keep[202, " \t\n"] and keep[204, plain] and keep[None, plain]
+    assert sum(r.doc_id == 204 for r in got) == 2
+
+
 def test_toxicity_rows(spark):
     """Nulls, empty and long texts, repeated rows, clashing names, given categories, no labels, one class."""
     rows = [(i, "calm words about rivers " + str(i), True, 0.5) for i in range(40)] + [(100 + i, f"you {'vile' if i % 2 else 'rotten'} creature {i}", False, 0.5) for i in range(40)]

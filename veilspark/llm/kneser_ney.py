@@ -29,6 +29,7 @@ from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -151,6 +152,7 @@ def _counted(n: int, folder: str):
                 ws.append(text.unpacked(k, np.uint64, True)[text.unpacked(p, np.uint32)])
                 cs.append(text.unpacked(c, np.uint32))
         if shard is None:
+            _store(folder, f"b{TaskContext.get().partitionId()}", np.zeros(0, np.uint64), np.zeros(0, np.int64))
             return
         v, w, c = np.concatenate(vs), np.concatenate(ws), np.concatenate(cs).astype(np.int64)
         h = pair_hash(v, w)
@@ -194,6 +196,7 @@ def _words(folder: str):
                 if r["stats"] is not None:
                     stats += np.array(r["stats"])
         if shard is None:
+            _store(folder, f"w{TaskContext.get().partitionId()}", np.zeros(0, np.uint64), *np.zeros((len(FIELDS), 0), np.int64))
             return
         word, total = _summed(np.concatenate(words), np.concatenate(numbers, axis=1))
         _store(folder, f"w{shard}", word, *total)
@@ -225,10 +228,8 @@ class Model:
         at = runs(part[order])
         for i, j in zip(at[:-1], at[1:]):
             own = order[i:j]
-            shard = _shard(f"{self.folder}/{kind}{part[own[0]]}")
-            if shard:
-                for to, x in zip(out, shard.find(hashes[own])):
-                    to[own] = x
+            for to, x in zip(out, _shard(f"{self.folder}/{kind}{part[own[0]]}").find(hashes[own])):
+                to[own] = x
         return out
 
     def score(self, hashes: np.ndarray, ptr: np.ndarray) -> dict[str, np.ndarray]:
@@ -250,8 +251,9 @@ class Model:
 
 
 @lru_cache(maxsize=4096)
-def _shard(path: str) -> Shard | None:
-    return Shard(path) if os.path.exists(path) else None
+def _shard(path: str) -> Shard:
+    """A shard; every part of the model has a file, empty ones too, so that one that isn't there is an error."""
+    return Shard(path)
 
 
 def local_path(folder: str) -> str:
@@ -265,8 +267,7 @@ def train(docs: DataFrame, text_col: str = "text", chunk: int = text.CHUNK_WORDS
     """Learns from all rows of docs."""
     spark = shared.prepared(docs.sparkSession)
     n = shared.parts(spark)
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    folder = f"{local_path(root)}/kneser-ney-{uuid.uuid4().hex}"
+    folder = f"{local_path(shared.folder(spark))}/kneser-ney-{uuid.uuid4().hex}"
     os.makedirs(folder)
     sent = docs.select(F.col(f"`{text_col}`").cast("string").alias("_text")).mapInArrow(_bigrams(n, chunk), _WIRE)
     counted = shared.routed(sent, n).mapInArrow(_counted(n, folder), _COUNTED)

@@ -1,18 +1,20 @@
 """Quality by a weak-label model.
 
 Overlapping heuristics vote good, bad or nothing on every document. Their votes are counted by pattern over all
-documents in Spark (at most 3^heuristics patterns), and expectation-maximisation finds from the counts how often each
-heuristic is right on good and on bad documents, and how common bad ones are: the heuristics are taken as independent
-given the class. It starts from the view that a heuristic speaks up against few good documents, each for a defect of
-its own, so that one vote against a document outweighs those that miss its defect. The posterior of a pattern labels its
-documents. A hashed linear scorer is fitted to the posteriors of a bounded sample, the first SAMPLE documents in the order of their ids' hashes,
-and scores all documents, each whole.
+documents in Spark (at most 3^heuristics patterns), and expectation-maximisation over these counts estimates how common
+good documents are, how common each kind of bad ones, and how often each heuristic is right on every kind: heuristics
+are taken as independent given the kind. There is a kind of bad documents for each heuristic's defect, as documents of
+one defect look good to the other heuristics; the estimate starts with each vote against a document as a sign of its own
+defect, and nothing is held fixed after that. The posterior of a pattern labels its documents. A hashed linear scorer is
+fitted to the posteriors of a bounded sample, documents in the order of their ids' hashes while their rows sum up to at
+most SAMPLE, and scores all documents, each whole.
 
 Features of the scorer: the shapes of words (runs of lower case, capitals, digits and each sign), hashed into BUCKETS,
 by the root of their share among a document's words; and the hashed steps of length, repetition and word length.
 
-Defined cases: a null, empty or blank text has no words, gets no vote and is not kept; rows are judged one by one,
-whatever their ids, and keep all their columns; an empty table gives an empty result.
+Defined cases: a null, empty or blank text has no words, gets no vote and is not kept; texts of any length are read
+whole; a score at the threshold is kept; rows are judged one by one, whatever their ids, and keep all their columns but
+those of the result's names; an id of more than SAMPLE rows is not learnt from; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,9 +31,8 @@ from pyspark.sql import types as T
 from veilspark.llm import linear, shared, text
 
 SAMPLE, BUCKETS, THRESHOLD, ROUNDS = 6000, 1 << 12, 0.5, 100
-#: Heuristics name defects and are held to vote right on good documents at least this often; else the estimate may
-#: settle on one kind of defect and take the others for good.
-RIGHT_ON_GOOD = 0.999
+#: What is added to the counts that accuracies are estimated from.
+PSEUDO = 0.1
 SIGNS = np.zeros(256, bool)
 SIGNS[[*b"#$%&*|^~<>=+_@\\{}[]"]] = True
 UPPER, LETTER = np.zeros(256, bool), np.zeros(256, bool)
@@ -40,7 +41,7 @@ LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 #: lower case and bytes from 0x80 are alike, so are capitals and digits; signs stand for themselves
 SHAPE = np.arange(256, dtype=np.uint8)
 SHAPE[97:123], SHAPE[65:91], SHAPE[48:58], SHAPE[128:] = 97, 65, 48, 97
-HEURISTICS = ("signs", "capitals", "shouts", "columns", "repeats", "words", "letters")
+HEURISTICS = ("signs", "capitals", "shouts", "columns", "repeats", "letters")
 
 
 def measures(data: np.ndarray, bounds: np.ndarray, starts: np.ndarray, ends: np.ndarray, ptr: np.ndarray) -> dict[str, np.ndarray]:
@@ -76,30 +77,37 @@ def votes(m: dict[str, np.ndarray]) -> np.ndarray:
     two = lambda x, bad, good, on=True: np.where(on & (x >= bad), 0, np.where(on & (x <= good), 1, -1))
     return np.column_stack([
         two(m["signs"], 0.15, 0.02, m["n"] > 0), two(m["capitals"], 0.5, 0.15, m["letters"] >= 20), two(m["shouts"], 0.1, 0.01, m["n"] > 0),
-        two(m["columns"], 0.1, 0.01, m["n"] > 0), two(m["repeats"], 0.35, 0.12, long), np.where(m["n"] >= 20, 1, -1),
+        two(m["columns"], 0.1, 0.01, m["n"] > 0), two(m["repeats"], 0.35, 0.12, long),
         np.where(long & ((m["length"] < 2) | (m["length"] > 25) | (m["letter_share"] < 0.5)), 0, np.where(long & (m["letter_share"] > 0.7), 1, -1)),
     ]).astype(np.int8)
 
 
-def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """The posterior that documents of each pattern are good."""
+def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The posterior that documents of each pattern are good; and by class (good ones, then a class for each heuristic's
+    defect) how common it is, and how often each heuristic that votes votes good."""
+    k = patterns.shape[1]
+    classes = k + 1
+    good, bad = (patterns == 1).astype(float), (patterns == 0).astype(float)
     if not len(patterns):
-        return np.zeros(0)
-    good, bad = (patterns == 1), (patterns == 0)
-    q = np.where(bad.any(1), 0.1, np.where(good.any(1), 0.9, 0.5))
+        return np.zeros(0), np.full(classes, 1 / classes), np.full((classes, k), 0.5)
+    # at first whoever has a vote against it is in that heuristic's class, shared if several speak up
+    q = np.column_stack([np.where(bad.any(1), 1e-3, 1.0), bad / np.maximum(bad.sum(1, keepdims=True), 1) + 1e-3])
+    q /= q.sum(1, keepdims=True)
+    own = np.zeros((classes, k))
+    own[1:] = np.eye(k)
     for _ in range(rounds):
-        a, c = counts * q, counts * (1 - q)
-        prior = (a.sum() + 1) / (counts.sum() + 2)
-        # chance of a good vote, given that it votes, on good and on bad documents
-        hit = (a @ good + 8) / (a @ (good | bad) + 10)
-        miss = (c @ good + 1) / (c @ (good | bad) + 4)
-        hit = np.maximum(hit, np.maximum(miss, RIGHT_ON_GOOD))
-        z = np.log(prior / (1 - prior)) + good @ np.log(hit / miss) + bad @ np.log((1 - hit) / (1 - miss))
-        new = linear.sigmoid(z)
+        w = counts[:, None] * q
+        prior = (w.sum(0) + 1) / (counts.sum() + classes)
+        # chance of a good vote, given that it votes; one vote's weight for what the class is, so that none is certain
+        right = (w.T @ good + PSEUDO * (1 - own)) / (w.T @ (good + bad) + PSEUDO * (2 - own))
+        right = np.clip(right, 1e-4, 1 - 1e-4)
+        z = np.log(prior) + good @ np.log(right).T + bad @ np.log(1 - right).T
+        new = np.exp(z - z.max(1, keepdims=True))
+        new /= new.sum(1, keepdims=True)
         if np.abs(new - q).max() < 1e-9:
             break
         q = new
-    return q
+    return q[:, 0], prior, right
 
 
 def shape_features(data: np.ndarray, bounds: np.ndarray, m: dict[str, np.ndarray], starts: np.ndarray, ends: np.ndarray, ptr: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -157,7 +165,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     rows = texts.select("_text").mapInArrow(_voted, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").collect()
     codes = np.array([r.pattern for r in rows], np.int64)
     patterns = (codes[:, None] // 3 ** np.arange(len(HEURISTICS)) % 3 - 1) if len(codes) else np.zeros((0, len(HEURISTICS)))
-    posterior = dict(zip(codes.tolist(), estimate(patterns, np.array([r.n for r in rows], float)).tolist()))
+    posterior = dict(zip(codes.tolist(), estimate(patterns, np.array([r.n for r in rows], float))[0].tolist()))
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -170,8 +178,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
             both = [(bucket[order[i:j]].astype(np.int64).tobytes(), value[order[i:j]].tobytes()) for i, j in zip(at[:-1], at[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(code), pa.array([x for x, _ in both], pa.binary()), pa.array([x for _, x in both], pa.binary())], names=["pattern", "buckets", "amounts"])
 
-    ids = texts.select("_id").distinct().orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    got = texts.join(F.broadcast(ids), "_id", "left_semi").select("_text").mapInArrow(sampled, "pattern long, buckets binary, amounts binary").collect()
+    ids = shared.first_ids(texts.groupBy("_id").count(), sample)
+    got = texts.join(F.broadcast(ids.select("_id")), "_id", "left_semi").select("_text").mapInArrow(sampled, "pattern long, buckets binary, amounts binary").collect()
     got.sort(key=lambda r: (r.pattern, r.buckets, r.amounts))
     used = np.unique(np.concatenate([np.frombuffer(r.buckets, np.int64) for r in got])) if got else np.zeros(0, np.int64)
     x = np.zeros((len(got), len(used)), np.float32)

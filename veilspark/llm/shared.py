@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veilspark.plans.materialize import with_folder
+
 #: Rows and bytes of an Arrow batch; long texts make batches of few rows.
 BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 
@@ -20,9 +21,43 @@ def prepared(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="veilspark-"))
-    return spark
+    return with_folder(spark)
+
+
+def folder(spark: SparkSession) -> str:
+    """The shared folder: the setting's, or the one that was made in local mode."""
+    prepared(spark)
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+
+
+def first_ids(counted: DataFrame, most: int) -> DataFrame:
+    """Of (_id, count, ...) the first ids in the order of their hashes whose rows sum up to at most `most`; an id of more
+    rows is passed over. At most `most` rows go through the driver."""
+    rows = [r for r in counted.where(F.col("_id").isNotNull()).orderBy(F.xxhash64("_id"), "_id").limit(most).collect()]
+    kept, n = [], 0
+    for r in rows:
+        if n + r["count"] <= most:
+            n += r["count"]
+            kept.append(tuple(r))
+    return counted.sparkSession.createDataFrame(kept, counted.schema)
+
+
+#: Keys of more than a share of 1 / HEAVY of all rows are fewer than HEAVY: small enough to broadcast, whatever the size of the data.
+HEAVY = 4096
+
+
+def joined_spread(rows: DataFrame, groups: DataFrame, keys: list[str], count: str, how: str = "inner") -> DataFrame:
+    """rows joined with groups, which has one row a key and in `count` its number of rows. Keys with more than a share of
+    1 / HEAVY of the counted rows, at most HEAVY of them, are looked up in a broadcast, so that none of their rows move;
+    what is shuffled has no key of more rows than that share. how: inner or left. Groups should be checkpointed."""
+    total = groups.agg(F.sum(count).alias("n")).first()["n"] or 0
+    heavy = groups.where(F.col(count) > total / HEAVY)
+    more = [c for c in groups.columns if c not in keys]
+    marked = heavy.select(*keys, F.struct(*more).alias("_heavy"))
+    there = rows.join(F.broadcast(marked), keys, "left")
+    found = there.where("_heavy is not null").select(*rows.columns, *(F.col("_heavy").getField(c).alias(c) for c in more))
+    rest = there.where("_heavy is null").select(*rows.columns).join(groups.where(F.col(count) <= total / HEAVY), keys, how).select(*rows.columns, *more)
+    return found.union(rest)
 
 
 def parts(spark: SparkSession) -> int:

@@ -218,12 +218,8 @@ def train(
     known = known.agg(F.max(F.col(f"`{label_col}`").cast("int")).alias("_label"), *(F.coalesce(F.max(F.col(f"`{c}`").cast("int")), F.lit(0)).alias(f"_c{k}") for k, c in enumerate(categories)))
     known = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"))
-    found = texts.select("_id").join(F.broadcast(known), "_id").groupBy(*known.columns).count().orderBy(F.xxhash64("_id"), "_id").collect()  # at most sample ids
-    chosen, rows = {}, 0
-    for r in found:
-        if rows + r["count"] <= sample:
-            rows += r["count"]
-            chosen[r["_id"]] = r
+    counted = texts.select("_id").join(F.broadcast(known), "_id").groupBy(*known.columns).count()
+    chosen = {r["_id"]: r for r in shared.first_ids(counted, sample).collect()}
     if len({r["_label"] > 0 for r in chosen.values()}) < 2:
         return nothing
     ids = F.broadcast(spark.createDataFrame([(i, int(r["_label"] > 0)) for i, r in chosen.items()], "_id long, _label int"))
