@@ -158,6 +158,18 @@ def test_embedding_dedup(spark):
         assert got[i] == (len(links[i]), min(seen), min(seen) == i)
 
 
+def test_embedding_rows_that_share_an_id(spark, monkeypatch):
+    """Each is a row of its own; heavy keys are looked up by broadcast with the same result; clashing names, empty table."""
+    e = lambda *x: [float(v) for v in x]
+    rows = [(1, e(1, 0, 0), 0, 5), (2, e(1, 0.01, 0), 0, 5), (1, e(0, 1, 0), 1, 5), (3, e(0, 1, 0.01), 1, 5), (4, e(0, 0, 1), 1, 5), (1, e(0, 0, 1), 1, 5), (5, e(0, 1, 0.02), 1, 5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, n_links int")
+    want = [(1, 1, 1, True), (1, 1, 1, True), (1, 2, 1, True), (2, 1, 1, False), (3, 2, 1, False), (4, 1, 1, False), (5, 2, 1, False)]
+    assert sorted(tuple(r) for r in embedding_dedup.near_duplicates(df).collect()) == want
+    monkeypatch.setattr(shared, "HEAVY", 2)
+    assert sorted(tuple(r) for r in embedding_dedup.near_duplicates(df).collect()) == want
+    assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
+
+
 def test_decontamination_stands_substitutions(spark):
     rng = np.random.default_rng(4)
     item = [f"t{i}" for i in range(40)]
@@ -221,8 +233,25 @@ def test_huge_texts_are_counted_from_their_spliced_chunks(monkeypatch):
     count = lambda: next(token_counts._counted(path, 200, 8, schema)(iter([pa.RecordBatch.from_arrays([pa.array(texts)], ["_text"])]))).column(2).to_pylist()
     want = [len(library.encode(t or "", add_special_tokens=False).ids) for t in texts]
     assert count() == want
-    monkeypatch.setattr(token_counts, "spans_of", lambda said, *_: [(0, 5)])
-    assert count() == [*want[:2], len(library.encode(texts[2][:5], add_special_tokens=False).ids), *want[3:]]
+    monkeypatch.setattr(token_counts, "spliced", lambda said, *_: [(0, len(said), [0, 1, 2])])
+    assert count() == [*want[:2], 3, *want[3:]]
+
+
+def test_splices_of_odd_texts():
+    """Any chunk and overlap gives the library's tokens, in spans that make up the text."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
+    starts = lambda said: [a for a, _ in library.encode(said, add_special_tokens=False).offsets]
+    rng, bits, many = random.Random(1), ["word", "größer", "日本語", " ", "  ", "\n", "\t", ",", "!!", "don't", "123", "x" * 40, "<|endoftext|>", "\u3000", "\xa0"], 0
+    for _ in range(300):
+        said = "".join(rng.choice(bits) for _ in range(rng.randint(0, 120)))
+        spans = list(token_counts.spliced(said, starts, rng.choice([16, 40, 100]), rng.choice([2, 8, 30])))
+        many += len(spans) > 1
+        assert "".join(said[a:z] for a, z, _ in spans) == said and [x for *_, t in spans for x in t] == starts(said)
+    assert many > 100
 
 
 def test_classifiers_on_held_out_labels(spark):

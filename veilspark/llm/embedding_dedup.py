@@ -13,7 +13,8 @@ copies costs rows in proportion to its size.
 
 Defined cases: a vector that is null, empty, zero or holds a null or a component that isn't finite, and one without a
 label or id, links with nothing and is kept; vectors of different lengths don't link; rows that share an id are rows of
-their own and count as other vectors.
+their own and count as other vectors; cosines at the threshold link; other columns are dropped; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -112,26 +113,26 @@ def _placed(axes: dict[int, np.ndarray], width: float):
                 cell[rows] = np.floor((unit(x) @ axes[n][:, 0]) / width).astype(np.int64)
                 for r, v in zip(rows.tolist(), x):
                     raw[r] = v.astype("<f8").tobytes()
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(d), pa.array(cell), pa.array(raw, pa.binary())], names=["label", "rep", "m", "d", "cell", "raw"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(d), pa.array(cell), pa.array(raw, pa.binary()), b.column(4)], names=["label", "rep", "m", "d", "cell", "raw", "own"])
 
     return run
 
 
 def _block(key: tuple, table: pa.Table) -> pa.Table:
-    table = table.sort_by("rep")
+    table = table.sort_by([("rep", "ascending"), ("own", "ascending")])
     blob = lambda c: table.column(c).to_numpy().astype("<i8").tobytes()
     own = {c: table.column(c).slice(0, 1) for c in ("label", "d", "cell", "blk")}
-    return pa.table({**own, "ids": pa.array([blob("rep")], pa.binary()), "ms": pa.array([blob("m")], pa.binary()), "x": pa.array([b"".join(table.column("raw").to_pylist())], pa.binary())})
+    return pa.table({**own, "ids": pa.array([blob("rep")], pa.binary()), "owns": pa.array([blob("own")], pa.binary()), "ms": pa.array([blob("m")], pa.binary()), "x": pa.array([b"".join(table.column("raw").to_pylist())], pa.binary())})
 
 
 def _tiled(axes: dict[int, np.ndarray], cosine: float):
-    """(id, links, root) for the vectors that have links in a tile."""
+    """(node, links, root) for the classes that have links in a tile; a node is an id and the hash of its class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
                 d, same = r["d"], r["same"]
-                ids, ms = [np.frombuffer(r[k], "<i8") for k in ("ids", "ids2")], [np.frombuffer(r[k], "<i8") for k in ("ms", "ms2")]
+                ids, owns, ms = ([np.frombuffer(r[k], "<i8") for k in (c, c + "2")] for c in ("ids", "owns", "ms"))
                 x, y = linked(np.frombuffer(r["x"], "<f8").reshape(-1, d), np.frombuffer(r["x2"], "<f8").reshape(-1, d), axes[d], cosine)
                 if same:
                     x, y = x[x != y], y[x != y]
@@ -139,17 +140,18 @@ def _tiled(axes: dict[int, np.ndarray], cosine: float):
                     continue
                 n = len(ids[0])
                 links = np.concatenate([np.bincount(x, ms[1][y], n), np.bincount(y, ms[0][x], len(ids[1]))]).astype(np.int64)
-                node = np.concatenate(ids)
+                node, own = np.concatenate(ids), np.concatenate(owns)
                 if same:
-                    node, links = node[:n], links[:n]
+                    node, own, links = node[:n], own[:n], links[:n]
                 else:
                     y = y + n
-                order = np.argsort(node, kind="stable")  # so that the smallest label is the smallest id
+                order = np.lexsort((own, node))  # so that the smallest label is the smallest node
                 place = np.empty(len(node), np.int64)
                 place[order] = np.arange(len(node))
-                root = node[order][_settled(len(node), place[x], place[y])][place]
+                root = order[_settled(len(node), place[x], place[y])][place]
                 some = links > 0
-                yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(links[some]), pa.array(root[some])], names=["id", "links", "root"])
+                pair = lambda at: pa.StructArray.from_arrays([pa.array(node[at]), pa.array(own[at])], ["id", "own"])
+                yield pa.RecordBatch.from_arrays([pair(some), pa.array(links[some]), pair(root[some])], names=["node", "links", "root"])
 
     return run
 
@@ -161,7 +163,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     fine = F.col("id").isNotNull() & F.col("label").isNotNull() & F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("v", lambda x: x != 0), F.lit(False))
     rows = rows.withColumn("v", F.when(fine, F.transform("v", lambda x: x.cast("double"))))
     able = rows.where("v is not null")
-    classes = able.groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("m")).checkpoint()
+    # a class of equal vectors is a node: its smallest id, and a hash that tells classes of one id apart
+    classes = able.groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("m")).withColumn("own", F.xxhash64("label", "v")).checkpoint()
     sums: dict[int, np.ndarray] = {}
     for r in classes.select("v").mapInArrow(_moments, "d long, k long, v double").groupBy("d", "k").agg(F.sum("v").alias("v")).collect():
         sums.setdefault(r.d, np.zeros(r.d * r.d))[r.k] = r.v
@@ -169,18 +172,22 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     # unit vectors of cosine c are sqrt(2 - 2c) apart, and no further along an axis; twice a cell holds that
     width = max(np.sqrt(max(2 - 2 * cosine, 0.0)) / 2 + 1e-9, 1e-3)
     label_type = dict(classes.dtypes)["label"]
-    placed = classes.select("label", "rep", "m", "v").mapInArrow(_placed(axes, width), f"label {label_type}, rep long, m long, d long, cell long, raw binary")
-    size = placed.groupBy("label", "d", "cell").agg(F.count("*").alias("c"))
-    keyed = placed.join(size, ["label", "d", "cell"]).withColumn("blk", F.pmod(F.xxhash64("rep"), F.ceil(F.col("c") / block)))
-    blocks = keyed.groupBy("label", "d", "cell", "blk").applyInArrow(_block, f"label {label_type}, d long, cell long, blk long, ids binary, ms binary, x binary").checkpoint()
+    placed = classes.select("label", "rep", "m", "v", "own").mapInArrow(_placed(axes, width), f"label {label_type}, rep long, m long, d long, cell long, raw binary, own long").checkpoint()
+    size = placed.groupBy("label", "d", "cell").agg(F.count("*").alias("c")).checkpoint()
+    keyed = shared.joined_spread(placed, size, ["label", "d", "cell"], "c").withColumn("blk", F.pmod(F.xxhash64("rep", "own"), F.ceil(F.col("c") / block)))
+    blocks = keyed.repartition("label", "d", "cell", "blk").groupBy("label", "d", "cell", "blk").applyInArrow(_block, f"label {label_type}, d long, cell long, blk long, ids binary, owns binary, ms binary, x binary").checkpoint()
     keys = blocks.select("label", "d", "cell", "blk")
     ahead = keys.withColumn("step", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).withColumn("cell2", F.col("cell") + F.col("step"))
     pairs = ahead.join(keys.select("label", "d", F.col("cell").alias("cell2"), F.col("blk").alias("blk2")), ["label", "d", "cell2"]).where("step > 0 or blk2 >= blk")
-    other = blocks.select("label", "d", F.col("cell").alias("cell2"), F.col("blk").alias("blk2"), F.col("ids").alias("ids2"), F.col("ms").alias("ms2"), F.col("x").alias("x2"))
-    tiles = pairs.join(blocks, ["label", "d", "cell", "blk"]).join(other, ["label", "d", "cell2", "blk2"]).select("d", (F.expr("step = 0 and blk = blk2")).alias("same"), "ids", "ms", "x", "ids2", "ms2", "x2")
-    found = tiles.mapInArrow(_tiled(axes, cosine), "id long, links long, root long").checkpoint()
-    links = found.groupBy(F.col("id").alias("rep")).agg(F.sum("links").alias("links"))
-    label = shared.components(found.select(F.col("id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
-    named = classes.join(links, "rep", "left").join(label, "rep", "left").select("label", "v", "rep", (F.col("m") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    out = rows.join(named, ["label", "v"], "left").select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
-    return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    other = blocks.select("label", "d", F.col("cell").alias("cell2"), F.col("blk").alias("blk2"), F.col("ids").alias("ids2"), F.col("owns").alias("owns2"), F.col("ms").alias("ms2"), F.col("x").alias("x2"))
+    tiles = pairs.join(blocks, ["label", "d", "cell", "blk"]).join(other, ["label", "d", "cell2", "blk2"]).select("d", (F.expr("step = 0 and blk = blk2")).alias("same"), "ids", "owns", "ms", "x", "ids2", "owns2", "ms2", "x2")
+    found = tiles.mapInArrow(_tiled(axes, cosine), "node struct<id: long, own: long>, links long, root struct<id: long, own: long>").checkpoint()
+    links = found.groupBy("node").agg(F.sum("links").alias("links"))
+    label = shared.components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    keyed = classes.withColumn("node", F.struct(F.col("rep").alias("id"), "own"))
+    named = keyed.join(links, "node", "left").join(label, "node", "left").select("label", "own", "v", "m", (F.col("m") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component.id", "rep").alias("component_id"))
+    named = named.withColumnRenamed("v", "_v").checkpoint()
+    # rows find their class by its hash, and are its members if the vectors are equal
+    there = shared.joined_spread(able.withColumn("own", F.xxhash64("label", "v")).withColumn("label", F.col("label")), named, ["label", "own"], "m").where("v = _v")
+    out = there.select("id", "n_links", "component_id").union(rows.where("v is null").select("id", F.lit(0).cast("long"), F.col("id")))
+    return out.select(F.col("id").alias(id_col), F.col("n_links").cast("long").alias("n_links"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))

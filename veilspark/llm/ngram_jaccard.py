@@ -339,7 +339,7 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     told = shared.routed(sent, n).mapInArrow(_frequencies(n), _WIRE)
     sets = shared.routed(told, n).mapInArrow(_sets(percent), _SET).checkpoint()
     able = sets.where("tokens is not null")
-    copies = able.groupBy("n", "f0", "f1").agg(F.min("_id").alias("rep"), F.count("*").alias("c"))
+    copies = able.groupBy("n", "f0", "f1").agg(F.min("_id").alias("rep"), F.count("*").alias("c")).checkpoint()
     reps = able.join(copies.select(F.col("rep").alias("_id")), "_id", "left_semi").select("_id", "n", "rare", "central", "tokens").checkpoint()
     signed = reps.mapInArrow(_signed(percent), "sig long, id long, n long, own long, central double")
     # the pivot of a signature is its most central document, which copies that differ in different places still link to
@@ -352,7 +352,7 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     more = _across(signed, reps, label, percent).checkpoint()
     if not more.isEmpty():
         label = shared.components(links.union(more))
-    copies = able.select("_id", "n", "f0", "f1").join(copies.where("c > 1").select("n", "f0", "f1", "rep"), ["n", "f0", "f1"]).select("_id", "rep")
+    copies = shared.joined_spread(able.select("_id", "n", "f0", "f1"), copies.where("c > 1"), ["n", "f0", "f1"], "c").select("_id", "rep")
     own = sets.select("_id", "n").join(copies, "_id", "left").withColumn("rep", F.coalesce("rep", "_id"))
     out = own.join(label.withColumnRenamed("node", "rep"), "rep", "left")
     return out.select(F.col("_id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))

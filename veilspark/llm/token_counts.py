@@ -4,7 +4,8 @@ A huge document is encoded in chunks that overlap. Two encodings of the overlap
 proven stable: a place that both have as a token's start and before which the pattern of the vocabulary must end a
 match (white space after another character), whatever stands further left or right. The tokens of the left chunk up to
 there and those of the right one from there on are spliced. If the overlap has no such place, it is widened, at the
-last to all that is left. Each chunk's tokens are counted between its two splices.
+last to the whole chunk, which is then encoded together with what follows. A text's tokens are those of its chunks'
+encodings between their splices; nothing is encoded again for the count.
 
 Texts of up to a chunk need no splice: their distinct pieces between stable boundaries are encoded once a worker, and
 counted by the piece. Those with special strings or other white space are encoded whole.
@@ -15,6 +16,7 @@ the library has it by default. Rows are counted one by one, whatever their ids,
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,31 +38,31 @@ def stable(said: str, at: int) -> bool:
     return 0 < at < len(said) and said[at] in _SPACE and not said[at - 1].isspace()
 
 
-def spans_of(said: str, encode, chunk: int = CHUNK, overlap: int = OVERLAP) -> Iterator[tuple[int, int]]:
-    """Chunks [start, end) of a text between stable boundaries at which two encodings of an overlap agree.
-    encode(text) gives the starts of its tokens, in characters."""
-    start = 0
-    while start < len(said):
-        wide, end = overlap, start + chunk
+def spliced(said: str, encode, chunk: int = CHUNK, overlap: int = OVERLAP) -> Iterator[tuple[int, int, list[int]]]:
+    """A text in spans [start, end) with the starts of the tokens of each, spliced from encodings of chunks that overlap.
+    encode(text) gives the starts of its tokens, in characters and in order."""
+    at, end, since = 0, min(chunk, len(said)), 0
+    own = encode(said[:end])
+    while end < len(said):
+        wide = overlap
         while True:
-            if end >= len(said):
-                yield start, len(said)
-                return
-            right = min(len(said), end + wide)
-            left_from = max(start, end - wide)
-            places = [p for p in range(right - 1, left_from, -1) if stable(said, p)]
-            if places:
-                back = max(start, left_from - wide)
-                left, ahead = set(encode(said[back:right])), set(encode(said[left_from:right]))
-                cut = next((p for p in places if p - back in left and p - left_from in ahead), None)
-                if cut is not None:
-                    break
-            wide *= 2
-            if right == len(said) and left_from == start:
-                yield start, len(said)
-                return
-        yield start, cut
-        start = cut
+            begin = max(at, end - wide)
+            stop = min(len(said), max(end + 1, begin + chunk))
+            ahead = [begin + x for x in encode(said[begin:stop])] if begin > at else None
+            if ahead is None:
+                break
+            both = set(own[bisect_left(own, begin) :]).intersection(ahead[: bisect_left(ahead, end)])
+            cut = min((p for p in both if p > since and stable(said, p)), default=None)
+            if cut is not None:
+                break
+            wide *= 2  # no place at which both agree: more overlap
+        if ahead is None:  # not even with all of the chunk: one encoding of it and as much again
+            end = min(len(said), end + max(chunk, end - at))
+            own = [at + x for x in encode(said[at:end])]
+            continue
+        yield since, cut, own[bisect_left(own, since) : bisect_left(own, cut)]
+        at, end, own, since = begin, stop, ahead, cut
+    yield since, len(said), own[bisect_left(own, since) :]
 
 
 def _counted(path: str, chunk: int, overlap: int, schema: T.StructType):
@@ -80,7 +82,7 @@ def _counted(path: str, chunk: int, overlap: int, schema: T.StructType):
             n = np.zeros(len(size), np.int64)
             for i in np.flatnonzero(whole):
                 said = raw[bounds[i] : bounds[i + 1]].decode()
-                n[i] = sum(len(library.encode(said[a:z], add_special_tokens=False).ids) for a, z in spans_of(said, starts, chunk, overlap))
+                n[i] = sum(len(tokens) for _, _, tokens in spliced(said, starts, chunk, overlap))
             ends = np.unique(bounds)
             a, z, ptr = pieces.pieces(data, ends, with_space=True)
             short = ~whole[np.searchsorted(bounds, a, "right") - 1]
