@@ -468,3 +468,111 @@ def extras_without_items(spark, sf_dir):
     docs = table(spark, sf_dir, "customer").selectExpr("c_custkey as doc_id", "concat('see https://site', c_custkey, '.org/a, plate KA ', lpad(cast(c_custkey % 100 as string), 2, '0'), ' AB ', lpad(cast(c_custkey % 10000 as string), 4, '0'), ' there') as text")
     found = docs.where("doc_id % 3 = 0").select("doc_id", F.lit(0).alias("b_start"), F.lit(10).alias("b_end"))
     return view.extras_beside(view.placed_extras(docs), found, "doc_id")
+
+
+@query(f"select n as doc_id, {made.cases([made.quoted(v) for _, v, _ in made.SPOKEN])} as verdict, {made.cases([made.quoted(m) if m else 'null' for _, _, m in made.SPOKEN])} as main_language from ({made.ROWS})")
+def spoken_languages(spark, sf_dir):
+    """Reports on texts of one language, and of English with a line of another."""
+    docs = _made(spark, sf_dir).selectExpr("n as doc_id", made.cases([t for t, _, _ in made.SPOKEN]) + " as text")
+    return language.document_report(docs).select("doc_id", "verdict", "main_language")
+
+
+@query(f"select n as id, {made.cases([made.quoted(w) for w, _ in made.WRITTEN])} as written, {made.cases([made.quoted(x) if x else 'null' for _, x in made.WRITTEN])} as label from ({made.ROWS})")
+def resolved_labels(spark, sf_dir):
+    from veilspark.functions.labels import resolve_column
+
+    rows = _made(spark, sf_dir).selectExpr("n as id", made.cases([made.quoted(w) for w, _ in made.WRITTEN]) + " as written")
+    return rows.select("id", "written", resolve_column(F.col("written")).alias("label"))
+
+
+def _line_arrays(spark, sf_dir, right: str) -> DataFrame:
+    each = lambda ks: "array(" + ", ".join(made.line(str(k)) for k in ks) + ")"
+    return _made(spark, sf_dir).selectExpr("n as pair_id", each(range(8)) + " as left_rows", each({"turned": [4, 5, 6, 7, 0, 1, 2, 3], "part": [2, 3, 4, 5]}[right]) + " as right_rows")
+
+
+@query(f"select n as pair_id, k::int as place, ((k + 4) % 8)::int as row_no, {made.line('k')} as text, 8 as moved from ({made.ROWS}), range(8) t(k)")
+def restored_order(spark, sf_dir):
+    """Rows that were turned round come back in the order of the left."""
+    from veilspark.operators import analyze
+
+    return analyze.reorder(_line_arrays(spark, sf_dir, "turned"))
+
+
+@query(f"select n as pair_id, 2 as left_from, 5 as left_to, 0 as right_from, 3 as right_to, 4 as matched from ({made.ROWS})")
+def comparable_ranges(spark, sf_dir):
+    from veilspark.operators import analyze
+
+    return analyze.comparable_range(_line_arrays(spark, sf_dir, "part"))
+
+
+@query(f"select n as pair_id, 8 as left_rows, 4 as right_rows, 4 as compared_left, 4 as compared_right, 4 as not_compared_left, 0 as not_compared_right, 0 as moved_rows from ({made.ROWS})")
+def coverage_of_pairs(spark, sf_dir):
+    """Rows compared, not compared and moved."""
+    from veilspark.operators import analyze
+
+    rows = _line_arrays(spark, sf_dir, "part")
+    return stats.coverage(rows, analyze.comparable_range(rows), analyze.reorder(rows).groupBy("pair_id").agg(F.max("moved").alias("moved")))
+
+
+@query(f"select n::varchar as task_id, 12::bigint as n_rows, 1::bigint as pieces, {made.lines(0, 11)} as text from ({made.ROWS})")
+def assembled_reads(spark, sf_dir):
+    """Twelve rows put together again from reads of five, the second half of which come in another order."""
+    from veilspark.streaming import assemble
+
+    row = lambda x: F.struct(x.alias("text"), F.array().cast("array<int>").alias("words"), F.lit(False).alias("para"))
+    d = _made(spark, sf_dir).selectExpr("n", "array(" + ", ".join(made.line(str(k)) for k in range(12)) + ") as l")
+    at = d.select("n", "l", F.posexplode(F.expr("array(0, 3, 2, 6, 5, 7)")).alias("seq", "at"))
+    reads = at.select(F.col("n").cast("string").alias("task_id"), F.col("seq").cast("long").alias("seq"), F.lit("left").alias("side"), F.lit("").alias("header"), F.to_json(F.transform(F.slice("l", F.col("at") + 1, F.lit(5)), row)).alias("rows"))
+    last = assemble.assemble_batch(reads).groupBy("task_id").agg(F.max_by(F.struct("n_rows", "pieces", "text"), "seq").alias("d"))
+    return last.select("task_id", "d.*")
+
+
+_PAGE = "'<html><head><style>x</style></head><body><h1>Case ' || cast(n as string) || '</h1><p>Write  to <span data-label=\"Person Email\">user' || cast(n as string) || '@gmail.com</span> now</p><script>var a = 1;</script><ul><li>one</li><li>two<br>three</li></ul></body></html>'"
+
+
+@query(f"select n as page_id, 'Case ' || n || chr(10) || 'Write to user' || n || '@gmail.com now' || chr(10) || 'one' || chr(10) || 'two' || chr(10) || 'three' || chr(10) as text from ({made.ROWS})")
+def made_page_texts(spark, sf_dir):
+    from veilspark.sources.html import text_of
+
+    return _made(spark, sf_dir).selectExpr("n as page_id", f"{_PAGE} as html").select("page_id", text_of(F.col("html")).alias("text"))
+
+
+@query(f"select n as page_id, 'Person Email' as label, true as known, (5 + length(n::varchar) + 1 + 9)::int as start, (5 + length(n::varchar) + 1 + 9 + 14 + length(n::varchar))::int as \"end\", 'user' || n || '@gmail.com' as text, false as placeholder from ({made.ROWS})")
+def made_page_labels(spark, sf_dir):
+    from veilspark.sources.html import page_labels
+
+    return page_labels(_made(spark, sf_dir).selectExpr("n as page_id", f"{_PAGE} as html")).drop("raw_label")
+
+
+_BBAN = "lpad(cast(n as string), 18, '7')"
+
+
+@query(f"select n, 'DE' || lpad(((98 - ({_BBAN} || '131400')::hugeint % 97 + n % 2) % 100)::varchar, 2, '0') || {_BBAN} as value, n % 2 = 0 as valid from ({made.ROWS})")
+def iban_checks(spark, sf_dir):
+    """Account numbers with their own check digits, and with others."""
+    from veilspark.functions.checksums import iban_column
+
+    digits = f"lpad(cast(cast((98 - cast({_BBAN} || '131400' as decimal(38, 0)) % 97 + n % 2) % 100 as int) as string), 2, '0')"
+    rows = _made(spark, sf_dir).selectExpr("n", f"'DE' || {digits} || {_BBAN} as value")
+    return rows.select("n", "value", iban_column(F.col("value")).alias("valid"))
+
+
+@query("""with f as (select c_nationkey as pair_id, case c_custkey % 5 when 0 then 'unlabeled' when 1 then 'wrong' when 2 then 'extra' when 3 then 'labeled' else 'check' end as status, case when c_custkey % 5 in (1, 2, 3) then 'Person Name' end as right_label, case c_custkey % 3 when 0 then 'yes' when 1 then 'no' end as verdict from customer),
+k as (select *, case when verdict = 'yes' and status = 'unlabeled' then 'label' when verdict = 'yes' and status = 'wrong' then 'relabel' when verdict = 'no' and status in ('labeled', 'wrong', 'extra') then 'remove' end as kind from f)
+select pair_id, sum((verdict is null)::int)::bigint as open, sum((verdict is not null and kind is null)::int)::bigint as ok, sum((verdict is not null and kind is not null)::int)::bigint as fix from k group by pair_id""")
+def reviewer_decisions_on_labels(spark, sf_dir):
+    from veilspark.operators import view
+
+    f = table(spark, sf_dir, "customer").selectExpr("c_nationkey as pair_id", "'Person Email' as label", "'x' as category", "case c_custkey % 5 when 0 then 'unlabeled' when 1 then 'wrong' when 2 then 'extra' when 3 then 'labeled' else 'check' end as status", "case when c_custkey % 5 in (1, 2, 3) then 'Person Name' end as right_label", "case c_custkey % 3 when 0 then 'yes' when 1 then 'no' end as verdict")
+    fix, kind, text = view.outcome("L1")
+    return view.decision_summary(f.withColumns({"fix": fix, "kind": kind, "outcome": text}))
+
+
+@query(f"""select n as read_id, k::int as row_no, case k when 0 then 'left ' || n || ' right' when 1 then 'below ' || n else 'far ' || n end as text, k = 2 as para from ({made.ROWS}), range(3) t(k)""")
+def rows_of_reads(spark, sf_dir):
+    """Lines with boxes as rows: two of one height are one row, and a gap begins a paragraph."""
+    from veilspark.operators import analyze
+
+    said = lambda text, x, y: f"named_struct('text', {text}, 'box', array({x}, {y}, 100, 20), 'words', cast(array() as array<struct<text: string, box: array<int>>>))"
+    read = f"to_json(named_struct('width', 1000, 'height', 1000, 'lines', array({said(chr(39) + 'right' + chr(39), 400, 101)}, {said(chr(39) + 'left ' + chr(39) + ' || n', 100, 100)}, {said(chr(39) + 'far ' + chr(39) + ' || n', 100, 200)}, {said(chr(39) + 'below ' + chr(39) + ' || n', 100, 130)})))"
+    return analyze.read_rows(_made(spark, sf_dir).selectExpr("n as read_id", f"{read} as read"), "read_id").select("read_id", "row_no", "text", "para")

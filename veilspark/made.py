@@ -170,3 +170,30 @@ REDACTED = [(0, 1, 1), (1, 0, 1), (1, 0, 1), (1, 0, 1), (1, 0, 1), (1, 0, 1), (0
 
 def redaction_counts_sql() -> str:
     return " union all ".join(f"select n as pair_id, {a}::bigint as replaced, {b}::bigint as leaked, {c}::bigint as detections from ({ROWS}) where n % {len(VERIFIED)} = {k}" for k, (a, b, c) in enumerate(REDACTED))
+
+
+# lines that no other line is like -----------------------------------------------------------------------------------
+
+
+def line(k: str) -> str:
+    """The k-th line of row n: four words of eight letters."""
+    h = f"md5(cast(n as string) || '-' || cast({k} as string))"
+    return " || ' ' || ".join(f"substring({h}, {1 + 8 * i}, 8)" for i in range(4))
+
+
+def lines(first: int, last: int) -> str:
+    """Lines first..last, parted by line breaks."""
+    return " || chr(10) || ".join(f"({line(str(k))})" for k in range(first, last + 1))
+
+
+#: Texts of one language each and what the report says: verdict, main language.
+SPOKEN = [
+    ("'The river is wide and the road to the old town is closed for the winter number ' || cast(n as string)", "english", None),
+    ("'El camino de la casa es largo y los niños de la escuela están en el parque con las madres ' || cast(n as string)", "other", "Spanish"),
+    ("'Der Weg zu dem Haus ist lang und die Kinder sind nicht mit den Eltern in der Stadt ' || cast(n as string)", "other", "German"),
+    ("'Le chemin de la maison est long et les enfants de la ville sont dans une école pour les petits ' || cast(n as string)", "other", "French"),
+    ("'The river is wide and the road to the old town is closed for the winter and the bridge is closed as well' || chr(10) || 'El camino de la casa es largo y los niños están en el parque ' || cast(n as string)", "mixed", "Spanish"),
+]
+
+#: Names of labels as sites write them, and what they stand for.
+WRITTEN = [("person-email", "Person Email"), ("EMAIL Address", "Person Email"), ("company", "Business Name"), ("ifsc_code", "IFSC Code"), ("aws account", "Account ID"), ("Overscrub", "Overscrubbed"), ("colour", None)]

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.functions.labels import is_placeholder, resolve, PLACEHOLDER
@@ -169,3 +169,14 @@ def text_of(html: Column) -> Column:
         return pages.map(lambda h: Page(h).text)
 
     return convert(html)
+
+
+def page_labels(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """(id, label, raw_label, known, start, end, text, placeholder): the labels that the markup of pages carries, with their places in the page's text."""
+    fields = "label string, raw_label string, known boolean, start int, end int, text string, placeholder boolean"
+
+    @F.pandas_udf(f"array<struct<{fields}>>")
+    def found(html: pd.Series) -> pd.Series:
+        return html.map(lambda h: labels_of(Page(h)))
+
+    return pages.select(F.col(id_col), F.inline(found(F.col(html_col))))
