@@ -71,6 +71,52 @@ def test_query_is_the_formulas_over_the_whole_table(spark, sf_dir):
     assert gain > 0
 
 
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_orders_are_the_formulas(spark, order):
+    """Any order against the recursion over plain dictionaries."""
+    import numpy as np
+
+    rng = np.random.default_rng(order)
+    texts = [" ".join(rng.choice(list("abcdefg"), rng.integers(0, 30), p=[0.3, 0.2, 0.2, 0.1, 0.1, 0.05, 0.05])) for _ in range(60)] + [None]
+    tops = Counter()
+    for t in texts:
+        w = ["begin"] * (order - 1) + tokens(t)
+        tops.update(tuple(w[i - order + 1 : i + 1]) for i in range(order - 1, len(w)))
+    counts = {order: dict(tops)}
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    d = {k: kn.discounts(*(sum(c == x for c in counts[k].values()) for x in (1, 2, 3, 4))) for k in counts}
+    vocabulary, types = len(counts[1]), sum(counts[1].values())
+    spare = sum(d[1][min(c, 3)] for c in counts[1].values()) / types
+
+    def p(gram):
+        k = len(gram)
+        c = counts[k].get(gram, 0)
+        if k == 1:
+            return max(c - d[1][min(c, 3)], 0) / types + spare / (vocabulary + 1)
+        led = [x for g, x in counts[k].items() if g[:-1] == gram[:-1]]
+        lower = p(gram[1:])
+        return max(c - d[k][min(c, 3)], 0) / sum(led) + sum(d[k][min(x, 3)] for x in led) / sum(led) * lower if led else lower
+
+    asked = [*texts[:8], "a b zz c a a", "g g g g g", None]
+    model = kn.train(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3), order=order)
+    got = kn.score(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), model).collect()
+    for r in got:
+        w = ["begin"] * (order - 1) + tokens(asked[r.doc_id])
+        want = sum(math.log10(p(tuple(w[i - order + 1 : i + 1]))) for i in range(order - 1, len(w)))
+        assert r.score == pytest.approx(want, rel=1e-9), r.doc_id
+
+
+def test_a_missing_shard_is_an_error(spark, tmp_path):
+    import os
+
+    model = kn.train(spark.createDataFrame([("a b c",)], "text string"))
+    kn._shard.cache_clear()
+    os.rename(f"{model.folder}/1-0", f"{model.folder}/away")
+    with pytest.raises(Exception, match="1-0"):
+        [kn._shard(f"{model.folder}/1-{k}") for k in range(model.about["shards"])]
+
+
 def test_nothing_to_learn_from_and_clashing_names(spark):
     docs = spark.createDataFrame([(1, None, 0.5), (1, "a b", 0.7), (None, "", 0.1)], "doc_id long, text string, score double")
     out = kn.score(docs, kn.train(docs.limit(0))).collect()

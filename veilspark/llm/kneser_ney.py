@@ -1,20 +1,25 @@
-"""LM scoring by an interpolated modified Kneser-Ney bigram model.
-
-Counting: each chunk of documents sends its distinct bigrams, as compressed blocks with dictionaries of their words, to
-the partition of the bigram's hash, so that a frequent word spreads over all of them. There the counts are summed and
-written as a shard of the model: ascending hashes and their counts. What the shard knows of single words (how often a
-word is a context and with how many words, how often it follows and after how many) is combined and sent on to the
-word's own shard. A shard is written under another name and then moved, so a repeated task leaves the same file.
-
-Scoring: workers memory-map the shards and look up the distinct bigrams and words of a chunk by binary search; nothing
-of the model is loaded or broadcast but its counts of counts. The shared folder must be one that workers can open.
-
-Model: p(w|v) = (c(vw) - D(c)) / c(v) + g(v) p(w) with p(w) = (n(w) - D'(n)) / n + g' / (V + 1), n(w) the number of
-distinct words before w, D and D' the discounts of 1, 2 and 3 or more from the counts of counts, g what they set free.
-An unseen context gives p(w); an unseen word has n(w) = 0. Words and bigrams are told apart by 64-bit hashes.
-
-Defined cases: a null or empty text is its end token alone; with nothing to learn from every token has probability
-1 / (V + 1) = 1; rows are scored one by one, whatever their ids, and keep all their columns.
+"""LM scoring by an interpolated modified Kneser-Ney model of any order.
+
+Counting: each chunk of documents sends its distinct n-grams of the highest order, as compressed blocks with
+dictionaries of their words, to the partition of the n-gram's hash, so that a frequent word spreads over all of them.
+There the counts are summed and written as a shard of the model: ascending hashes and their counts. What the shard knows
+of shorter n-grams is combined and sent on to their own shards, one order after the other down to single words: how
+often an n-gram follows and after how many words (as the end of longer ones), how often it leads and to how many words
+once, twice and more often (as their beginning). A shard is written under another name and then moved, so a repeated task
+leaves the same file; every partition writes one, so a file that isn't there is an error and never an empty shard.
+
+Scoring: workers memory-map the shards and look up the distinct n-grams of a chunk by binary search; nothing of the
+model is loaded or broadcast but its counts of counts. The shared folder must be one that workers can open.
+
+Model: p(w|h) = (a(hw) - D(a)) / sum(h) + g(h) p(w|h'), h' without its first word; a is the count of an n-gram at the
+highest order and the number of distinct words before it below; D are the discounts of 1, 2 and 3 or more from the
+counts of counts of each order, g what they set free. At the end p(w) = (n(w) - D(n)) / n + g' / (V + 1), n(w) the number
+of distinct words before w. An unseen context gives the shorter one's probability; an unseen word has n(w) = 0. N-grams
+are told apart by 64-bit hashes.
+
+Defined cases: a null or empty text is its end token alone; texts of any length are scored whole; with nothing to learn
+from every token has probability 1 / (V + 1) = 1; rows are scored one by one, whatever their ids, and keep all their
+columns but those of the result's names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,9 +43,10 @@ from veilspark.llm import shared, text
 from veilspark.llm.shared import runs
 
 BEGIN, END = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9FB21C651E98DF25)
-_WIRE = T.StructType([T.StructField("_part", T.IntegerType()), *(T.StructField(c, T.BinaryType()) for c in "abcde")])
-_COUNTED = T.StructType([T.StructField("_part", T.IntegerType()), T.StructField("words", T.BinaryType()), T.StructField("numbers", T.BinaryType()), T.StructField("stats", T.ArrayType(T.LongType()))])
-#: What is known of a word: how often it follows, after how many words, how often it leads, and to how many words once, twice and more often.
+#: The order of the model where none is given.
+ORDER = 2
+_WIRE = T.StructType([T.StructField("_part", T.IntegerType()), T.StructField("blocks", T.ArrayType(T.BinaryType())), T.StructField("stats", T.ArrayType(T.LongType()))])
+#: What is known of an n-gram: how often it follows, after how many words, how often it leads, and to how many words once, twice and more often.
 FIELDS = ("count", "before", "leads", "once", "twice", "more")
 
 
@@ -48,52 +54,74 @@ def pair_hash(v: np.ndarray, w: np.ndarray) -> np.ndarray:
     return text.mix(v * np.uint64(0xC6A4A7935BD1E995) + text.mix(w + np.uint64(0x632BE59BD9B4E019)))
 
 
-def sequences(hashes: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words with each text's end, what stands before each, and each text's first."""
+def gram_hash(words: list[np.ndarray]) -> np.ndarray:
+    """Of n-grams given by a column for each word; a word's is its own."""
+    h = words[0]
+    for w in words[1:]:
+        h = pair_hash(h, w)
+    return h
+
+
+def sequences(hashes: np.ndarray, ptr: np.ndarray, order: int = ORDER) -> tuple[list[np.ndarray], np.ndarray]:
+    """The n-grams that end at every word and each text's end, a column for each word, and each text's first."""
     n = len(ptr) - 1
     w = np.insert(hashes, ptr[1:], END)
     at = ptr + np.arange(n + 1)
-    v = np.empty_like(w)
-    v[1:] = w[:-1]
-    v[at[:-1]] = BEGIN
-    return w, v, at
-
-
-def _bigrams(n: int, chunk: int):
-    def flush(ws: list, vs: list) -> pa.RecordBatch:
-        w, v = np.concatenate(ws), np.concatenate(vs)
-        h = pair_hash(v, w)
-        order = np.argsort(h, kind="stable")
-        at = runs(h[order])
-        first = order[at[:-1]]
-        w, v, h, c = w[first], v[first], h[first], np.diff(at).astype(np.uint32)
-        part = (h % np.uint64(n)).astype(np.int32)
-        order = np.lexsort((v, part))
-        w, v, c, part = w[order], v[order], c[order], part[order]
-        at = runs(part)
-        rows: list[list] = [[], [], [], [], [], []]
-        for i, j in zip(at[:-1], at[1:]):
-            own = runs(v[i:j])
+    place = np.arange(len(w)) - np.repeat(at[:-1], np.diff(at))
+    columns = [w]
+    for k in range(1, order):
+        v = np.full_like(w, BEGIN)
+        v[k:] = np.where(place[k:] >= k, w[:-k], BEGIN)
+        columns.insert(0, v)
+    return columns, at
+
+
+def _sent(words: list[np.ndarray], numbers: np.ndarray, n: int, stats: list[int] | None) -> pa.RecordBatch:
+    """Distinct n-grams and their numbers, a row for each partition; stats go with the first."""
+    part = (gram_hash(words) % np.uint64(n)).astype(np.int32)
+    order = np.lexsort((words[0], part))
+    words, numbers, part = [w[order] for w in words], numbers[..., order], part[order]
+    at = runs(part)
+    parts, blocks = [], []
+    for i, j in zip(at[:-1], at[1:]):
+        own = runs(words[0][i:j])
+        made = [text.packed(words[0][i:j][own[:-1]], True), text.packed(np.diff(own).astype(np.uint32)), text.packed(np.ascontiguousarray(numbers[..., i:j]).ravel())]
+        for w in words[1:]:
             known, place = np.unique(w[i:j], return_inverse=True)
-            made = (int(part[i]), text.packed(v[i:j][own[:-1]], True), text.packed(np.diff(own).astype(np.uint32)), text.packed(known, True), text.packed(place.astype(np.uint32)), text.packed(c[i:j]))
-            for to, x in zip(rows, made):
-                to.append(x)
-        return shared.batch(_WIRE, rows)
+            made += [text.packed(known, True), text.packed(place.astype(np.uint32))]
+        parts.append(int(part[i]))
+        blocks.append(made)
+    return shared.batch(_WIRE, [parts, blocks, [stats] + [None] * (len(parts) - 1) if parts else []])
+
+
+def _opened(blocks: list[bytes], order: int, kind) -> tuple[list[np.ndarray], np.ndarray]:
+    words = [np.repeat(text.unpacked(blocks[0], np.uint64, True), text.unpacked(blocks[1], np.uint32))]
+    for k in range(order - 1):
+        words.append(text.unpacked(blocks[3 + 2 * k], np.uint64, True)[text.unpacked(blocks[4 + 2 * k], np.uint32)])
+    return words, text.unpacked(blocks[2], kind)
+
+
+def _grams(n: int, chunk: int, order: int):
+    def flush(columns: list[list[np.ndarray]]) -> pa.RecordBatch:
+        words = [np.concatenate(c) for c in zip(*columns)]
+        h = gram_hash(words)
+        by = np.argsort(h, kind="stable")
+        at = runs(h[by])
+        return _sent([w[by[at[:-1]]] for w in words], np.diff(at).astype(np.uint32), n, None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ws, vs, size = [], [], 0
+        held, size = [], 0
         for b in batches:
             data, bounds = text.text_buffer(b.column(0))
             starts, ends, ptr = text.split_words(data, bounds)
-            w, v, _ = sequences(text.hash_spans(data, starts, ends, fold=True), ptr)
-            ws.append(w)
-            vs.append(v)
-            size += len(w)
+            columns, _ = sequences(text.hash_spans(data, starts, ends, fold=True), ptr, order)
+            held.append(columns)
+            size += len(columns[0])
             if size >= chunk:
-                yield flush(ws, vs)
-                ws, vs, size = [], [], 0
+                yield flush(held)
+                held, size = [], 0
         if size:
-            yield flush(ws, vs)
+            yield flush(held)
 
     return run
 
@@ -141,68 +169,54 @@ class Shard:
         return out
 
 
-def _counted(n: int, folder: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ws, vs, cs, shard = [], [], [], None
-        for b in batches:
-            for i in range(len(b)):
-                shard = b.column(0)[i].as_py()
-                a, r, k, p, c = (b.column(x)[i].as_py() for x in range(1, 6))
-                vs.append(np.repeat(text.unpacked(a, np.uint64, True), text.unpacked(r, np.uint32)))
-                ws.append(text.unpacked(k, np.uint64, True)[text.unpacked(p, np.uint32)])
-                cs.append(text.unpacked(c, np.uint32))
-        if shard is None:
-            _store(folder, f"b{TaskContext.get().partitionId()}", np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            return
-        v, w, c = np.concatenate(vs), np.concatenate(ws), np.concatenate(cs).astype(np.int64)
-        h = pair_hash(v, w)
-        order = np.argsort(h, kind="stable")
-        at = runs(h[order])
-        c = np.add.reduceat(c[order], at[:-1])
-        first = order[at[:-1]]
-        h, v, w = h[first], v[first], w[first]
-        _store(folder, f"b{shard}", h, c)
-        numbers = np.zeros((len(FIELDS), 2 * len(h)), np.int64)
-        numbers[0, : len(h)], numbers[1, : len(h)] = c, 1
-        numbers[2, len(h) :], numbers[3, len(h) :], numbers[4, len(h) :], numbers[5, len(h) :] = c, c == 1, c == 2, c >= 3
-        word, numbers = _summed(np.concatenate([w, v]), numbers)
-        part = (word % np.uint64(n)).astype(np.int32)
-        order = np.argsort(part, kind="stable")
-        word, numbers, part = word[order], numbers[:, order], part[order]
-        at = runs(part)
-        each = list(zip(at[:-1], at[1:]))
-        stats = [int((c == k).sum()) for k in (1, 2, 3, 4)] + [len(c), int(c.sum())]
-        yield shared.batch(_COUNTED, [[int(part[i]) for i, _ in each], [text.packed(word[i:j], True) for i, j in each], [text.packed(np.ascontiguousarray(numbers[:, i:j]).ravel()) for i, j in each], [stats] + [None] * (len(each) - 1)])
-
-    return run
-
-
-def _summed(words: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(words, kind="stable")
-    at = runs(words[order])
-    return words[order][at[:-1]], np.add.reduceat(numbers[:, order], at[:-1], axis=1)
-
-
-def _words(folder: str):
-    """Writes the shards of words; of each its counts of counts, number of words, and the stats that passed through."""
+def _counted(n: int, folder: str, order: int, level: int):
+    """Sums the n-grams of one length in a partition and writes their shard; what it tells of those one word shorter goes
+    on. Single words give their stats instead: four counts of counts for each length, tokens, distinct pairs, words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, numbers, stats, shard = [], [], np.zeros(6, np.int64), None
+        held, numbers, stats = [], [], np.zeros(4 * order + 3, np.int64)
         for b in batches:
-            for r in b.to_pylist():
-                shard = r["_part"]
-                words.append(text.unpacked(r["words"], np.uint64, True))
-                numbers.append(text.unpacked(r["numbers"], np.int64).reshape(len(FIELDS), -1))
-                if r["stats"] is not None:
-                    stats += np.array(r["stats"])
-        if shard is None:
-            _store(folder, f"w{TaskContext.get().partitionId()}", np.zeros(0, np.uint64), *np.zeros((len(FIELDS), 0), np.int64))
+            for r in range(len(b)):
+                words, own = _opened(b.column(1)[r].as_py(), level, np.uint32 if level == order else np.int64)
+                held.append(words)
+                numbers.append(own.astype(np.int64) if level == order else own.reshape(len(FIELDS), -1))
+                if (told := b.column(2)[r].as_py()) is not None:
+                    stats += np.array(told)
+        shard = f"{level}-{TaskContext.get().partitionId()}"
+        fields = 1 if level == order else len(FIELDS)
+        if not held:
+            _store(folder, shard, np.zeros(0, np.uint64), *np.zeros((fields, 0), np.int64))
             return
-        word, total = _summed(np.concatenate(words), np.concatenate(numbers, axis=1))
-        _store(folder, f"w{shard}", word, *total)
-        before = total[1]
-        own = [int((before == k).sum()) for k in (1, 2, 3, 4)] + [int((before > 0).sum())]
-        yield pa.RecordBatch.from_arrays([pa.array([[*stats.tolist(), *own]], pa.list_(pa.int64()))], names=["stats"])
+        words = [np.concatenate(c) for c in zip(*held)]
+        total = np.concatenate(numbers, axis=-1)
+        del held, numbers
+        h = gram_hash(words)
+        by = np.argsort(h, kind="stable")
+        at = runs(h[by])
+        first = by[at[:-1]]
+        total = np.add.reduceat(total[..., by], at[:-1], axis=-1)
+        h, words = h[first], [w[first] for w in words]
+        _store(folder, shard, h, *np.atleast_2d(total))
+        count, a = (total, total) if level == order else (total[0], total[1])
+        stats[4 * (level - 1) : 4 * level] = [int((a == k).sum()) for k in (1, 2, 3, 4)]
+        if level == order:
+            stats[-3] = int(count.sum())
+        if level == 1:
+            stats[-2:] = [int(a.sum()), int((a > 0).sum())]
+            yield pa.RecordBatch.from_arrays([pa.array([stats.tolist()], pa.list_(pa.int64()))], names=["stats"])
+            return
+        able = np.flatnonzero(a > 0)  # the others are known as beginnings alone
+        count, a, words = count[able], a[able], [w[able] for w in words]
+        m = len(able)
+        made = np.zeros((len(FIELDS), 2 * m), np.int64)
+        made[0, :m], made[1, :m] = count, 1
+        made[2, m:], made[3, m:], made[4, m:], made[5, m:] = a, a == 1, a == 2, a >= 3
+        both = [np.concatenate(c) for c in zip(words[1:], words[:-1])]
+        h = gram_hash(both)
+        by = np.argsort(h, kind="stable")
+        at = runs(h[by])
+        first = by[at[:-1]]
+        yield _sent([w[first] for w in both], np.add.reduceat(made[:, by], at[:-1], axis=1), n, stats.tolist())
 
     return run
 
@@ -232,22 +246,27 @@ class Model:
                 to[own] = x
         return out
 
+    def _known(self, level: int, hashes: np.ndarray, fields: int) -> list[np.ndarray]:
+        """Of hashes in any order, repeated ones as well."""
+        own, place = np.unique(hashes, return_inverse=True)
+        return [x[place] for x in self._found(str(level) + "-", own, fields)]
+
     def score(self, hashes: np.ndarray, ptr: np.ndarray) -> dict[str, np.ndarray]:
         m = self.about
-        w, v, at = sequences(hashes, ptr)
-        pairs, first, back = np.unique(pair_hash(v, w), return_index=True, return_inverse=True)
-        words, place = np.unique(np.concatenate([w, v]), return_inverse=True)
-        pw, pv = place[: len(w)], place[len(w) :]
-        count, before, leads, once, twice, more = self._found("w", words, len(FIELDS))
-        c = self._found("b", pairs, 1)[0]
-        d, e = np.array(m["discounts"]), np.array(m["word_discounts"])
-        single = np.maximum(before - e[np.minimum(before, 3)], 0) / max(m["types"], 1) + m["spare"] / (m["vocabulary"] + 1)
-        x, y = pw[first], pv[first]
-        total = np.maximum(leads[y], 1)
-        free = np.where(leads[y] > 0, (d[1] * once[y] + d[2] * twice[y] + d[3] * more[y]) / total, 1.0)
-        p = np.log10(np.maximum(c - d[np.minimum(c, 3)], 0) / total + free * single[x])[back]
-        base = np.log10((count + 1) / (m["tokens"] + 1 * (m["vocabulary"] + 1)))[pw]
-        return {"n_tokens": np.diff(at), "n_known": np.add.reduceat((count > 0)[pw].astype(np.int64), at[:-1]), "base_score": np.add.reduceat(base, at[:-1]), "score": np.add.reduceat(p, at[:-1])}
+        order = m["order"]
+        columns, at = sequences(hashes, ptr, order)
+        count, before, *_ = self._known(1, columns[-1], len(FIELDS))
+        e = np.array(m["discounts"][0])
+        p = np.maximum(before - e[np.minimum(before, 3)], 0) / max(m["types"], 1) + m["spare"] / (m["vocabulary"] + 1)
+        for k in range(2, order + 1):
+            d = np.array(m["discounts"][k - 1])
+            _, _, leads, once, twice, more = self._known(k - 1, gram_hash(columns[-k:-1]), len(FIELDS))
+            c = self._known(k, gram_hash(columns[-k:]), 1)[0] if k == order else self._known(k, gram_hash(columns[-k:]), len(FIELDS))[1]
+            total = np.maximum(leads, 1)
+            free = np.where(leads > 0, (d[1] * once + d[2] * twice + d[3] * more) / total, 1.0)
+            p = np.maximum(c - d[np.minimum(c, 3)], 0) / total + free * p
+        base = np.log10((count + 1) / (m["tokens"] + 1 * (m["vocabulary"] + 1)))
+        return {"n_tokens": np.diff(at), "n_known": np.add.reduceat((count > 0).astype(np.int64), at[:-1]), "base_score": np.add.reduceat(base, at[:-1]), "score": np.add.reduceat(np.log10(p), at[:-1])}
 
 
 @lru_cache(maxsize=4096)
@@ -263,21 +282,24 @@ def local_path(folder: str) -> str:
     return at.path
 
 
-def train(docs: DataFrame, text_col: str = "text", chunk: int = text.CHUNK_WORDS) -> Model:
-    """Learns from all rows of docs."""
+def train(docs: DataFrame, text_col: str = "text", chunk: int = text.CHUNK_WORDS, order: int = ORDER) -> Model:
+    """Learns from all rows of docs; order is at least 2."""
+    if order < 2:
+        raise ValueError("the order of the model is at least 2")
     spark = shared.prepared(docs.sparkSession)
     n = shared.parts(spark)
     folder = f"{local_path(shared.folder(spark))}/kneser-ney-{uuid.uuid4().hex}"
     os.makedirs(folder)
-    sent = docs.select(F.col(f"`{text_col}`").cast("string").alias("_text")).mapInArrow(_bigrams(n, chunk), _WIRE)
-    counted = shared.routed(sent, n).mapInArrow(_counted(n, folder), _COUNTED)
-    rows = shared.routed(counted, n).mapInArrow(_words(folder), "stats array<bigint>")
-    sums = [r.s or 0 for r in rows.select(F.posexplode("stats").alias("k", "v")).groupBy("k").agg(F.sum("v").alias("s")).orderBy("k").collect()] or [0] * 11
-    pairs, types, tokens, singles, vocabulary = sums[:4], sums[4], sums[5], sums[6:10], sums[10]
-    e = discounts(*singles)
+    at = docs.select(F.col(f"`{text_col}`").cast("string").alias("_text")).mapInArrow(_grams(n, chunk // (order - 1), order), _WIRE)
+    for level in range(order, 0, -1):
+        at = shared.routed(at, n).mapInArrow(_counted(n, folder, order, level), _WIRE if level > 1 else "stats array<bigint>")
+    sums = [r.s or 0 for r in at.select(F.posexplode("stats").alias("k", "v")).groupBy("k").agg(F.sum("v").alias("s")).orderBy("k").collect()] or [0] * (4 * order + 3)
+    tokens, types, vocabulary = sums[-3:]
+    each = [discounts(*sums[4 * k : 4 * k + 4]) for k in range(order)]
+    e, singles = each[0], sums[:4]
     rest = vocabulary - singles[0] - singles[1]
     spare = (e[1] * singles[0] + e[2] * singles[1] + e[3] * rest) / types if types else 1.0
-    about = {"shards": n, "types": types, "tokens": tokens, "vocabulary": vocabulary, "discounts": discounts(*pairs), "word_discounts": e, "spare": spare}
+    about = {"order": order, "shards": n, "types": types, "tokens": tokens, "vocabulary": vocabulary, "discounts": each, "spare": spare}
     with open(f"{folder}/about.json", "w") as f:
         json.dump(about, f)
     return Model(folder, about)
