@@ -207,6 +207,36 @@ def test_decontamination_finds_partial_passages(spark):
     assert {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs, items).collect()} == {(k, 1) for k in held}
 
 
+def test_decontamination_of_short_items_ties_and_repeats(spark):
+    item = [f"s{i}" for i in range(8)]
+    other = lambda k, n=30: [f"c{k}x{i}" for i in range(n)]
+    docs = spark.createDataFrame([(1, " ".join(other(1) + item + other(2) + item), 5), (2, " ".join(item[:7]), 5), (3, " ".join(item).upper(), 5), (3, " ".join(other(3) + item), 5), (4, None, 5), (None, " ".join(item), 5), (5, "a b c d", 5)], "doc_id long, text string, start int")
+    items = spark.createDataFrame([(1, " ".join(item)), (2, "a b c d"), (3, None)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.overlap, r.start) for r in decontamination.contaminated(docs, items).collect()}
+    assert got == {(1, 1, 8, 30), (3, 1, 8, 0)}
+    assert sorted((r.doc_id or 0) for r in decontamination.without_contaminated(docs, items).collect()) == [0, 2, 4, 5]
+    assert decontamination.contaminated(docs, items.limit(0)).count() == decontamination.contaminated(docs.limit(0), items).count() == 0
+
+
+def test_decontamination_recall_of_substitutions(spark):
+    """A fifth of the words of items of several lengths replaced, at random places: how many are found."""
+    rng = np.random.default_rng(9)
+    docs, items = [], []
+    for size in (12, 13, 16, 20, 40):
+        for k in range(60):
+            item = [f"i{size}k{k}w{i}" for i in range(size)]
+            items.append((1000 * size + k, " ".join(item)))
+            for i in rng.choice(size, size // 5, replace=False):
+                item[i] = "other"
+            docs.append((1000 * size + k, " ".join([f"b{k}"] * 15 + item + [f"e{k}"] * 15)))
+    schema = "long, text string"
+    got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(spark.createDataFrame(docs, "doc_id " + schema), spark.createDataFrame(items, "item_id " + schema)).collect()}
+    assert all(a == b for a, b in got)
+    share = {size: sum(a // 1000 == size for a, _ in got) / 60 for size in (12, 13, 16, 20, 40)}
+    print(share)
+    assert share[40] >= 0.95 and share[20] >= 0.9
+
+
 def test_token_counts_are_the_library_s(spark, sf_dir):
     from tokenizers import Tokenizer
 

@@ -118,7 +118,7 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contaminated(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
 
 
-_PLAIN = "translate(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '.,;:!?\"''()[]', '')"
+_PLAIN = "translate(lower(coalesce(text, '')), '.,;:!?\"''()[]', '')"
 _SEED_WORDS = r"regexp_extract_all(" + _PLAIN + r", '[^\x20\x09-\x0D]+')"
 _MASK_SQL = "[[0, 1, 2, 3, 4, 5], [0, 1, 3, 4, 7, 9], [0, 2, 3, 6, 7, 8], [0, 1, 2, 5, 8, 10]]"
 OP4_SQL = f"""
@@ -127,10 +127,14 @@ mask as (select unnest({_MASK_SQL}) as m, unnest(range(4)) as k),
 ds as (select doc_id, p, k, array_to_string(list_transform(m, lambda o: w[p + o + 1]), ' ') as s from (select doc_id, w, unnest(range(len(w) - 10)) as p from d where len(w) >= 11), mask),
 bs as (select distinct item_id, q, k, array_to_string(list_transform(m, lambda o: w[q + o + 1]), ' ') as s from (select item_id, w, unnest(range(len(w) - 10)) as q from b where len(w) >= 11), mask),
 hit as (select distinct doc_id, item_id, p - q as g from ds join bs using (k, s)),
-lay as (select doc_id, item_id, g, greatest(0, -g) as f, least(len(b.w), len(d.w) - g) as z, least(20, len(b.w)) as size, d.w as dw, b.w as bw from hit join d using (doc_id) join b using (item_id)),
-eq as (select doc_id, item_id, g, size, list_transform(range(f, z), lambda i: (dw[g + i + 1] = bw[i + 1])::int) as e from lay where z - f >= size),
-best as (select doc_id, item_id, g, size, list_max(list_transform(range(1, len(e) - size + 2), lambda i: list_sum(e[i:i + size - 1]))) as o from eq)
-select doc_id, item_id, max(o)::int as overlap, arg_max(g, o * 1000000 - g) as start from best where 100 * o >= 80 * size group by 1, 2
+lay as (select doc_id, item_id, g, greatest(0, -g) as f, least(len(b.w), len(d.w) - g) as z, d.w as dw, b.w as bw from hit join d using (doc_id) join b using (item_id)),
+eq as (select doc_id, item_id, g, least(20, z - f) as size, list_transform(range(f, z), lambda i: (dw[g + i + 1] = bw[i + 1])::int) as e from lay),
+best as (select doc_id, item_id, g, size, list_max(list_transform(range(1, len(e) - size + 2), lambda i: list_sum(e[i:i + size - 1]))) as o,
+ coalesce(list_max(list_transform(range(1, len(e) - 11), lambda i: list_sum(e[i:i + 12]))), 0) = 13 as run from eq),
+short as (select item_id, w, len(w) as n, array_to_string(w, ' ') as s from b where len(w) between 5 and 10),
+near as (select doc_id, p, n, array_to_string(w[p + 1:p + n], ' ') as s from (select doc_id, w, n, unnest(range(len(w) - n + 1)) as p from d, (select distinct n from short) where len(w) >= n))
+select doc_id, item_id, max(o)::int as overlap, arg_max(g, o * 1000000 - g) as start from best where run or 100 * o >= 80 * size group by 1, 2
+union all select doc_id, item_id, any_value(n)::int as overlap, min(p) as start from near join short using (n, s) group by 1, 2
 """
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

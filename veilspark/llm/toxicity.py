@@ -12,8 +12,8 @@ PREFIXES bytes, which rare and unseen words share with others; each once, twice
 that tell most about the label (likelihood ratio, counted in Spark over the sample) enter the models, at most WORDS.
 
 The chain is fitted on a bounded sample of labelled rows: ids in the order of their hashes while their rows sum up to at
-most SAMPLE. Rows that share their smallest word hash count as one, so that copies of one text don't teach its own
-words. A text is toxic from the cut on at which at most FALSE_ALARMS of the sample's negative rows would be, by the
+most SAMPLE. Rows that share their SKETCH smallest feature hashes count as one, so that copies of one text don't teach
+its own words. A text is toxic from the cut on at which at most FALSE_ALARMS of the sample's negative rows would be, by the
 log-odds of models that did not see them, and never for want of features. All documents are then scored, each whole.
 
 Defined cases: null and empty texts, and those without words, get the intercepts and are not toxic; texts of any length are read whole;
@@ -41,28 +41,25 @@ SAMPLE, WORDS, LEAST, FOLDS, KINDS, FALSE_ALARMS = 6000, 1024, 3, 5, 4, 0.01
 GAIN = 2.0
 PREFIXES = (3, 4, 5, 6, 7, 8, 9)
 LEVELS = (1, 2, 4)
+#: Smallest feature hashes that texts which count as copies have in common.
+SKETCH = 8
 
 SPLIT = np.ones(256, bool)
 SPLIT[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
 
-def occurrences(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The text and the hash of every word and beginning of a word, and the smallest word hash of each text (0 without words)."""
+def occurrences(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The text and the hash of every word and beginning of a word."""
     data, bounds = text.text_buffer(column)
     blank = np.where(SPLIT[data], np.uint8(32), text.LOWER[data])
     starts, ends, ptr = text.split_words(blank, bounds)
     doc = np.repeat(np.arange(len(bounds) - 1), np.diff(ptr))
-    whole = text.hash_spans(blank, starts, ends)
-    docs, hashes = [doc], [whole]
+    docs, hashes = [doc], [text.hash_spans(blank, starts, ends)]
     for n in PREFIXES:
         long = np.flatnonzero(ends - starts > n)
         docs.append(doc[long])
         hashes.append(text.mix(text.hash_spans(blank, starts[long], starts[long] + n) + np.uint64(n)))
-    least = np.zeros(len(bounds) - 1, np.uint64)
-    some = np.flatnonzero(np.diff(ptr))
-    if len(some):
-        least[some] = np.minimum.reduceat(whole, ptr[some])
-    return np.concatenate(docs), np.concatenate(hashes), least
+    return np.concatenate(docs), np.concatenate(hashes)
 
 
 def level_of(times: np.ndarray) -> np.ndarray:
@@ -101,7 +98,7 @@ class Chain:
         out = np.zeros((n, len(self.categories)))
         if not self.weights:
             return out
-        doc, hashes, _ = occurrences(column)
+        doc, hashes = occurrences(column)
         doc, feature = self.features(doc, hashes)
         size = int(self.slots.max(initial=-1)) + 1
         odds = np.zeros((n, 0))
@@ -157,13 +154,15 @@ def fit_chain(x: np.ndarray, labels: dict[str, np.ndarray], fold: np.ndarray, we
 
 def _prepared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        doc, hashes, least = occurrences(b.column(2))
+        doc, hashes = occurrences(b.column(2))
         order = np.lexsort((hashes, doc))
         doc, hashes = doc[order], hashes[order]
         at = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (hashes[1:] != hashes[:-1])])) if len(doc) else np.zeros(0, np.int64)
         level = level_of(np.diff(np.append(at, len(doc)))).astype(np.uint8)
         ptr = np.searchsorted(doc[at], np.arange(len(b) + 1))
         own = hashes[at]
+        # copies of a text, also with a few words changed, have the same smallest hashes
+        least = np.array([text.mix(own[i : min(j, i + SKETCH)]).sum(dtype=np.uint64) for i, j in zip(ptr[:-1], ptr[1:])], np.uint64)
         blobs = lambda v: pa.array([v[i:j].tobytes() for i, j in zip(ptr[:-1], ptr[1:])], pa.binary())
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(least.view(np.int64)), blobs(own), blobs(level)], names=["id", "label", "least", "hashes", "levels"])
 
@@ -197,10 +196,9 @@ def _reduced(words: np.ndarray, slots: np.ndarray):
             out = []
             for h, level in zip(b.column(3).to_pylist(), b.column(4).to_pylist()):
                 h, level = np.frombuffer(h, np.uint64), np.frombuffer(level, np.uint8)
-                at = np.searchsorted(words, h)
-                at[at == len(words)] = 0
-                hit = words[at] == h
-                own = slots[at[hit]]
+                at = np.minimum(np.searchsorted(words, h), max(len(words) - 1, 0))
+                hit = words[at] == h if len(words) else np.zeros(len(h), bool)
+                own = slots[at[hit]]  # a row for each word, a column for each level
                 out.append(own[(np.arange(len(LEVELS)) < level[hit, None]) & (own >= 0)].astype("<i4").tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(out, pa.binary())], names=["id", "label", "least", "features"])
 
