@@ -151,3 +151,20 @@ def test_html_text_and_labels():
     got = labels_of(p)
     assert [(x["label"], x["text"], x["placeholder"]) for x in got] == [("Person Name", "Asha Rao", False), ("Person Email", "[EMAIL]", True), ("Person Phone No", "[PHONE]", True)]
     assert label_pattern(p)[1] == 1
+
+
+def test_stream_from_files_to_files(spark, tmp_path):
+    """Source and sink; both sides, a side that shows something else, starting over, and the last of a burst."""
+    reads = [("t", 0, "left", "", json.dumps(view(0, 10))), ("t", 1, "right", "", json.dumps(view(0, 10))), ("t", 2, "right", "", json.dumps([{"text": "x"}])), ("t", 3, "left", "", json.dumps(view(5, 15)))]
+    spark.createDataFrame(reads, assemble.READ).coalesce(1).write.json(f"{tmp_path}/in")
+    assemble.start(assemble.assemble(assemble.snapshots(spark, f"{tmp_path}/in")), f"{tmp_path}/out", f"{tmp_path}/c", every=None).awaitTermination()
+    out = spark.read.parquet(f"{tmp_path}/out")
+    assert {(r.seq, r.both) for r in out.collect()} == {(0, False), (1, True), (3, False)} and [r.seq for r in assemble.shown(out).collect()] == [1]
+
+    other = [[{"text": f"{w} {k} something else entirely {w * 2}"} for k in range(6)] for w in ("alpha", "beta", "gamma", "delta")]
+    apart = spark.createDataFrame([("t", 0, "left", "", json.dumps(view(0, 10))), *(("t", k + 1, "left", "", json.dumps(rows)) for k, rows in enumerate(other))], assemble.READ)
+    results = lambda over: [r.result for r in assemble.assemble_batch(apart, over).orderBy("seq").collect()]
+    assert results(False) == ["new", "merged", "merged", "merged", "merged"] and results(True).count("new") >= 2
+
+    times = spark.sql("select id, timestamp_millis(t) as at, k from values (1, 0, 'a'), (2, 500, 'a'), (3, 900, 'a'), (4, 2000, 'a'), (5, 100, 'b') v(id, t, k)")
+    assert {(r.id, r.reads) for r in assemble.debounced(times, ["k"], "at").collect()} == {(3, 3), (4, 1), (5, 1)}

@@ -576,3 +576,13 @@ def rows_of_reads(spark, sf_dir):
     said = lambda text, x, y: f"named_struct('text', {text}, 'box', array({x}, {y}, 100, 20), 'words', cast(array() as array<struct<text: string, box: array<int>>>))"
     read = f"to_json(named_struct('width', 1000, 'height', 1000, 'lines', array({said(chr(39) + 'right' + chr(39), 400, 101)}, {said(chr(39) + 'left ' + chr(39) + ' || n', 100, 100)}, {said(chr(39) + 'far ' + chr(39) + ' || n', 100, 200)}, {said(chr(39) + 'below ' + chr(39) + ' || n', 100, 130)})))"
     return analyze.read_rows(_made(spark, sf_dir).selectExpr("n as read_id", f"{read} as read"), "read_id").select("read_id", "row_no", "text", "para")
+
+
+@query("""with e as (select *, case when ts - lag(ts) over w < interval 6 hour then 0 else 1 end as new from events window w as (partition by user_id order by ts, event_id)),
+g as (select *, sum(new) over (partition by user_id order by ts, event_id rows unbounded preceding) as burst from e)
+select user_id, max(ts) as ts, count(*) as reads from g group by user_id, burst""")
+def bursts_of_events(spark, sf_dir):
+    """The last event of each burst of a user's events less than six hours apart."""
+    from veilspark.streaming import assemble
+
+    return assemble.debounced(table(spark, sf_dir, "events").select("user_id", "ts"), ["user_id"], "ts", "6 hours")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, insort
-from functools import lru_cache
+from itertools import takewhile
 
 from veilspark.functions import known, wordlists as W
 from veilspark.functions.spans import Span, confidence, trimmed_end
@@ -36,19 +36,18 @@ _NAME_STOP, _HEADINGS = set(W.NAME_STOP.split()), set(W.HEADING_WORDS.split())
 _WORD = re.compile(W.NAME_WORD)
 _FIRST_LINE = re.compile(W.FIRST_LINE)
 _NOT_A_PERSON = re.compile(W.NOT_A_PERSON, re.I)
-#: Names in one alternation.
-_CHUNK = 400
+_LETTERS = re.compile("[A-Za-z]+")
+
+
+def _real(word: str) -> bool:
+    """Longer than an initial or an abbreviation, or a short word with a small letter such as "Al"."""
+    return len(word) > 2 or len(word) == 2 and word[0].isupper() and word[1].islower() and word.isascii()
 
 
 def _usable(value: str) -> int:
     """The length of a captured name before its first stop word; 0 if no real word is left."""
-    end = words = 0
-    for m in _WORD.finditer(value):
-        if m[0].removesuffix(".").lower() in _NAME_STOP:
-            break
-        end = m.end()
-        words += len(m[0]) > 2 or re.fullmatch("[A-Z][a-z]", m[0]) is not None
-    return end if words else 0
+    kept = list(takewhile(lambda m: m[0].removesuffix(".").lower() not in _NAME_STOP, _WORD.finditer(value)))
+    return kept[-1].end() if any(_real(m[0]) for m in kept) else 0
 
 
 def names(text: str) -> list[Span]:
@@ -65,27 +64,34 @@ def names(text: str) -> list[Span]:
 
 
 def _repeats(text: str, found: list[Span]) -> list[Span]:
-    """Other places of the names found so far: whole ones, and their parts."""
-    whole: dict[str, None] = {}
-    parts: dict[str, None] = {}
-    for s in found:
-        if s.confidence < 0.75:
-            continue
-        long = [w for w in re.split(r"[ \t]+", s.text) if len(w) >= 3 and not w.endswith(".")]
-        if len(long) >= 2:
-            whole[s.text] = None
-        parts.update((w, None) for w in long if w.lower() not in _NAME_STOP)
-    needles = sorted(whole, key=len, reverse=True) + sorted(parts, key=len, reverse=True)
-    hits = []
-    for i in range(0, len(needles), _CHUNK):
-        for m in re.finditer("(?<![A-Za-z])(?:" + "|".join(map(re.escape, needles[i : i + _CHUNK])) + ")(?![A-Za-z])", text):
-            full = m[0] in whole
-            hits.append(Span(*m.span(), "Person Name", 0.8 if full else 0.65, "heuristic", "name-repeat-full" if full else "name-repeat-part", m[0]))
+    """Other places of the names found so far: whole ones, and their parts. The text is walked once; at each run of
+    letters only the names that begin with it are looked at."""
+    sure = [s.text for s in found if s.confidence >= 0.75]
+    long = {t: [w for w in re.split(r"[ \t]+", t) if len(w) >= 3 and not w.endswith(".")] for t in sure}
+    whole = {t for t, ws in long.items() if len(ws) >= 2}
+    parts = {w for ws in long.values() for w in ws if w.lower() not in _NAME_STOP}
+    by: dict[str, list[str]] = {}
+    for needle in sorted(whole, key=len, reverse=True) + sorted(parts - whole, key=len, reverse=True):
+        if m := _LETTERS.match(needle):
+            by.setdefault(m[0], []).append(needle)
     taken = sorted((s.start, s.end) for s in found)
+    hits, free = [], 0
+    for m in _LETTERS.finditer(text) if by else ():
+        at = m.start()
+        if at < free:
+            continue
+        needle = next((x for x in by.get(m[0], ()) if text.startswith(x, at) and not _LETTERS.match(text, at + len(x))), None)
+        if needle:
+            free = at + len(needle)
+            hits.append(Span(at, free, "Person Name", 0.8 if needle in whole else 0.65, "heuristic", "name-repeat-full" if needle in whole else "name-repeat-part", needle))
+
+    def room(s: Span) -> bool:
+        i = bisect_left(taken, (s.start,))
+        return (i == len(taken) or taken[i][0] >= s.end) and (not i or taken[i - 1][1] <= s.start)
+
     out = []
     for s in sorted(hits, key=lambda s: s.start - s.end):
-        i = bisect_left(taken, s.start, key=lambda t: t[0])
-        if not (i < len(taken) and taken[i][0] < s.end) and not (i and taken[i - 1][1] > s.start):
+        if room(s):
             insort(taken, (s.start, s.end))
             out.append(s)
     return out

@@ -46,25 +46,52 @@ def one_line(s: str) -> str:
     return s[:79] + "…" if len(s) > 80 else s
 
 
+def _figures(words: list[str], least: int) -> list[str]:
+    return [w for w in words if w.isascii() and w.isdigit() and len(w) >= least]
+
+
+def _of_numbers(words: list[str], d: Span, kept: list, every: list) -> str:
+    return " ".join(_figures(words, 4))
+
+
+def _of_dates(words: list[str], d: Span, kept: list, every: list) -> str:
+    return " ".join(words) if len(_figures(words, 1)) >= 2 else ""
+
+
+def _of_hosts(words: list[str], d: Span, kept: list, every: list) -> str:
+    return ".".join(words) if sum(set(w) <= set("0123456789abcdef") for w in words) >= 3 else ""
+
+
+def _of_mails(words: list[str], d: Span, kept: list, every: list) -> str:
+    """The part before the sign, if all of it stayed."""
+    sign = d.start + d.text.find("@")
+    local = [t.low for t in kept if t.start < sign]
+    return ".".join(local) if len(local) == sum(t.start < sign for t in every) else ""
+
+
+def _of_places(words: list[str], d: Span, kept: list, every: list) -> str:
+    own = [w for w in words if w not in _ADDRESS and not (w in _figures(words, 1) and len(w) <= 2)]
+    return " ".join(own + _figures(words, 3)) if _figures(words, 3) or len(own) >= 2 else ""
+
+
+def _of_companies(words: list[str], d: Span, kept: list, every: list) -> str:
+    return " ".join(w for w in words if w not in _BUSINESS)
+
+
+def _of_others(words: list[str], d: Span, kept: list, every: list) -> str:
+    return " ".join(w for w in words if len(w) >= 2)
+
+
+#: What kept words give away, by label.
+_GIVEN_AWAY = {
+    **dict.fromkeys(_NUMBERS, _of_numbers), "Person DOB": _of_dates, "IP/MAC Address": _of_hosts, "Person Email": _of_mails, "Business Email": _of_mails,
+    "Person Address": _of_places, "Business Address": _of_places, "Business Name": _of_companies,
+}
+
+
 def partial_leak(d: Span, kept: list[align.Token], every: list[align.Token]) -> str | None:
     """What words of a value, kept on the right, give away; None for what such values share."""
-    w = [t.low for t in kept]
-    numbers = lambda n: [x for x in w if re.fullmatch("[0-9]+", x) and len(x) >= n]
-    if d.label in _NUMBERS:
-        return " ".join(numbers(4)) or None
-    if d.label == "Person DOB":
-        return " ".join(w) if len(numbers(1)) >= 2 else None
-    if d.label == "IP/MAC Address":
-        return ".".join(w) if sum(re.fullmatch("[0-9a-f]+", x) is not None for x in w) >= 3 else None
-    if d.label.endswith(" Email"):
-        at = d.start + d.text.find("@")
-        local = [t for t in kept if t.start < at]
-        return ".".join(t.low for t in local) if local and len(local) == sum(t.start < at for t in every) else None
-    if d.label.endswith(" Address"):
-        own = [x for x in w if x not in _ADDRESS and not re.fullmatch("[0-9]{1,2}", x)]
-        return " ".join(own + numbers(3)) if numbers(3) or len(own) >= 2 else None
-    own = [x for x in w if x not in _BUSINESS] if d.label == "Business Name" else [x for x in w if len(x) >= 2]
-    return " ".join(own) or None
+    return _GIVEN_AWAY.get(d.label, _of_others)([t.low for t in kept], d, kept, every) or None
 
 
 class Walk:

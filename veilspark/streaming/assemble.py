@@ -1,8 +1,11 @@
 """Documents assembled from a stream of reads: one key for a task, both sides in its state.
 
 A read is (task_id, seq, side, header, rows). A read like the one before it is passed over; another header of at least
-four characters begins a new document; a new left document resets the right one. Reads come in any order of position and
-nothing expires, so there is no watermark."""
+four characters begins a new document; a new left document resets the right one; with start_over the left one begins
+anew after reads that don't fit it. Reads come in any order of position and nothing expires, so there is no watermark.
+
+snapshots() is the source, debounced() keeps the last of a burst of reads, assemble() the state, shown() the rows of
+tasks of which both sides are on the screen, and start() the sink, at intervals or over what is there."""
 
 from __future__ import annotations
 
@@ -10,19 +13,24 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from veilspark.functions.assembly import Assembly
 
 READ = "task_id string, seq long, side string, header string, rows string"
-DOCUMENT = "task_id string, seq long, side string, result string, n_rows long, pieces long, text string"
+DOCUMENT = "task_id string, seq long, side string, result string, n_rows long, pieces long, text string, both boolean"
+#: How often a live source is looked at, how long a burst of reads lasts, and how many reads a trigger takes.
+EVERY, BURST, READS = "1500 milliseconds", "600 milliseconds", 60
 #: Reads without text after which the documents have to be looked for again.
 AWAY = 4
 
 
-def step(state: dict, read: dict) -> tuple[dict, dict | None]:
-    """One read; rows is a JSON list of rows. Pure, so that a batch and a stream give the same."""
+def step(state: dict, read: dict, start_over: bool = False) -> tuple[dict, dict | None]:
+    """One read; rows is a JSON list of rows. Pure, so that a batch and a stream give the same. The right side begins
+    anew only together with the left one."""
     header = read["header"] or ""
     mark = f"{header}|{read['rows']}"
     if state.get("last", {}).get(read["side"]) == mark:
@@ -32,43 +40,65 @@ def step(state: dict, read: dict) -> tuple[dict, dict | None]:
     state = {**state, "header": header or state.get("header", ""), "last": {**state.get("last", {}), read["side"]: mark}}
     sides = dict(state.get("sides", {}))
     a = Assembly.load(sides[read["side"]]) if read["side"] in sides else Assembly()
-    result = a.add(json.loads(read["rows"]))
+    result = a.add(json.loads(read["rows"]), start_over and read["side"] == "left")
     away = state.get("away", 0) + 1 if result == "ignored" else 0
     sides[read["side"]] = a.dump()
     if result == "new" and read["side"] == "left":
         sides.pop("right", None)
-    state = {**state, "sides": sides, "away": away}
-    shown = {"result": "search" if away == AWAY else result, "n_rows": len(a.rows), "pieces": len({r.piece for r in a.rows}), "text": "\n".join(r.text for r in a.rows)}
+    on = {**state.get("on", {}), read["side"]: result != "ignored"}
+    state = {**state, "sides": sides, "away": away, "on": on}
+    shown = {"result": "search" if away == AWAY else result, "n_rows": len(a.rows), "pieces": len({r.piece for r in a.rows}), "text": "\n".join(r.text for r in a.rows), "both": len(on) == 2 and all(on.values())}
     return state, None if result == "ignored" and away != AWAY else shown
 
 
-def _run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    held = json.loads(state.get[0]) if state.exists else {}
+_NAMES = [x.split()[0] for x in DOCUMENT.split(", ")]
+
+
+def _stepped(task: str, held: dict, reads: list[dict], start_over: bool) -> tuple[dict, pd.DataFrame]:
     out = []
-    reads = [r for f in frames for r in f.to_dict("records")]
     for r in sorted(reads, key=lambda r: r["seq"]):
-        held, shown = step(held, r)
+        held, shown = step(held, r, start_over)
         if shown:
-            out.append({"task_id": key[0], "seq": r["seq"], "side": r["side"], **shown})
-    state.update((json.dumps(held),))
-    if out:
-        yield pd.DataFrame(out)
+            out.append({"task_id": task, "seq": r["seq"], "side": r["side"], **shown})
+    return held, pd.DataFrame(out, columns=_NAMES)
 
 
-def assemble(reads: DataFrame) -> DataFrame:
+def assemble(reads: DataFrame, start_over: bool = False) -> DataFrame:
     """A streaming DataFrame of READ in, DOCUMENT rows out, one for each read that changed something."""
-    return reads.groupBy("task_id").applyInPandasWithState(_run, DOCUMENT, "held string", "append", GroupStateTimeout.NoTimeout)
 
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = json.loads(state.get[0]) if state.exists else {}
+        held, out = _stepped(key[0], held, [r for f in frames for r in f.to_dict("records")], start_over)
+        state.update((json.dumps(held),))
+        if len(out):
+            yield out
 
-def assemble_batch(reads: DataFrame) -> DataFrame:
+    return reads.groupBy("task_id").applyInPandasWithState(run, DOCUMENT, "held string", "append", GroupStateTimeout.NoTimeout)
+
+
+def assemble_batch(reads: DataFrame, start_over: bool = False) -> DataFrame:
     """The same over a finished table."""
+    return reads.groupBy("task_id").applyInPandas(lambda key, frame: _stepped(key[0], {}, frame.to_dict("records"), start_over)[1], DOCUMENT)
+
+
+def snapshots(spark: SparkSession, folder: str, per_trigger: int = READS) -> DataFrame:
+    """A stream of the reads (JSON) that are put into a folder."""
+    return spark.readStream.schema(READ).option("maxFilesPerTrigger", per_trigger).json(folder)
+
+
+def debounced(rows: DataFrame, keys: list[str], time_col: str, gap: str = BURST, late: str = "10 seconds") -> DataFrame:
+    """The last row of each burst, rows of equal keys less than gap apart; a batch or a stream, which has a watermark then."""
+    timed = rows.withWatermark(time_col, late) if rows.isStreaming else rows
+    last = timed.groupBy(*keys, F.session_window(time_col, gap)).agg(F.max_by(F.struct(*rows.columns), time_col).alias("_last"), F.count("*").alias("reads"))
+    return last.select("_last.*", "reads")
+
+
+def shown(documents: DataFrame) -> DataFrame:
+    """Rows of tasks of which both sides are to be seen; while either shows something else the last result stands."""
+    return documents.where("both and result != 'search'")
 
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        held, out = {}, []
-        for r in frame.sort_values("seq").to_dict("records"):
-            held, shown = step(held, r)
-            if shown:
-                out.append({"task_id": key[0], "seq": r["seq"], "side": r["side"], **shown})
-        return pd.DataFrame(out, columns=["task_id", "seq", "side", "result", "n_rows", "pieces", "text"])
 
-    return reads.groupBy("task_id").applyInPandas(run, DOCUMENT)
+def start(documents: DataFrame, path: str, checkpoint: str, every: str | None = EVERY) -> StreamingQuery:
+    """Writes a stream of documents as Parquet, at intervals; with every=None what is there now, and then it ends."""
+    out = documents.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
+    return (out.trigger(availableNow=True) if every is None else out.trigger(processingTime=every)).start(path)
