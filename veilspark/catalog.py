@@ -586,3 +586,21 @@ def bursts_of_events(spark, sf_dir):
     from veilspark.streaming import assemble
 
     return assemble.debounced(table(spark, sf_dir, "events").select("user_id", "ts"), ["user_id"], "ts", "6 hours")
+
+
+def _check_digits_sql() -> str:
+    from veilspark.functions.checksums import turns
+
+    table = ", ".join(f"[{', '.join(map(str, row))}]" for row in turns())
+    product = "case when c < 5 then (c + x) % 5 + case when x < 5 then 0 else 5 end when x < 5 then (c - x) % 5 + 5 else (c - x + 5) % 5 end"
+    return f"""with v as (select n, '2345' || lpad(n::varchar, 8, '0') as value from ({made.ROWS})), t as (select [{table}] as p)
+select n, value, list_reduce(list_concat([0], list_transform(range(12), lambda i: p[i % 8 + 1][substring(reverse(value), i::int + 1, 1)::int + 1])), lambda c, x: {product}) = 0 as valid from v, t"""
+
+
+@query(_check_digits_sql())
+def check_digits(spark, sf_dir):
+    """Numbers of twelve digits by Verhoeff's scheme."""
+    from veilspark.functions.checksums import verhoeff_column
+
+    rows = _made(spark, sf_dir).selectExpr("n", "concat('2345', lpad(cast(n as string), 8, '0')) as value")
+    return rows.select("n", "value", verhoeff_column(F.col("value")).alias("valid"))

@@ -46,6 +46,23 @@ def verhoeff(s: str) -> bool:
     return check == 0
 
 
+def turns() -> list[list[int]]:
+    """By place modulo 8 what each digit counts as."""
+    rows = [list(range(10))]
+    for _ in range(7):
+        rows.append([_TURN[x] for x in rows[-1]])
+    return rows
+
+
+def verhoeff_column(value: Column) -> Column:
+    """verhoeff() as a fold over characters."""
+    flat = lambda rows: F.array(*(F.lit(x) for row in rows for x in row))
+    turn, product = flat(turns()), flat([[_dihedral(a, b) for b in range(10)] for a in range(10)])
+    each = F.filter(F.split(F.reverse(F.regexp_replace(value, "[^0-9]", "")), ""), lambda c: c != "")
+    counted = F.transform(each, lambda c, i: F.get(turn, i % 8 * 10 + c.cast("int")))
+    return F.aggregate(counted, F.lit(0), lambda check, x: F.get(product, check * 10 + x)) == 0
+
+
 def luhn_column(value: Column) -> Column:
     return F.call_function("luhn_check", F.regexp_replace(value, "[^0-9]", ""))
 

@@ -22,8 +22,8 @@ def register(name: str, find: Callable[[str], list[Span]]) -> None:
     DETECTORS = (*DETECTORS, name)
 
 
-def every(text: str, only: tuple[str, ...] | None = None, all_dates: bool = False) -> list[Span]:
-    """What the detectors find, before a choice; one that fails finds nothing."""
+def every(text: str, only: tuple[str, ...] | None = None, all_dates: bool = False, strict: bool = False) -> list[Span]:
+    """What the detectors find, before a choice; one that fails finds nothing and warns, or ends the job if strict."""
     out: list[Span] = []
     folded = text.lower()
     for name in DETECTORS:
@@ -32,6 +32,8 @@ def every(text: str, only: tuple[str, ...] | None = None, all_dates: bool = Fals
         try:
             found = people.birth_dates(text, True) if name == "date" and all_dates else _OWN[name](text) if name in _OWN else rules.find(name, text, folded)
         except Exception as e:  # noqa: BLE001
+            if strict:
+                raise RuntimeError(f"detector {name} failed") from e
             import warnings
 
             warnings.warn(f"detector {name} failed: {e}", stacklevel=2)
@@ -40,5 +42,5 @@ def every(text: str, only: tuple[str, ...] | None = None, all_dates: bool = Fals
     return out
 
 
-def detect(text: str | None, only: tuple[str, ...] | None = None, all_dates: bool = False) -> list[Span]:
-    return resolved(every(text, only, all_dates), text) if text else []
+def detect(text: str | None, only: tuple[str, ...] | None = None, all_dates: bool = False, strict: bool = False) -> list[Span]:
+    return resolved(every(text, only, all_dates, strict), text) if text else []

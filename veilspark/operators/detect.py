@@ -17,9 +17,10 @@ DETECTION = T.StructType([
 ])
 
 
-def detections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", only: tuple[str, ...] | None = None, overlaps: bool = False, all_dates: bool = False) -> DataFrame:
+def detections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", only: tuple[str, ...] | None = None, overlaps: bool = False, all_dates: bool = False, strict: bool = False) -> DataFrame:
     """A row for each detection: the id and DETECTION. `only` names detectors and takes effect when the plan is built;
-    the choice among overlaps is then made among theirs. overlaps=True leaves the choice out."""
+    the choice among overlaps is then made among theirs. overlaps=True leaves the choice out. strict=True ends the job
+    where a detector fails; else it finds nothing in that text."""
     kind = docs.schema[id_col].dataType
     out = T.StructType([T.StructField(id_col, kind), *DETECTION])
     source = known.current()
@@ -32,7 +33,7 @@ def detections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for b in batches:
             place, rows = [], []
             for k, text in enumerate(b.column(1).to_pylist()):
-                found = (engine.every(text or "", only, all_dates) if overlaps else engine.detect(text, only, all_dates))
+                found = engine.every(text or "", only, all_dates, strict) if overlaps else engine.detect(text, only, all_dates, strict)
                 place += [k] * len(found)
                 rows += [(n, *s) for n, s in enumerate(found)]
             n, start, end, label, sure, origin, rule, value = zip(*rows) if rows else [()] * 8

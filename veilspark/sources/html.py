@@ -120,14 +120,14 @@ class Page(HTMLParser):
         return (a, z) if z > a else None
 
 
-def carried_label(e: Element) -> tuple[str, str] | None:
+def carried_label(e: Element, aliases: dict[str, str] | None = None) -> tuple[str, str] | None:
     """(how, name) of the label in an element's attributes or classes."""
     for k, v in e.attributes.items():
-        if k not in PLAIN_ATTRIBUTES and resolve(v):
+        if k not in PLAIN_ATTRIBUTES and resolve(v, aliases):
             return f"attr:{k}", v
     for c in e.attributes.get("class", "").split():
         for k in range(1, len(c)):
-            if c[k - 1] in "-_" and resolve(c[k:]):
+            if c[k - 1] in "-_" and resolve(c[k:], aliases):
                 return f"class:{c[:k]}", c[k:]
     return None
 
@@ -138,9 +138,10 @@ def label_pattern(page: Page) -> tuple[str, int] | None:
     return min(ways.items(), key=lambda x: (-x[1], not x[0].startswith("attr:"))) if ways else None
 
 
-def labels_of(page: Page, way: str | None = None, placeholder: str = PLACEHOLDER) -> list[dict]:
-    """Spans of labelled elements, the outermost of nested ones, and free placeholders outside of them."""
-    found = [(e, w[1]) for e in page.elements if (w := carried_label(e)) and (way is None or w[0] == way)]
+def labels_of(page: Page, way: str | None = None, placeholder: str = PLACEHOLDER, aliases: dict[str, str] | None = None) -> list[dict]:
+    """Spans of labelled elements, the outermost of nested ones, and free placeholders outside of them. aliases: more
+    names (plain: small letters and digits) and the labels they stand for."""
+    found = [(e, w[1]) for e in page.elements if (w := carried_label(e, aliases)) and (way is None or w[0] == way)]
     chosen = {id(e) for e, _ in found}
 
     def inner(e: Element) -> bool:
@@ -153,11 +154,11 @@ def labels_of(page: Page, way: str | None = None, placeholder: str = PLACEHOLDER
     for e, raw in found:
         if not inner(e) and (at := page.range_of(e)):
             said = page.text[slice(*at)]
-            out.append({"label": resolve(raw) or raw, "raw_label": raw, "known": resolve(raw) is not None, "start": at[0], "end": at[1], "text": said, "placeholder": is_placeholder(said, placeholder)})
+            out.append({"label": resolve(raw, aliases) or raw, "raw_label": raw, "known": resolve(raw, aliases) is not None, "start": at[0], "end": at[1], "text": said, "placeholder": is_placeholder(said, placeholder)})
     covered = [(x["start"], x["end"]) for x in out]
     for m in re.finditer(placeholder, page.text) if placeholder else ():
-        if resolve(m[1]) and not any(m.start() < z and m.end() > a for a, z in covered):
-            out.append({"label": resolve(m[1]), "raw_label": m[1], "known": True, "start": m.start(), "end": m.end(), "text": m[0], "placeholder": True})
+        if resolve(m[1], aliases) and not any(m.start() < z and m.end() > a for a, z in covered):
+            out.append({"label": resolve(m[1], aliases), "raw_label": m[1], "known": True, "start": m.start(), "end": m.end(), "text": m[0], "placeholder": True})
     return sorted(out, key=lambda x: x["start"])
 
 
@@ -171,12 +172,12 @@ def text_of(html: Column) -> Column:
     return convert(html)
 
 
-def page_labels(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+def page_labels(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", placeholder: str = PLACEHOLDER, aliases: dict[str, str] | None = None) -> DataFrame:
     """(id, label, raw_label, known, start, end, text, placeholder): the labels that the markup of pages carries, with their places in the page's text."""
     fields = "label string, raw_label string, known boolean, start int, end int, text string, placeholder boolean"
 
     @F.pandas_udf(f"array<struct<{fields}>>")
     def found(html: pd.Series) -> pd.Series:
-        return html.map(lambda h: labels_of(Page(h)))
+        return html.map(lambda h: labels_of(Page(h), None, placeholder, aliases))
 
     return pages.select(F.col(id_col), F.inline(found(F.col(html_col))))
