@@ -200,7 +200,8 @@ def greedy_disjoint_spans(spark, sf_dir):
 
 @query("""select l_linestatus, l_returnflag, list_sort(list(l_quantity::double))[(count(*) // 2 + 1)::int] as median from lineitem group by all""")
 def upper_medians(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy("l_linestatus", "l_returnflag").agg(intervals.upper_median(F.collect_list(F.col("l_quantity").cast("double"))).alias("median"))
+    rows = table(spark, sf_dir, "lineitem").select("l_linestatus", "l_returnflag", F.col("l_quantity").cast("double").alias("q"))
+    return intervals.upper_medians(rows, ["l_linestatus", "l_returnflag"], "q")
 
 
 @query("""with e as (select user_id, event_id, ts, case when event_type = 'purchase' then value end as v from events)

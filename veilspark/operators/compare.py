@@ -5,7 +5,9 @@ are projections and aggregates over its rows."""
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -41,6 +43,9 @@ class Pair:
     def __init__(self, left: str, right: str, labels: list[dict], found: list[Span] | None = None):
         self.left, self.right, self.labels = left, right, sorted(labels, key=lambda x: x["start"])
         self.found = engine.detect(left) if found is None else found
+        self._order = sorted(range(len(self.found)), key=lambda k: self.found[k].start)
+        self._starts = [self.found[k].start for k in self._order]
+        self._reach = list(accumulate((self.found[k].end for k in self._order), max))
         self.lt, self.rt = align.tokens(left), align.tokens(right)
         words = [t.low for t in self.rt]
         self.spans = [align.touched(self.rt, x["start"], x["end"]) for x in self.labels]
@@ -51,7 +56,13 @@ class Pair:
         self.a = align.Alignment([t.low for t in self.lt], words)
 
     def overlapping(self, start: int, end: int) -> list[int]:
-        return [k for k, s in enumerate(self.found) if s.start < end and s.end > start]
+        """The detections that overlap a range, from the last that begins before its end back to where none reaches into it."""
+        i, out = bisect_left(self._starts, end), []
+        while i and self._reach[i - 1] > start:
+            i -= 1
+            if self.found[self._order[i]].end > start:
+                out.append(self._order[i])
+        return sorted(out)
 
     def findings(self) -> list[tuple]:
         """FINDING rows, sorted, ids made unique."""

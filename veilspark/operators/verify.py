@@ -98,8 +98,7 @@ class Walk:
     def __init__(self, p: Pair):
         self.p, self.rows, self.leaked, self.replaced = p, [], set(), []
         self.sure = [k for k, d in enumerate(p.found) if d.confidence >= REVIEW_THRESHOLD]
-        people = [d for d in p.found if d.label == "Person Name"]
-        self.known = [k for k in known.find(p.left) if not any(k.start < d.end and k.end > d.start for d in people)]
+        self.known = [k for k in known.find(p.left) if not any(p.found[i].label == "Person Name" for i in p.overlapping(k.start, k.end))]
 
     def add(self, phase: int, category: str, label: str | None, left, right, text: str, note: str | None, d: Span | None = None, source: str = "L2", name: str | None = None, replaced: str | None = None, leaked: bool = False) -> None:
         said = self.p.right[slice(*right)] if right else None

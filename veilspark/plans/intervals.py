@@ -71,6 +71,16 @@ def upper_median(values: Column) -> Column:
     return F.element_at(F.array_sort(values), (F.size(values) / 2).cast("int") + 1)
 
 
+def upper_medians(rows: DataFrame, on: list[str], value: str, name: str = "median") -> DataFrame:
+    """(on, name): the upper median of each group. Equal values are counted before anything moves, and the median is the
+    first value at which the counts pass half: a group costs its distinct values, however many rows it has."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*on, F.col(value).alias(name)).agg(F.count("*").alias("_n"))
+    w = Window.partitionBy(*on)
+    so_far = F.sum("_n").over(w.orderBy(name).rowsBetween(Window.unboundedPreceding, 0))
+    passed = counts.withColumn("_c", so_far).withColumn("_all", F.sum("_n").over(w)).where("_c >= floor(_all / 2) + 1")
+    return passed.groupBy(*on).agg(F.min(name).alias(name))
+
+
 def top_k(rows: DataFrame, on: list[str], order: list[Column], k: int) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*on).orderBy(*order))).where(F.col("_n") <= k).drop("_n")
 
