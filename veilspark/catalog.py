@@ -605,3 +605,17 @@ def check_digits(spark, sf_dir):
 
     rows = _made(spark, sf_dir).selectExpr("n", "concat('2345', lpad(cast(n as string), 8, '0')) as value")
     return rows.select("n", "value", verhoeff_column(F.col("value")).alias("valid"))
+
+
+@query(f"select n as page_id, 'body/main/left/text' as left_path, 'body/main/right' as right_path, 0.78::double as similarity from ({made.ROWS})")
+def page_panels(spark, sf_dir):
+    """The two documents of each page, among its frame, a menu, a header, and a box inside the left one."""
+    from veilspark.operators import panels
+
+    eight, other = made.lines(0, 7), made.lines(0, 6) + " || chr(10) || " + f"({made.line('90')})"
+    each = [
+        ("body/main", 0, 100, 900, 800, f"{eight} || chr(10) || {other}"), ("body/main/left", 0, 100, 400, 800, eight), ("body/main/left/text", 10, 110, 380, 780, eight), ("body/main/right", 420, 100, 400, 800, other),
+        ("body/menu", 1000, 100, 180, 800, made.lines(20, 27)), ("body/head", 0, 0, 400, 30, eight), ("body/foot", 0, 950, 400, 200, eight),
+    ]
+    rows = ", ".join(f"named_struct('ord', {k}, 'path', '{p}', 'x', {x}, 'y', {y}, 'width', {w}, 'height', {h}, 'viewport', 1200, 'text', {t})" for k, (p, x, y, w, h, t) in enumerate(each))
+    return panels.best_pairs(_made(spark, sf_dir).selectExpr("n as page_id", f"inline(array({rows}))"))

@@ -24,22 +24,24 @@ def _wordish(c: str) -> bool:
 _ASCII_TOKEN = re.compile(r"[A-Za-z0-9]+|[^\sA-Za-z0-9]")
 
 
+class _Kinds(dict):
+    """By code point an ASCII character of its kind: itself, a letter, a blank or a sign."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        kind = c if code < 128 else "a" if _wordish(c) else " " if c.isspace() or code == 0xFEFF else "!"
+        self[code] = kind
+        return kind
+
+
+_KINDS = _Kinds()
+
+
 def tokens(text: str) -> list[Token]:
     """Runs of letters, marks and digits, and every other sign that is not white space."""
-    if text.isascii():
-        return [Token(m[0].lower(), *m.span()) for m in _ASCII_TOKEN.finditer(text)]
-    out, i = [], 0
-    while i < len(text):
-        j = i + 1
-        if _wordish(text[i]):
-            while j < len(text) and _wordish(text[j]):
-                j += 1
-        elif text[i].isspace() or text[i] == "﻿":
-            i = j
-            continue
-        out.append(Token(text[i:j].lower(), i, j))
-        i = j
-    return out
+    shape = text if text.isascii() else text.translate(_KINDS)
+    spans = [m.span() for m in _ASCII_TOKEN.finditer(shape)]
+    return [Token(text[i:j].lower(), i, j) for i, j in spans]
 
 
 def wordy(t: str) -> bool:
