@@ -619,3 +619,25 @@ def page_panels(spark, sf_dir):
     ]
     rows = ", ".join(f"named_struct('ord', {k}, 'path', '{p}', 'x', {x}, 'y', {y}, 'width', {w}, 'height', {h}, 'viewport', 1200, 'text', {t})" for k, (p, x, y, w, h, t) in enumerate(each))
     return panels.best_pairs(_made(spark, sf_dir).selectExpr("n as page_id", f"inline(array({rows}))"))
+
+
+def _coloured(spark, sf_dir) -> DataFrame:
+    """Reads of two words, the first on a label's colour, on one that is none's, or on white."""
+    rows = lambda colour: f"repeat('FFFFFF', 800) || repeat(repeat('FFFFFF', 10) || repeat('{colour}', 30) || repeat('FFFFFF', 40), 20) || repeat('FFFFFF', 800)"
+    image = made.cases([rows(c) for c in ("DCE6FC", "C8C896", "FFFFFF")])
+    words = "array(named_struct('start', 0, 'end', 5, 'box', array(10, 10, 30, 20)), named_struct('start', 6, 'end', 10, 'box', array(45, 10, 30, 20)))"
+    return _made(spark, sf_dir).selectExpr("n as read_id", f"unhex({image}) as image", "80 as width", "40 as height", "'Alpha beta' as text", f"{words} as words")
+
+
+@query(f"select n as read_id, case n % 3 when 0 then 'Person Name' end as site_label, case n % 3 when 0 then 0 end::int as start, case n % 3 when 0 then 5 end::int as \"end\", 'Alpha' as text, case n % 3 when 1 then '#c8c896' end as hex, (n % 3)::bigint as count from ({made.ROWS}) where n % 3 < 2")
+def colours_behind_words(spark, sf_dir):
+    from veilspark.operators import colours
+
+    return colours.label_colours(_coloured(spark, sf_dir))
+
+
+@query(f"select n % 2 as side, '#c8c896' as hex, count(*) as count, 'Alpha' as example from ({made.ROWS}) where n % 3 = 1 group by 1")
+def colours_without_label(spark, sf_dir):
+    from veilspark.operators import colours
+
+    return colours.unknown_colours(colours.label_colours(_coloured(spark, sf_dir)).withColumn("side", F.col("read_id") % 2), ["side"])
