@@ -51,7 +51,7 @@ def test_quality_expressions(spark):
 def test_entry_and_sql(spark, sf_dir):
     assert __spark_entry__.entry(spark).count() > 0
     con = duckdb.connect()
-    for t in "customer orders lineitem events documents pages benchmark labels conversations embeddings".split():
+    for t in "nation customer orders lineitem events documents pages benchmark labels conversations embeddings".split():
         con.sql(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
     from veilspark import catalog
 
