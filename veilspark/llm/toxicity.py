@@ -14,7 +14,7 @@ that tell most about the label (likelihood ratio, counted in Spark over the samp
 The chain is fitted on a bounded sample of labelled rows: ids in the order of their hashes while their rows sum up to at
 most SAMPLE. Rows that share their SKETCH smallest feature hashes count as one, so that copies of one text don't teach
 its own words. A text is toxic from the cut on at which at most FALSE_ALARMS of the sample's negative rows would be, by the
-log-odds of models that did not see them, and never for want of features. All documents are then scored, each whole.
+log-odds of models that did not see them, a quarter of the way to the next positive row above, and never for want of features. All documents are then scored, each whole.
 
 Defined cases: null and empty texts, and those without words, get the intercepts and are not toxic; texts of any length are read whole;
 labels that are null are left out, as are labelled ids without a document and rows without an id; of several labels for
@@ -149,7 +149,9 @@ def fit_chain(x: np.ndarray, labels: dict[str, np.ndarray], fold: np.ndarray, we
         odds = np.column_stack([odds, np.clip(unseen, -6, 6).astype(x.dtype)])
     negative = np.sort(unseen[target == 0])[::-1]
     cut = max(negative[min(int(false_alarms * len(negative)), len(negative) - 1)], bare[-1])
-    return weights, intercepts, float(linear.sigmoid(cut + 1e-3))
+    above = unseen[(target > 0) & (unseen > cut)]
+    cut = cut + max((above.min() - cut) / 4 if len(above) else 0.0, 1e-3)
+    return weights, intercepts, float(linear.sigmoid(cut))
 
 
 def _prepared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
