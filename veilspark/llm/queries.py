@@ -154,6 +154,41 @@ def op11_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilspark.llm.vector_codes import compressed
+
+    return compressed(_table(spark, sf_dir, "embeddings"))
+
+
+def _codebook_round(k: int) -> str:
+    """The SQL of a round: distances of all parts to codebook k, and codebook k + 1."""
+    return f"""
+far{k} as (select p.n, p.part, entry, list_sum(list_transform(list_zip(p.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint as far from p join c{k} c using (part)),
+near{k} as (select n, part, min(entry) as entry from (select *, min(far) over (partition by n, part) as least from far{k}) where far = least group by n, part),
+sum{k} as (select part, entry, place, sum(x)::bigint as s, count(*)::bigint as c from (select a.part, a.entry, unnest(p.v) as x, unnest(range(len(p.v))) as place from near{k} a join p using (n, part)) group by all),
+c{k + 1} as (select c.part, c.entry, coalesce(m.v, c.v) as v from c{k} c left join (select part, entry, list((s - ((s % c) + c) % c) // c order by place) as v from sum{k} group by part, entry) m using (part, entry)),"""
+
+
+OP12_SQL = f"""
+with kept as (select row_number() over (order by vec_id, embedding) as n, * from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+p as (select n, part, list_transform(embedding[part * (len(embedding) // 16) + 1 : (part + 1) * (len(embedding) // 16)], lambda x: floor(256 * x::double)::bigint) as v from kept, range(16) as r(part)),
+c0 as (select part, n - 1 as entry, v from p where n <= 64),
+{_codebook_round(0)}{_codebook_round(1)}
+far2 as (select p.n, p.part, entry, list_sum(list_transform(list_zip(p.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint as far from p join c2 c using (part)),
+code as (select n, string_agg(printf('%02x', entry), '' order by part) as code, sum(far)::bigint as error
+         from (select n, part, min(entry) as entry, min(far) as far from (select *, min(far) over (partition by n, part) as least from far2) where far = least group by n, part) group by n)
+select vec_id, code, error, sum(error) over (partition by label)::bigint as label_error,
+       (select sha256(string_agg(x::varchar, ',' order by part, entry, place)) from (select part, entry, unnest(v) as x, unnest(range(len(v))) as place from c2)) as codebooks_sha256
+from kept join code using (n)
+"""
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilspark.llm.whitening import whitened
+
+    return whitened(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -166,10 +201,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_counts": op9_token_counts,
     "op10_toxicity": op10_toxicity,
     "op11_document_fingerprints": op11_document_fingerprints,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 SQL: dict[str, str] = {
     "op2_ngram_jaccard_join": OP2_SQL,
     "op3_substring_dedup": OP3_SQL,
     "op4_benchmark_decontamination": OP4_SQL,
     "op7_embedding_near_dedup": OP7_SQL,
+    "op12_vector_codes": OP12_SQL,
 }
