@@ -54,8 +54,8 @@ def turns() -> list[list[int]]:
     return rows
 
 
-def verhoeff_column(value: Column) -> Column:
-    """verhoeff() as a fold over characters."""
+def verhoeff_column(value: Column, F=F) -> Column:
+    """verhoeff() as a fold over characters. F: pyspark.sql.functions, or sqltext for expressions as text."""
     flat = lambda rows: F.array(*(F.lit(x) for row in rows for x in row))
     turn, product = flat(turns()), flat([[_dihedral(a, b) for b in range(10)] for a in range(10)])
     each = F.filter(F.split(F.reverse(F.regexp_replace(value, "[^0-9]", "")), ""), lambda c: c != "")
@@ -63,11 +63,12 @@ def verhoeff_column(value: Column) -> Column:
     return F.aggregate(counted, F.lit(0), lambda check, x: F.get(product, check * 10 + x)) == 0
 
 
-def luhn_column(value: Column) -> Column:
-    return F.call_function("luhn_check", F.regexp_replace(value, "[^0-9]", ""))
+def luhn_column(value: Column, F=F) -> Column:
+    digits_of = F.regexp_replace(value, "[^0-9]", "")
+    return F.luhn_check(digits_of) if hasattr(F, "luhn_check") else F.call_function("luhn_check", digits_of)
 
 
-def iban_column(value: Column) -> Column:
+def iban_column(value: Column, F=F) -> Column:
     """iban() as a fold over characters."""
     v = F.upper(F.regexp_replace(value, "\\s", ""))
     moved = F.concat(F.substr(v, F.lit(5)), F.substring(v, 1, 4))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilspark.functions import engine, known
+from veilspark.operators import scan
 
 DETECTION = T.StructType([
     T.StructField("ord", T.IntegerType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("label", T.StringType()),
@@ -19,8 +20,11 @@ DETECTION = T.StructType([
 
 def detections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", only: tuple[str, ...] | None = None, overlaps: bool = False, all_dates: bool = False, strict: bool = False) -> DataFrame:
     """A row for each detection: the id and DETECTION. `only` names detectors and takes effect when the plan is built;
-    the choice among overlaps is then made among theirs. overlaps=True leaves the choice out. strict=True ends the job
-    where a detector fails; else it finds nothing in that text."""
+    the choice among overlaps is then made among theirs; if all of them are of structured rules, nothing leaves the JVM
+    (operators.scan). overlaps=True leaves the choice out. strict=True ends the job where a detector fails; else it finds
+    nothing in that text."""
+    if scan.structured(only) and not overlaps:
+        return scan.detections(docs, id_col, text_col, only)
     kind = docs.schema[id_col].dataType
     out = T.StructType([T.StructField(id_col, kind), *DETECTION])
     source = known.current()
