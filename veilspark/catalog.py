@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark import made, planted
+from veilspark import made, pages, planted
 from veilspark.functions import extract, language, patterns, replacement
 from veilspark.operators import compare, detect, scan, stats, verify
 from veilspark.plans import intervals
@@ -657,3 +657,6 @@ def colours_without_label(spark, sf_dir):
     from veilspark.operators import colours
 
     return colours.unknown_colours(colours.label_colours(_coloured(spark, sf_dir)).withColumn("side", F.col("read_id") % 2), ["side"])
+
+QUERIES |= pages.QUERIES
+SQL |= pages.SQL
