@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark import lookups, made, pages, planted
+from veilspark import lookups, made, pages, planted, readings
 from veilspark.functions import extract, language, patterns, replacement
 from veilspark.operators import compare, detect, scan, stats, verify
 from veilspark.plans import intervals
@@ -662,3 +662,5 @@ QUERIES |= pages.QUERIES
 SQL |= pages.SQL
 QUERIES |= lookups.QUERIES
 SQL |= lookups.SQL
+QUERIES |= readings.QUERIES
+SQL |= readings.SQL
