@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from veilspark.llm import pieces, shared, text
 
 #: Characters of a chunk and of its overlap with the next.
-CHUNK, OVERLAP = 1 << 16, 256
+CHUNK, OVERLAP = 1 << 13, 256
 LIMIT = 1024
 _SPACE = " \t\n\v\f\r"
 

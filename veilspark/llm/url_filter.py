@@ -3,14 +3,17 @@ functions only.
 
 The model is trained in Spark from a small labelled table (at most MOST rows, in the order of their hashes): n-grams of host and path are hashed into
 BUCKETS, the inner products of all labelled URLs are joined up, and gradient steps with momentum in the dual run in one higher-order
-aggregate over that matrix. The weights of the buckets come back as one array, a scalar subquery of the scoring
-projection, so that pages are scored row by row without a join or a shuffle.
+aggregate over that matrix. The weights of the buckets (bounded by BUCKETS) come back as one array, a constant of the
+scoring projection, so that pages are scored row by row without a join or a shuffle and carry no weights along.
+
+What it learns is which words make up the names of the labelled table; a name of none of these words, or of parts of them,
+tells it little (measured in tests/llm/test_url_filter.py).
 
 Rules: one fits its host and all subdomains, for paths that begin with its own; the longest wins, of equally long ones
 (host and path together) the one that comes first.
 
 Defined cases: a null url, or one without "://", has an empty host and path, fits no rule and is judged by the model's
-intercept and the marked ends of nothing alone; urls of any length are read whole; repeated rows are judged one by one;
+intercept and the marked ends of nothing alone; of equally long rules the first holds, however many there are; urls of any length are read whole; repeated rows are judged one by one;
 an empty table gives an empty result; columns named like those of the result are replaced.
 """
 
@@ -103,18 +106,22 @@ def model(known: DataFrame, steps: int = STEPS, rate: float = RATE, decay: float
     counts = rows.select("i", F.size("b").alias("m"), F.explode("b").alias("b")).groupBy("i", "m", "b").agg(F.count("*").alias("c")).select("i", "b", (F.col("c") / F.sqrt("m")).alias("v"))
     left, right = counts.alias("l"), counts.alias("r")
     products = left.join(right, F.col("l.b") == F.col("r.b")).groupBy(F.col("l.i").alias("i"), F.col("r.i").alias("j")).agg(F.sum(F.col("l.v") * F.col("r.v")).alias("k"))
-    lines = products.groupBy("i").agg(F.map_from_entries(F.collect_list(F.struct("j", "k"))).alias("ks"))
-    table = rows.select("i", "y").join(lines, "i", "left").groupBy().agg(F.array_sort(F.collect_list(F.struct("i", "y"))).alias("t"), F.map_from_entries(F.collect_list(F.struct("i", "ks"))).alias("ks"))
-    # the intercept is a feature of every row: it adds 1 to all products
-    line = lambda ks: F.transform(F.sequence(F.lit(1), F.size("t")), lambda j: F.coalesce(F.try_element_at(ks, j), F.lit(0.0)) + 1.0)
-    table = table.where("size(t) > 0").select(F.col("t.y").alias("y"), F.transform("t", lambda r: line(F.element_at("ks", r["i"]))).alias("k"))
+    lines = products.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("j", "k"))).alias("line"))
+    table = rows.select("i", "y").join(lines, "i", "left").groupBy().agg(F.array_sort(F.collect_list(F.struct("i", "y", "line"))).alias("t"))
+    table = table.where("size(t) > 0").select(F.col("t.y").alias("y"), F.transform("t", lambda r: F.coalesce(r["line"], F.slice(F.get("t", F.lit(0))["line"], 1, 0))).alias("k"))
     nothing = F.transform("y", lambda _: F.lit(0.0))
 
     def step(state: Column, k: Column) -> Column:
         ahead = F.zip_with(state["now"], state["before"], lambda a, b: a + k / (k + 3) * (a - b))
-        margins = F.transform("k", lambda line: F.aggregate(F.zip_with(line, ahead, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x))
-        gain = F.zip_with("y", margins, lambda y, m: y - 1.0 / (1.0 + F.exp(-m)))
-        return F.struct(F.zip_with(ahead, gain, lambda old, g: old * (1.0 - rate * decay) + rate * g).alias("now"), state["now"].alias("before"))
+
+        def moved(ahead: Column) -> Column:
+            # the intercept is a feature of every row: it adds 1 to all products, and so the sum of all to each margin
+            every = F.aggregate(ahead, F.lit(0.0), lambda s, x: s + x)
+            margins = lambda every: F.transform("k", lambda line: F.aggregate(line, every, lambda s, x: s + x["k"] * F.get(ahead, x["j"] - 1)))
+            gain = F.get(F.transform(F.array(every), lambda e: F.zip_with("y", margins(e), lambda y, m: y - 1.0 / (1.0 + F.exp(-m)))), F.lit(0))
+            return F.zip_with(ahead, gain, lambda old, g: old * (1.0 - rate * decay) + rate * g)
+
+        return F.struct(F.get(F.transform(F.array(ahead), moved), F.lit(0)).alias("now"), state["now"].alias("before"))
 
     final = F.aggregate(F.sequence(F.lit(0), F.lit(steps - 1)), F.struct(nothing.alias("now"), nothing.alias("before")), step, lambda s: s["now"])
     duals = table.select(F.posexplode(final).alias("i", "a")).select((F.col("i") + 1).alias("i"), "a")
@@ -137,10 +144,10 @@ def ruled(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES) ->
     if len(ordered) <= CASES:
         best = F.coalesce(*(F.when(fit(h, p), F.struct(F.lit(h + p).alias("rule"), F.lit(v).alias("verdict"))) for h, p, v in ordered)) if ordered else F.lit(None).cast("struct<rule:string,verdict:string>")
         return pages.withColumn("_best", best).select(*pages.columns, F.col("_best.rule").alias("rule"), F.col("_best.verdict").alias("rule_verdict"))
-    table = pages.sparkSession.sql("select * from values " + ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in ordered) + " as t(rule_host, rule_path, v)")
+    table = pages.sparkSession.sql("select * from values " + ", ".join(f"('{h}', '{p}', '{v}', {k})" for k, (h, p, v) in enumerate(ordered)) + " as t(rule_host, rule_path, v, place)")
     ends = F.transform(F.sequence(F.lit(1), F.size(F.split("host", "\\."))), lambda k: F.array_join(F.slice(F.split("host", "\\."), k, F.lit(1 << 20)), "."))
     hosts = pages.select("host", "path").distinct().withColumn("rule_host", F.explode(ends))
-    found = hosts.join(table, "rule_host").where("startswith(path, rule_path)").groupBy("host", "path").agg(F.max_by(F.struct(F.concat("rule_host", "rule_path").alias("rule"), F.col("v").alias("verdict")), F.length("rule_host") + F.length("rule_path")).alias("_best"))
+    found = hosts.join(table, "rule_host").where("startswith(path, rule_path)").groupBy("host", "path").agg(F.max_by(F.struct(F.concat("rule_host", "rule_path").alias("rule"), F.col("v").alias("verdict")), F.struct(F.length("rule_host") + F.length("rule_path"), -F.col("place"))).alias("_best"))
     return pages.join(found, ["host", "path"], "left").select(*pages.columns, F.col("_best.rule").alias("rule"), F.col("_best.verdict").alias("rule_verdict"))
 
 
@@ -150,10 +157,11 @@ def judged(pages: DataFrame, known: DataFrame | None = None, url_col: str = "url
     kept = [c for c in pages.columns if c not in names]
     host, path = host_and_path(F.col(f"`{url_col}`").cast("string"))
     rows = pages.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("_row"), host.alias("host"), path.alias("path"))
-    w = model(labelled(pages.sparkSession) if known is None else known).scalar()
-    rows = ruled(rows, rules).withColumn("_b", buckets()).withColumn("_w", F.coalesce(w, F.array_repeat(F.lit(0.0), BUCKETS + 1)))
-    total = F.aggregate("_b", F.lit(0.0), lambda s, b: s + F.get("_w", b))
-    z = total / F.sqrt(F.greatest(F.size("_b"), F.lit(1))) + F.get("_w", F.lit(BUCKETS))
+    w = model(labelled(pages.sparkSession) if known is None else known).first().w or [0.0] * (BUCKETS + 1)
+    weights = F.split(F.lit(",".join(map(repr, w))), ",").cast("array<double>")  # of literals alone: made once, when the plan is optimised
+    rows = ruled(rows, rules).withColumn("_b", buckets())
+    total = F.aggregate("_b", F.lit(0.0), lambda s, b: s + F.get(weights, b))
+    z = total / F.sqrt(F.greatest(F.size("_b"), F.lit(1))) + F.lit(w[BUCKETS])
     out = rows.withColumn("p_block", 1.0 / (1.0 + F.exp(-z)))
     verdict = F.coalesce("rule_verdict", F.when(F.col("p_block") >= BLOCK_AT, "block").otherwise("allow"))
     return out.select(*(F.col("_row").getField(c).alias(c) for c in kept), "host", "path", "rule", verdict.alias("verdict"), "p_block")
