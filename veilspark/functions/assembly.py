@@ -7,7 +7,8 @@ The state is plain data, so that batch code and a stream's state can hold it ali
 from __future__ import annotations
 
 from collections import Counter
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
+from itertools import takewhile
 
 from veilspark.functions.rowmatch import key, same_line
 
@@ -50,24 +51,27 @@ class Assembly:
         self.rows, self.misses, self.reads, self.pieces = [self._row(r, 1) for r in read], 0, 1, 1
         return "new"
 
-    def _offset(self, keys: list[str]) -> int | None:
+    def _meetings(self, keys: list[str]) -> list[tuple[int, int]]:
+        """(i, j): row i of a read may be row j of the document: all of the same key, or else the one that is near."""
         places: dict[str, list[int]] = {}
         for j, row in enumerate(self.rows):
             if len(row.key) >= 4:
                 places.setdefault(row.key, []).append(j)
-        could = []
-        for k in keys:
-            near = places.get(k) or [j for j, row in enumerate(self.rows) if row.like(k)]
-            could.append(near if k in places or len(near) == 1 else [])
-        votes: dict[int, float] = {}
-        for i, (k, js) in enumerate(zip(keys, could)):
-            for j in js:
-                votes[j - i] = votes.get(j - i, 0.0) + 1 + len(k) / 40
-        if not votes:
-            return None
-        d = max(votes, key=lambda d: votes[d])
-        hits = [k for i, (k, js) in enumerate(zip(keys, could)) if i + d in js]
-        return d if len(hits) >= 2 or len(hits) == 1 and len(hits[0]) >= 25 else None
+        met = []
+        for i, k in enumerate(keys):
+            could = places.get(k) or [j for j, row in enumerate(self.rows) if row.like(k)]
+            met += [(i, j) for j in could] if k in places or len(could) == 1 else []
+        return met
+
+    def _offset(self, keys: list[str]) -> int | None:
+        """How far a read's rows lie behind the document's: what most of its text says, if that is two rows or a long one."""
+        said: Counter[int] = Counter()
+        by: dict[int, list[int]] = {}
+        for i, j in self._meetings(keys):
+            said[j - i] += 1 + len(keys[i]) / 40
+            by.setdefault(j - i, []).append(len(keys[i]))
+        best = said.most_common(1)
+        return best[0][0] if best and (len(by[best[0][0]]) >= 2 or by[best[0][0]][0] >= 25) else None
 
     def add(self, read: list[dict], start_over: bool = False, keep_unmatched: bool = True) -> str:
         """new, merged or ignored. An unmatched read is kept as a piece of its own; with start_over it counts as a
@@ -92,44 +96,34 @@ class Assembly:
         return "merged"
 
     def _merge(self, read: list[dict], d: int) -> None:
+        """Lays a read over the piece that most of its rows are of. What reaches beyond the piece goes on from it, over
+        rows of its neighbours as long as they are the same lines, which makes one piece of both, and else before them."""
         rows = self.rows
-        met = [rows[i + d].piece for i, r in enumerate(read) if 0 <= i + d < len(rows) and rows[i + d].like(key(r["text"]))]
-        piece = Counter(met).most_common(1)[0][0]
+        met = Counter(rows[i + d].piece for i, r in enumerate(read) if 0 <= i + d < len(rows) and rows[i + d].like(key(r["text"])))
+        piece = met.most_common(1)[0][0]
+        own = {piece}
         first = next(j for j, row in enumerate(rows) if row.piece == piece)
-        last = first
-        while last + 1 < len(rows) and rows[last + 1].piece == piece:
-            last += 1
-
-        def laid(j: int, r: dict) -> bool:
-            """Lays r on row j if that is of the piece or the same line, which joins its piece; else it is to be put in."""
-            if not 0 <= j < len(rows) or rows[j].piece != piece and not rows[j].like(key(r["text"])):
-                return False
-            other = rows[j].piece
-            for row in rows:
-                if row.piece == other:
-                    row.piece = piece
-            rows[j] = self._row(r, piece)
-            return True
-
-        for i, r in enumerate(read):
-            if first <= i + d <= last:
-                para = rows[i + d].para
-                rows[i + d] = self._row(r, piece)
-                if i == 0:  # whether a paragraph begins at a read's first row can't be seen
-                    rows[i + d].para = para
-        j = last + 1
-        for i, r in enumerate(read):
-            if i + d > last:
-                if not laid(j, r):
-                    rows.insert(j, self._row(r, piece))
-                j += 1
-        j = first - 1
-        for i in reversed(range(len(read))):
-            if i + d < first:
-                if laid(j, read[i]):
-                    j -= 1
-                else:
-                    rows.insert(j + 1, self._row(read[i], piece))
+        last = first + sum(1 for _ in takewhile(lambda row: row.piece == piece, rows[first:])) - 1
+        laid = [(i + d, self._row(r, piece)) for i, r in enumerate(read)]
+        body = rows[first : last + 1]
+        for j, row in laid:
+            if first <= j <= last:
+                # whether a paragraph begins at a read's first row can't be seen
+                body[j - first] = replace(row, para=body[j - first].para) if j == d else row
+
+        def onward(fresh: list[Row], old: list[Row]) -> list[Row]:
+            """Rows from the piece outward: those of the read, and the neighbours that they don't replace."""
+            replaced = 0
+            for row in fresh:
+                there = old[replaced] if replaced < len(old) else None
+                if there and (there.piece in own or there.like(row.key)):
+                    own.add(there.piece)
+                    replaced += 1
+            return fresh + old[replaced:]
+
+        below = onward([row for j, row in laid if j > last], rows[last + 1 :])
+        above = onward([row for j, row in reversed(laid) if j < first], rows[:first][::-1])
+        self.rows = [replace(row, piece=piece) if row.piece in own else row for row in above[::-1] + body + below]
 
     def document(self) -> list[dict]:
         """All rows; those not shown now without boxes."""
