@@ -123,7 +123,7 @@ class Assembly:
 
         below = onward([row for j, row in laid if j > last], rows[last + 1 :])
         above = onward([row for j, row in reversed(laid) if j < first], rows[:first][::-1])
-        self.rows = [replace(row, piece=piece) if row.piece in own else row for row in above[::-1] + body + below]
+        self.rows = [replace(row, piece=piece) if row.piece in own and row.piece != piece else row for row in above[::-1] + body + below]
 
     def document(self) -> list[dict]:
         """All rows; those not shown now without boxes."""

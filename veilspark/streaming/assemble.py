@@ -9,8 +9,10 @@ tasks of which both sides are on the screen, and start() the sink, at intervals
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -28,39 +30,51 @@ EVERY, BURST, READS = "1500 milliseconds", "600 milliseconds", 60
 AWAY = 4
 
 
-def step(state: dict, read: dict, start_over: bool = False) -> tuple[dict, dict | None]:
-    """One read; rows is a JSON list of rows. Pure, so that a batch and a stream give the same. The right side begins
-    anew only together with the left one."""
-    header = read["header"] or ""
-    mark = f"{header}|{read['rows']}"
-    if state.get("last", {}).get(read["side"]) == mark:
-        return state, None
-    if len(header) >= 4 and header != state.get("header", header):
-        state = {}
-    state = {**state, "header": header or state.get("header", ""), "last": {**state.get("last", {}), read["side"]: mark}}
-    sides = dict(state.get("sides", {}))
-    a = Assembly.load(sides[read["side"]]) if read["side"] in sides else Assembly()
-    result = a.add(json.loads(read["rows"]), start_over and read["side"] == "left")
-    away = state.get("away", 0) + 1 if result == "ignored" else 0
-    sides[read["side"]] = a.dump()
-    if result == "new" and read["side"] == "left":
-        sides.pop("right", None)
-    on = {**state.get("on", {}), read["side"]: result != "ignored"}
-    state = {**state, "sides": sides, "away": away, "on": on}
-    shown = {"result": "search" if away == AWAY else result, "n_rows": len(a.rows), "pieces": len({r.piece for r in a.rows}), "text": "\n".join(r.text for r in a.rows), "both": len(on) == 2 and all(on.values())}
-    return state, None if result == "ignored" and away != AWAY else shown
+@dataclass
+class Task:
+    """What is held of a task: the header, what was last seen of each side, and both documents."""
+
+    header: str = ""
+    last: dict[str, str] = field(default_factory=dict)
+    away: int = 0
+    on: dict[str, bool] = field(default_factory=dict)
+    sides: dict[str, Assembly] = field(default_factory=dict)
+
+    def dump(self) -> dict:
+        return {"header": self.header, "last": self.last, "away": self.away, "on": self.on, "sides": {k: a.dump() for k, a in self.sides.items()}}
+
+    @classmethod
+    def load(cls, d: dict) -> Task:
+        return cls(**{**d, "sides": {k: Assembly.load(a) for k, a in d.get("sides", {}).items()}})
+
+    def add(self, read: dict, start_over: bool = False) -> dict | None:
+        """One read; rows is a JSON list of rows. Pure, so that a batch and a stream give the same. The right side begins
+        anew only together with the left one."""
+        header, side = read["header"] or "", read["side"]
+        mark = hashlib.sha1(f"{header}|{read['rows']}".encode()).hexdigest()
+        if self.last.get(side) == mark:
+            return None
+        if len(header) >= 4 and header != (self.header or header):
+            self.last, self.away, self.on, self.sides = {}, 0, {}, {}
+        self.header, self.last[side] = header or self.header, mark
+        a = self.sides.setdefault(side, Assembly())
+        result = a.add(json.loads(read["rows"]), start_over and side == "left")
+        self.away = self.away + 1 if result == "ignored" else 0
+        if result == "new" and side == "left":
+            self.sides.pop("right", None)
+        self.on[side] = result != "ignored"
+        if result == "ignored" and self.away != AWAY:
+            return None
+        return {"result": "search" if self.away == AWAY else result, "n_rows": len(a.rows), "pieces": len({r.piece for r in a.rows}), "text": "\n".join(r.text for r in a.rows), "both": len(self.on) == 2 and all(self.on.values())}
 
 
 _NAMES = [x.split()[0] for x in DOCUMENT.split(", ")]
 
 
 def _stepped(task: str, held: dict, reads: list[dict], start_over: bool) -> tuple[dict, pd.DataFrame]:
-    out = []
-    for r in sorted(reads, key=lambda r: r["seq"]):
-        held, shown = step(held, r, start_over)
-        if shown:
-            out.append({"task_id": task, "seq": r["seq"], "side": r["side"], **shown})
-    return held, pd.DataFrame(out, columns=_NAMES)
+    own = Task.load(held)
+    out = [{"task_id": task, "seq": r["seq"], "side": r["side"], **shown} for r in sorted(reads, key=lambda r: r["seq"]) if (shown := own.add(r, start_over))]
+    return own.dump(), pd.DataFrame(out, columns=_NAMES)
 
 
 def assemble(reads: DataFrame, start_over: bool = False) -> DataFrame:
