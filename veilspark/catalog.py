@@ -12,6 +12,7 @@ from veilspark.functions import extract, language, patterns, replacement
 from veilspark.operators import compare, detect, scan, stats, verify
 from veilspark.plans import intervals
 from veilspark.plans.materialize import dealt
+from veilspark.plans.similar import similar
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -215,14 +216,11 @@ def nearest_before_by_user(spark, sf_dir):
 c as (select d.doc_id, b.item_id, count(*) as common from (select doc_id, unnest(w) as x from d) d join (select item_id, unnest(w) as x from b) b using (x) group by all)
 select doc_id, item_id, round(common / (len(d.w) + len(b.w) - common), 6) as similarity from c join d using (doc_id) join b using (item_id) where common >= 0.5 * (len(d.w) + len(b.w) - common)""")
 def similar_rows(spark, sf_dir):
-    """Documents and benchmark items that are alike in their words: an equi-join on words, then counts."""
+    """Documents and benchmark items that are alike in their words: a join by the rarest words of each."""
     words = lambda t: F.array_distinct(F.regexp_extract_all(F.lower(t), F.lit("([a-z]{3,})"), 1))
     d = documents(spark, sf_dir).select("doc_id", words(F.col("text")).alias("w"))
     b = table(spark, sf_dir, "benchmark").select("item_id", words(F.col("text")).alias("w"))
-    x = d.select("doc_id", F.size("w").alias("n"), F.explode("w").alias("x"))
-    y = b.select("item_id", F.size("w").alias("m"), F.explode("w").alias("x"))
-    common = x.join(y, "x").groupBy("doc_id", "n", "item_id", "m").agg(F.count("*").alias("common"))
-    return common.where("common >= 0.5 * (n + m - common)").select("doc_id", "item_id", F.round(F.col("common") / (F.col("n") + F.col("m") - F.col("common")), 6).alias("similarity"))
+    return similar(d, b, "doc_id", "item_id", "w", 0.5).withColumn("similarity", F.round("similarity", 6))
 
 
 _REPLACED = """r as (select c_nationkey as pair, c_custkey as ord, 'Person Name' as label, lower('N' || (c_custkey % 37)) as n_text, lower('R' || ((c_custkey % 37) * (1 + c_custkey % 2) % 31)) as n_now from customer)"""

@@ -4,12 +4,14 @@ what documents have of their own, say what is to be found."""
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark import made, planted
 from veilspark.functions import known
+from veilspark.functions.table import register_detector
 from veilspark.made import N, quoted
 from veilspark.operators import detect, lexicon, scan
 from veilspark.plans.materialize import dealt, once
@@ -130,5 +132,24 @@ def repeated_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REPEATED_SQL = f"with {planted.placed_sql(_sentence(REPEATED))} {_pieces(REPEATED, lambda p: f'{p[1]}::double as confidence, {quoted(p[2])} as rule')}"
 
-QUERIES = {f.__name__: f for f in (known_names_in_documents, known_name_lookup, leaked_values, repeated_names)}
-SQL = {"known_names_in_documents": NAMES_SQL, "known_name_lookup": LOOKUP_SQL, "leaked_values": _leaks_sql(), "repeated_names": REPEATED_SQL}
+# a detector of one's own --------------------------------------------------------------------------------------------
+
+
+def long_numbers(text: str):
+    """Runs of five digits and more; the longer, the surer."""
+    return [(*m.span(), 0.5 + 0.02 * len(m[0])) for m in re.finditer("[0-9]{5,}", text)]
+
+
+def own_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A detector registered as a table function, over documents in SQL."""
+    register_detector(spark, "find_long_numbers", "Ticket", long_numbers)
+    docs = dealt(_table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
+    return spark.sql("select * from find_long_numbers(table({docs}), text => 'text')", docs=docs)
+
+
+OWN_SQL = r"""with p as (select doc_id, lang, string_split(regexp_replace(text, '[0-9]{5,}', chr(64976) || '\0' || chr(64976), 'g'), chr(64976)) as p from documents),
+f as (select doc_id, lang, p[i] as found, coalesce(list_sum(list_transform(p[1:i - 1], lambda x: length(x))), 0)::int as start from (select doc_id, lang, p, unnest(range(2, len(p) + 1, 2)) as i from p))
+select doc_id, lang, start, (start + length(found))::int as "end", 'Ticket' as label, round(least(0.99, 0.5 + 0.02 * length(found)), 2)::double as confidence, found from f"""
+
+QUERIES = {f.__name__: f for f in (known_names_in_documents, known_name_lookup, leaked_values, repeated_names, own_detector)}
+SQL = {"known_names_in_documents": NAMES_SQL, "known_name_lookup": LOOKUP_SQL, "leaked_values": _leaks_sql(), "repeated_names": REPEATED_SQL, "own_detector": OWN_SQL}
