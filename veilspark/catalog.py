@@ -372,6 +372,14 @@ def structured_detections(spark, sf_dir):
     return scan.detections(_planted(spark, sf_dir, planted.sentence()), "n").select(F.col("n").alias("doc_id"), "start", "end", "label", "confidence", "rule", "text")
 
 
+@query(planted.all_sql(planted.EVERYTHING, planted.ALL_KINDS, planted.CONVERSATIONS, "turn_id"))
+def conversation_detections(spark, sf_dir):
+    """All detectors at once, with the choice among what overlaps, over conversations with planted values."""
+    t = dealt(table(spark, sf_dir, "conversations").selectExpr("conv_id * 100 + turn as n", "coalesce(text, '') as t")).selectExpr("n", "t", f"{planted.sentence(planted.EVERYTHING)} as said")
+    out = detect.detections(t.selectExpr("n", f"{planted.around('said')} as text"), "n")
+    return out.select(F.col("n").alias("turn_id"), "start", "end", "label", "confidence", "rule", "text")
+
+
 def _detects(name: str):
     def found(spark, sf_dir):
         docs = _planted(spark, sf_dir, made.text_of(name))
@@ -389,30 +397,38 @@ for _name in made.DETECTED:
     _detects(_name)
 
 
+def _turns(spark, sf_dir, **said: str) -> DataFrame:
+    """Turns of conversations by a number of their own: text t and sentences to plant."""
+    return dealt(table(spark, sf_dir, "conversations").selectExpr("conv_id * 100 + turn as n", "coalesce(text, '') as t")).selectExpr("n", "t", *(f"{sql} as {name}" for name, sql in said.items()))
+
+
 def _labelled(spark, sf_dir) -> DataFrame:
+    """Turns with a planted sentence, the same on both sides, which has a label on the right."""
     name, known, start, end = made.compared_label()
-    p = _made(spark, sf_dir).selectExpr("n as pair_id", made.compared_text() + " as left_text", f"{name} as l", f"{known} as k", f"cast({start} as int) as s", f"cast({end} as int) as e")
+    p = _turns(spark, sf_dir, said=made.compared_text(), l=name, k=known, s=f"cast({start} as int)", e=f"cast({end} as int)")
+    p = p.selectExpr("n as pair_id", f"{planted.around('said')} as left_text", "l", "k", *(f"cast(case when {planted.FIRST} then 0 else length(t) + 120 end as int) + {c} as {c}" for c in "se"))
     mark = F.struct(F.col("l").alias("label"), F.col("l").alias("raw_label"), F.col("k").alias("known"), F.col("s").alias("start"), F.col("e").alias("end"), F.expr("substring(left_text, s + 1, e - s)").alias("text"), F.lit(False).alias("placeholder"))
     return p.select("pair_id", "left_text", F.col("left_text").alias("right_text"), F.when(F.col("l").isNotNull(), F.array(mark)).alias("labels"))
 
 
-@query(made.compared_sql())
+@query(planted.compared_sql())
 def labelled_comparison(spark, sf_dir):
     """Stage one over pairs with labels, right, wrong, missing, unknown and misplaced."""
     return compare.compare(_labelled(spark, sf_dir)).select("pair_id", "category", "label", "right_label", "left_start", "left_end", "right_start", "right_end")
 
 
-@query(made.asked_sql())
+@query(planted.asked_sql())
 def labelled_identification(spark, sf_dir):
     return compare.identify(compare.compare(_labelled(spark, sf_dir))).select("pair_id", "category", "group", "status", "suggest")
 
 
 def _redacted(spark, sf_dir) -> DataFrame:
-    left, right = (made.cases([c[k] for c in made.VERIFIED]) for k in (0, 1))
-    return _made(spark, sf_dir).selectExpr("n as pair_id", f"{left} as left_text", f"{right} as right_text")
+    """Turns with a planted sentence on the left and its redaction on the right; all else is the same on both."""
+    p = _turns(spark, sf_dir, a=planted.LEFT_SAID, b=planted.RIGHT_SAID)
+    return p.selectExpr("n as pair_id", f"{planted.around('a')} as left_text", f"{planted.around('b')} as right_text")
 
 
-@query(made.verified_sql())
+@query(planted.verified_sql())
 def redaction_findings(spark, sf_dir):
     """Stage two over pairs that leak, mask, mistype, swap or keep values."""
     return verify.verify(_redacted(spark, sf_dir)).select("pair_id", "category", "label")
@@ -420,17 +436,17 @@ def redaction_findings(spark, sf_dir):
 
 def _counted(sql: str, key: str, values) -> str:
     rows = ", ".join(f"('{v}', {k})" for k, v in enumerate(values))
-    return f"with f as ({sql}), v as (select * from (values {rows}) t({key}, place)), p as (select n as pair_id from ({made.ROWS})) select p.pair_id, v.{key}, v.place, coalesce(c.n, 0) as n from p cross join v left join (select pair_id, {key}, count(*) as n from f group by all) c on c.pair_id = p.pair_id and c.{key} = v.{key}"
+    return f"with f as ({sql}), v as (select * from (values {rows}) t({key}, place)), p as (select n as pair_id from ({planted.PAIRS})) select p.pair_id, v.{key}, v.place, coalesce(c.n, 0) as n from p cross join v left join (select pair_id, {key}, count(*) as n from f group by all) c on c.pair_id = p.pair_id and c.{key} = v.{key}"
 
 
-@query(_counted(made.compared_sql(), "category", compare.CATEGORIES))
+@query(_counted(planted.compared_sql(), "category", compare.CATEGORIES))
 def stage_one_counts(spark, sf_dir):
     """Findings of each pair by category, 0 where there are none."""
     p = _labelled(spark, sf_dir)
     return stats.category_counts(p.select("pair_id"), compare.compare(p), compare.CATEGORIES)
 
 
-@query(f"""with a as ({made.asked_sql()}), p as (select n as pair_id from ({made.ROWS})) select p.pair_id, g.gr as "group", count(a.pair_id) as n from p cross join (values ('PI'), ('BI'), ('CRED')) g(gr)
+@query(f"""with a as ({planted.asked_sql()}), p as (select n as pair_id from ({planted.PAIRS})) select p.pair_id, g.gr as "group", count(a.pair_id) as n from p cross join (values ('PI'), ('BI'), ('CRED')) g(gr)
 left join a on a.pair_id = p.pair_id and a."group" = g.gr and a.category in ('PI_TODO', 'BI_TODO', 'CRED_TODO', 'IDENTIFIED') group by all""")
 def stage_one_groups(spark, sf_dir):
     """Values to label or labelled, of each pair by group."""
@@ -438,20 +454,20 @@ def stage_one_groups(spark, sf_dir):
     return stats.group_counts(p.select("pair_id"), compare.identify(compare.compare(p)))
 
 
-@query(made.label_counts_sql([n for n, _ in patterns.LABELS]))
+@query(planted.label_counts_sql([n for n, _ in patterns.LABELS]))
 def stage_one_labels(spark, sf_dir):
     """How often each label was detected on the left and given on the right, by pair."""
     p = _labelled(spark, sf_dir)
     return stats.label_counts(p.select("pair_id"), detect.detections(p, "pair_id", "left_text"), p.select("pair_id", F.explode("labels").alias("x")).select("pair_id", "x.label"))
 
 
-@query(_counted(made.verified_sql(), "category", verify.CATEGORIES))
+@query(_counted(planted.verified_sql(), "category", verify.CATEGORIES))
 def stage_two_counts(spark, sf_dir):
     p = _redacted(spark, sf_dir)
     return stats.category_counts(p.select("pair_id"), verify.verify(p), verify.CATEGORIES)
 
 
-@query(made.redaction_counts_sql())
+@query(planted.redaction_counts_sql())
 def redaction_counts(spark, sf_dir):
     """Of each pair the values replaced, leaked and detected."""
     return stats.redaction_counts(_redacted(spark, sf_dir))

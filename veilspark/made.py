@@ -108,8 +108,8 @@ def compared_label() -> tuple[str, str, str, str]:
     return one(lambda c: quoted(c[3][0]) if c[3] else "cast(null as string)"), one(lambda c: str(bool(c[3] and c[3][3])).lower()), one(start), one(end)
 
 
-def compared_sql() -> str:
-    """The findings that are to come out. One whose label stands alone has the label's place, others the detection's."""
+def compared_sql(rows: str, at: str) -> str:
+    """The findings that are to come out of rows. One whose label stands alone has the label's place, others the detection's. at: what stands before the sentence."""
     parts = []
     for k, (a, v, _, label, (category, name, right)) in enumerate(COMPARED):
         own = category == "OVERSCRUB" or name in ("Whatever", "Overscrubbed") or (category, right) == ("NEEDS_REVIEW", "Overscrubbed")
@@ -117,15 +117,15 @@ def compared_sql() -> str:
         first, last = (f"{len(a)} {label[1] or ''}", f"{end} {label[2] or ''}") if label else (str(len(a)), end)
         left = (first, last) if own else (str(len(a)), end)
         parts.append(
-            f"select n as pair_id, {quoted(category)} as category, {quoted(name)} as label, {quoted(right) if right else 'null::varchar'} as right_label, ({left[0]})::int as left_start, ({left[1]})::int as left_end, "
-            f"({first})::int as right_start, ({last})::int as right_end from ({ROWS}) where n % {len(COMPARED)} = {k}"
+            f"select n as pair_id, {quoted(category)} as category, {quoted(name)} as label, {quoted(right) if right else 'null::varchar'} as right_label, ({at}{left[0]})::int as left_start, ({at}{left[1]})::int as left_end, "
+            f"({at}{first})::int as right_start, ({at}{last})::int as right_end from {rows} where n % {len(COMPARED)} = {k}"
         )
     return " union all ".join(parts)
 
 
-def asked_sql() -> str:
+def asked_sql(rows: str) -> str:
     word = lambda x: quoted(x) if x else "null::varchar"
-    return " union all ".join(f"select n as pair_id, {', '.join(f'{word(x)} as {c}' for x, c in zip(a, ('category', chr(34) + 'group' + chr(34), 'status', 'suggest')))} from ({ROWS}) where n % {len(COMPARED)} = {k}" for k, a in enumerate(ASKED))
+    return " union all ".join(f"select n as pair_id, {', '.join(f'{word(x)} as {c}' for x, c in zip(a, ('category', chr(34) + 'group' + chr(34), 'status', 'suggest')))} from {rows} where n % {len(COMPARED)} = {k}" for k, a in enumerate(ASKED))
 
 
 #: Pairs of texts, and the findings of stage two: (category, label) each.
@@ -147,20 +147,20 @@ VERIFIED: list[tuple[str, str, list[tuple[str, str | None]]]] = [
 ]
 
 
-def verified_sql() -> str:
+def verified_sql(rows: str) -> str:
     return " union all ".join(
-        f"select n as pair_id, {quoted(c)} as category, {quoted(label) if label else 'null::varchar'} as label from ({ROWS}) where n % {len(VERIFIED)} = {k}" for k, (_, _, found) in enumerate(VERIFIED) for c, label in found
+        f"select n as pair_id, {quoted(c)} as category, {quoted(label) if label else 'null::varchar'} as label from {rows} where n % {len(VERIFIED)} = {k}" for k, (_, _, found) in enumerate(VERIFIED) for c, label in found
     )
 
 
-def label_counts_sql(labels: list[str]) -> str:
+def label_counts_sql(labels: list[str], rows: str) -> str:
     """By pair and label what is detected and what is given; only labels that occur have rows."""
     parts = []
     for k, (_, _, _, label, (category, name, _)) in enumerate(COMPARED):
         detected = None if category == "OVERSCRUB" or name in ("Whatever", "Overscrubbed") else name
         given = label[0] if label else None
         for own in sorted({x for x in (detected, given) if x in labels}):
-            parts.append(f"select n as pair_id, {quoted(own)} as label, {int(own == detected)}::bigint as detected, {int(own == given)}::bigint as labeled from ({ROWS}) where n % {len(COMPARED)} = {k}")
+            parts.append(f"select n as pair_id, {quoted(own)} as label, {int(own == detected)}::bigint as detected, {int(own == given)}::bigint as labeled from {rows} where n % {len(COMPARED)} = {k}")
     return " union all ".join(parts)
 
 
@@ -168,8 +168,8 @@ def label_counts_sql(labels: list[str]) -> str:
 REDACTED = [(0, 1, 1), (1, 0, 1), (1, 0, 1), (1, 0, 1), (1, 0, 1), (1, 0, 1), (0, 0, 0), (0, 0, 0), (1, 0, 1), (0, 1, 1), (0, 0, 0), (2, 0, 2), (2, 0, 2)]
 
 
-def redaction_counts_sql() -> str:
-    return " union all ".join(f"select n as pair_id, {a}::bigint as replaced, {b}::bigint as leaked, {c}::bigint as detections from ({ROWS}) where n % {len(VERIFIED)} = {k}" for k, (a, b, c) in enumerate(REDACTED))
+def redaction_counts_sql(rows: str) -> str:
+    return " union all ".join(f"select n as pair_id, {a}::bigint as replaced, {b}::bigint as leaked, {c}::bigint as detections from {rows} where n % {len(VERIFIED)} = {k}" for k, (a, b, c) in enumerate(REDACTED))
 
 
 # lines that no other line is like -----------------------------------------------------------------------------------

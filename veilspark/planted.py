@@ -9,6 +9,9 @@ the id."""
 from __future__ import annotations
 
 from veilspark import made
+from veilspark.functions.language import STOP_WORDS
+from veilspark.functions.patterns import LABELS
+from veilspark.functions.wordlists import TITLES
 from veilspark.made import HEX, N3, N4, N5, N6, N7, N, quoted
 
 FILLER = "repeat('. ', 60)"
@@ -63,12 +66,22 @@ CASES: list[list[str | tuple[str, str, str, float]]] = [
 ]
 
 
+#: Sentences for the detectors of words, beside those of CASES whose structured values no other rule takes.
+WORDS: list[list[str | tuple[str, str, str, float]]] = [
+    ["'yesterday Mr. '", (made._PERSON, "Person Name", "name-title", 0.85), "' called us'"],
+    ["'Date of birth: '", ("'0' || cast(1 + n % 9 as string) || '/0' || cast(1 + n % 7 as string) || '/19' || cast(70 + n % 30 as string)", "Person DOB", "dob-dmy", 0.94), "' as told'"],
+    ["'Address: '", ("'Flat ' || cast(1 + n % 90 as string) || ', 4th Cross Road, Indiranagar, Bengaluru 560038'", "Person Address", "address-5-signals", 0.9), "'; then'"],
+    ["'he works at '", (f"{made._COMPANY} || ' Technologies Pvt Ltd'", "Business Name", "business-suffix", 0.9), "' now'"],
+]
+EVERYTHING = WORDS + CASES
+
+
 def _value(piece) -> str:
     return piece if isinstance(piece, str) else piece[0]
 
 
-def sentence() -> str:
-    return made.cases([" || ".join(f"({_value(p)})" for p in case) for case in CASES])
+def sentence(cases: list | None = None) -> str:
+    return made.cases([" || ".join(f"({_value(p)})" for p in case) for case in cases or CASES])
 
 
 FIRST = "floor(n / 7) % 2 = 1"
@@ -82,11 +95,14 @@ def around(said: str) -> str:
 #: What texts have of their own, in DuckDB's dialect: rule, label, confidence, pattern (before)(value)(after), condition.
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _LUHN = "(select sum(case when k % 2 = 0 then d when d > 4 then 2 * d - 9 else 2 * d end) from (select unnest(list_transform(string_split(reverse(regexp_replace(value, '[^0-9]', '', 'g')), ''), lambda x: x::int)) as d, unnest(range(length(regexp_replace(value, '[^0-9]', '', 'g')))) as k)) % 10 = 0"
+_TITLES = "|".join(x for t in TITLES for x in (t, t.upper()))
 OWN = {
     "address-ip": ("ipv4", IP, 0.95, rf"(^|[^\w.])((?:{_OCTET}\.){{3}}{_OCTET})($|[^\w.]|\.$|\.[^\d])", "true"),
     "card": ("card-number", CARD, 0.95, r"(^|[^\w-])(\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}|\d{4}[ -]?\d{6}[ -]?\d{5})($|[^\w-])", f"length(regexp_replace(value, '[^0-9]', '', 'g')) in (15, 16) and {_LUHN}"),
     "key": ("key-value", KEY, 0.9, r"((?i:\b(?:api[_ \t-]?key|secret|token)\b)[\"'']?[ \t]*[:=][ \t]*[\"'']?)([^\s,;\"'']{8,})()", "true"),
     "phone": ("phone-international", PHONE, 0.86, r"(^|[^\w+])(\+(?:[0-8]|9[02-9]|9\s)\d{0,2}[\s.-]?\(?\d{1,4}\)?(?:[\s.-]?\d{2,4}){2,4})($|[^\d])", "length(regexp_replace(value, '[^0-9]', '', 'g')) between 8 and 15"),
+    "name": ("name-title", "Person Name", 0.85, rf"((?:^|[^A-Za-z0-9_])(?:{_TITLES})(?:\.[ \t]*|[ \t]+))([A-Z][a-z]+(?:[ \t]+[A-Z][a-z]+){{0,3}})()", "length(value) > 1"),
+    "address": ("address-1-signals", "Person Address", 0.5, r"(^|\s)(St\. [A-Z][^\s,;:.\-–/&)\"”’]*)()", "true"),
     "hash": ("hash-hex", "SHA/SSH/Hash Key", 0.85, r"(^|[^0-9a-zA-Z_])([0-9a-f]{128}|[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32}|[0-9A-F]{64}|[0-9A-F]{40})($|[^0-9a-zA-Z_])", "regexp_matches(value, '[0-9]') and regexp_matches(value, '[a-fA-F]')"),
 }
 
@@ -104,20 +120,24 @@ def own_sql(kinds: tuple[str, ...]) -> str:
     return " union all ".join(parts)
 
 
-def placed_sql(said: str) -> str:
-    return f"d as (select doc_id as n, coalesce(text, '') as t from documents), placed as (select *, case when {FIRST} then length(said) + 120 else 0 end as shift, case when {FIRST} then 0 else length(t) + 120 end as said_at from (select *, {said} as said from d))"
+DOCUMENTS = "select doc_id as n, coalesce(text, '') as t from documents"
+CONVERSATIONS = "select conv_id * 100 + turn as n, coalesce(text, '') as t from conversations"
 
 
-def all_sql() -> str:
-    """What all structured rules find in documents with their planted sentences."""
-    parts = []
-    for k, case in enumerate(CASES):
+def placed_sql(said: str, source: str = DOCUMENTS) -> str:
+    return f"d as ({source}), placed as (select *, case when {FIRST} then length(said) + 120 else 0 end as shift, case when {FIRST} then 0 else length(t) + 120 end as said_at from (select *, {said} as said from d))"
+
+
+def all_sql(cases: list | None = None, own: tuple[str, ...] = ("address-ip", "card", "key", "phone"), source: str = DOCUMENTS, name: str = "doc_id") -> str:
+    """What all rules find in texts with their planted sentences, and what they have of their own."""
+    cases, parts = cases or CASES, []
+    for k, case in enumerate(cases):
         at = "said_at"
         for p in case:
             if not isinstance(p, str):
-                parts.append(f"select n, ({at})::int as start, ({at} + length({p[0]}))::int as \"end\", {quoted(p[1])} as label, {p[3]}::double as confidence, {quoted(p[2])} as rule, {p[0]} as text from placed where n % {len(CASES)} = {k}")
+                parts.append(f"select n, ({at})::int as start, ({at} + length({p[0]}))::int as \"end\", {quoted(p[1])} as label, {p[3]}::double as confidence, {quoted(p[2])} as rule, {p[0]} as text from placed where n % {len(cases)} = {k}")
             at += f" + length({_value(p)})"
-    return f"with {placed_sql(sentence())} select n as doc_id, start, \"end\", label, confidence, rule, text from ({own_sql(('address-ip', 'card', 'key', 'phone'))} union all {' union all '.join(parts)})"
+    return f"with {placed_sql(sentence(cases), source)} select n as {name}, start, \"end\", label, confidence, rule, text from ({own_sql(own)} union all {' union all '.join(parts)})"
 
 
 def one_sql(detector: str) -> str:
@@ -130,3 +150,64 @@ def one_sql(detector: str) -> str:
     if detector in OWN:
         parts.append(f"select n, start, \"end\", label, text from ({own_sql((detector,))})")
     return f"with {placed_sql(made.text_of(detector))} select n as doc, start, \"end\", label, text from ({' union all '.join(parts)})"
+
+
+# pairs of texts -----------------------------------------------------------------------------------------------------
+
+#: What conversations have of their own, by all detectors.
+ALL_KINDS = ("address-ip", "card", "key", "phone", "name", "address")
+_GROUP = {name: group for name, group in LABELS}
+
+
+def _grouped(label: str) -> str:
+    return "case " + label + " " + " ".join(f"when '{n}' then '{g}'" for n, g in _GROUP.items() if g) + " end"
+
+
+def _pairs_sql(said: str) -> str:
+    """placed, and own: what the left texts have of their own."""
+    return f"with {placed_sql(said, CONVERSATIONS)}, own as ({own_sql(ALL_KINDS)})"
+
+
+def compared_sql() -> str:
+    """Findings of stage one: those of the sentence, and that nothing is labelled of what texts have of their own."""
+    own = "select n as pair_id, case when confidence >= 0.7 then 'MISSED' else 'NEEDS_REVIEW' end as category, label, null::varchar as right_label, start as left_start, \"end\" as left_end, start as right_start, \"end\" as right_end from own"
+    return f"{_pairs_sql(made.compared_text())} {made.compared_sql('placed', 'said_at + ')} union all {own}"
+
+
+def asked_sql() -> str:
+    own = f"select n as pair_id, {_grouped('label')} || '_TODO' as category, {_grouped('label')} as \"group\", 'unlabeled' as status, case when confidence >= 0.7 then 'yes' else 'unsure' end as suggest from own"
+    return f"{_pairs_sql(made.compared_text())} {made.asked_sql('placed')} union all {own}"
+
+
+def label_counts_sql(labels: list[str]) -> str:
+    own = "select n as pair_id, label, count(*)::bigint as detected, 0::bigint as labeled from own group by all"
+    return f"{_pairs_sql(made.compared_text())} select pair_id, label, sum(detected)::bigint as detected, sum(labeled)::bigint as labeled from ({made.label_counts_sql(labels, 'placed')} union all {own}) group by all"
+
+
+LEFT_SAID, RIGHT_SAID = (made.cases([c[k] for c in made.VERIFIED]) for k in (0, 1))
+
+
+_OTHERS = [k for k in STOP_WORDS if k != "English"]
+
+
+def _foreign_sql() -> str:
+    """n of the left texts that have a line, or a sentence of a long one, in another language than English."""
+    hits = ", ".join(f"len(list_intersect(w, [{', '.join(quoted(x) for x in dict.fromkeys(words.split()))}])) as {k}" for k, words in STOP_WORDS.items())
+    most = f"greatest({', '.join(_OTHERS)})"
+    return f"""select distinct n from (select *, {hits} from (select n, list_distinct(w) as w, len(w) as c from (select n, u, regexp_extract_all(lower(u), '\\p{{L}}{{2,}}') as w from
+ (select n, unnest(case when length(v) > 400 then regexp_extract_all(v, '[^.!?।]+[.!?।]*\\s*') else [v] end) as u from (select n, unnest(string_split({around('said')}, chr(10))) as v from placed)) where trim(u) != '' and len(regexp_extract_all(u, '[\\p{{L}}\\p{{M}}]')) >= 8)) where c >= 3)
+ where {most} >= 2 and {most} > English"""
+
+
+def verified_sql() -> str:
+    """Findings of stage two: those of the sentence, that all that texts have of their own leaks, and that tasks are to be in English."""
+    own = "select n as pair_id, case when confidence >= 0.7 then 'LEAKAGE' else 'UNSURE' end as category, label from own"
+    return f"{_pairs_sql(LEFT_SAID)} {made.verified_sql('placed')} union all {own} union all select n, 'TASK', null from ({_foreign_sql()})"
+
+
+def redaction_counts_sql() -> str:
+    own = "select n as pair_id, 0::bigint as replaced, count(*) filter (confidence >= 0.7)::bigint as leaked, count(*) filter (confidence >= 0.7)::bigint as detections from own group by all"
+    return f"{_pairs_sql(LEFT_SAID)} select pair_id, sum(replaced)::bigint as replaced, sum(leaked)::bigint as leaked, sum(detections)::bigint as detections from ({made.redaction_counts_sql('placed')} union all {own}) group by all"
+
+
+PAIRS = "select conv_id * 100 + turn as n from conversations"
