@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from veilspark.functions import wordlists as W
 from veilspark.functions.patterns import REVIEW_THRESHOLD
 from veilspark.plans import intervals, phrases
+from veilspark.plans.materialize import once
 
 _LEGAL = W.LEGAL_END
 
@@ -56,7 +57,7 @@ def known_names(docs: DataFrame, names: DataFrame, id_col: str = "doc_id", text_
     entries = dictionary_of(names)
     forms = names.select(F.explode(F.array(F.trim("name"), F.upper(F.trim("name")))).alias("form")).where("form != ''").distinct()
     own = forms.withColumns({"toks": phrases.sequence("form", normal=_sign), "key": name_key(F.col("form"))})
-    own = own.groupBy("toks", "key").agg(F.max(F.length("form")).alias("length")).join(entries, "key")
+    own = once(own.groupBy("toks", "key").agg(F.max(F.length("form")).alias("length")).join(entries, "key"))
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     hits = phrases.found(rows.withColumnRenamed(id_col, "_id"), own, [], normal=_sign, keep=["_id"])
     more = F.regexp_extract("after", rf"^((?:\s+{_LEGAL})+)(?![\p{{L}}\p{{N}}])", 1)
@@ -73,6 +74,7 @@ def leaks(values: DataFrame, rights: DataFrame, id_col: str = "pair_id", text_co
     its first sure detection, from left to right. Ids tell pairs apart."""
     sure = values.where((F.col("confidence") >= REVIEW_THRESHOLD) & (F.regexp_count("text", F.lit("[A-Za-z0-9_]")) >= 3)).withColumn("toks", phrases.sequence("text"))
     first = sure.where("size(toks) > 0").groupBy(F.col(id_col).alias("_id"), "toks").agg(F.min(F.struct("ord", "label", F.col("text").alias("value"), F.col("start").alias("left_start"), F.col("end").alias("left_end"))).alias("v")).select("_id", "toks", "v.*")
+    first = once(first)  # looked at for lengths, for the hashes of each pair, and in the join
     rows = rights.select(F.col(id_col).alias("_id"), F.col(id_col).alias("row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     hits = phrases.found(rows, first, ["_id"])
     hits = hits.where(~F.col("before").rlike(r"[\p{L}\p{N}]\z") & ~F.col("after").rlike(r"^[\p{L}\p{N}]"))
@@ -94,6 +96,7 @@ def repeated_names(found: DataFrame, docs: DataFrame, id_col: str = "doc_id", te
     whole = words.where("size(_long) >= 2").select("_id", "name", F.lit(True).alias("whole"))
     parts = words.select("_id", F.explode("_long").alias("name"), F.lit(False).alias("whole")).where(~F.lower("name").isin(*W.NAME_STOP.split()))
     needles = whole.union(parts).where(F.col("name").rlike("^[A-Za-z]")).groupBy("_id", "name").agg(F.max("whole").alias("whole")).withColumn("toks", phrases.sequence("name", _LETTERS, lambda t: t))
+    needles = once(needles)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(id_col).alias("row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     hits = phrases.found(rows, needles, ["_id"], pattern=_LETTERS, normal=lambda t: t).where(~F.col("after").rlike("^[A-Za-z]"))
     taken = phrases.cover(hits.select("_id", "start", "end", "name", "whole"), ["_id"], [~F.col("whole"), -F.length("name")])

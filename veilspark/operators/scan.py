@@ -27,7 +27,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(_row, id, start, end, label, confidence, number, rule, text) for all matches, overlapping ones too; number is the rule's place in the registry."""
     text = F.col(text_col).cast("string")
     rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col), text.alias("_text"))
-    out = rows.select("_row", id_col, "_text", F.expr(f"inline({scan.every(scan.F.col('_text'), only).sql})"))
+    out = rows.select("_row", id_col, "_text", F.expr(f"inline_outer({scan.every(scan.F.col('_text'), only).sql})")).where("start is not null")  # outer: else a filter would be inferred that scans twice more
     # a text that has the marks of the scan was read with others in their place
     own = F.when(F.col("text").contains(scan._OTHER), F.substring(F.col("_text"), F.col("start") + 1, F.col("end") - F.col("start"))).otherwise(F.col("text"))
     return out.withColumn("text", own).drop("_text")

@@ -37,6 +37,21 @@ def tokens(text: str, pattern: str = TOKEN) -> Column:
     return F.expr(placed.sql)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _starts(lengths: Column, block: int = 64) -> Column:
+    """Where each piece begins, summed up by blocks."""
+    summed = lambda values, of: F.aggregate(
+        values, F.struct(F.lit(0).alias("s"), F.array().cast("array<int>").alias("a")), lambda acc, x: F.struct((acc["s"] + of(x)).alias("s"), F.concat(acc["a"], F.array(acc["s"])).alias("a"))
+    )
+    blocks = lambda all_of: F.transform(F.sequence(F.lit(0), F.floor((F.size(all_of) - 1) / block).cast("int")), lambda b: summed(F.slice(all_of, b * block + 1, block), lambda x: x))
+    spread = lambda own: _let(summed(own, lambda x: x["s"])["a"], lambda base: F.flatten(F.transform(own, lambda x, i: F.transform(x["a"], lambda at: at + F.get(base, i)))))
+    return _let(lengths, lambda all_of: _let(blocks(all_of), spread))
+
+
 def sequence(name: str, pattern: str = TOKEN, normal: Callable[[Column], Column] = F.lower) -> Column:
     """The tokens of a column alone, as phrases have them."""
     return F.transform(tokens(name, pattern), lambda x: normal(x["t"]))
@@ -67,30 +82,45 @@ def found(docs: DataFrame, phrases: DataFrame, on: list[str], text: str = "text"
     if on:
         hashes = own.groupBy(*on).agg(F.collect_set(F.xxhash64(F.element_at("toks", 1))).alias("_heads"), F.collect_set(F.xxhash64("gram")).alias("_grams"))
         docs = docs.join(hashes, on)
-        first, whole = (lambda h: F.array_contains("_heads", h)), (lambda h: F.array_contains("_grams", h))
-    elif table := _slots(own, sum(r.c for r in told_of)):
-        first = whole = lambda h: F.substring(table[0], F.pmod(h, F.lit(table[1])).cast("int") + 1, F.lit(1)) == F.lit(bytearray(b"\x01"))
+        table, told = F.lit(None).cast("binary"), lambda _, h, name: F.array_contains(name, h)
+    elif slots := _slots(own, sum(r.c for r in told_of)):
+        table, told = slots[0], lambda taken, h, _: F.substring(taken, F.pmod(h, F.lit(slots[1])).cast("int") + 1, F.lit(1)) == F.lit(bytearray(b"\x01"))
     else:
-        first = whole = lambda h: F.lit(True)
-
-    def rows(toks: Column) -> Column:
-        word = lambda i: F.element_at(toks, i)["t"]
-
-        def one(i: Column, n: Column) -> Column:
-            start, end = F.element_at(toks, i)["start"], F.element_at(toks, i + n - 1)["end"]
-            gram = F.array_join(F.transform(F.slice(toks, i, n), lambda x: x["t"]), " ")
-            return F.struct(
-                (i - 1).alias("at"), n.alias("n"), gram.alias("gram"), start.alias("start"), end.alias("end"), F.substring(F.col(text), start + 1, end - start).alias("said"),
-                F.substring(F.col(text), F.greatest(start - AROUND, F.lit(0)) + 1, F.least(start, F.lit(AROUND))).alias("before"), F.substring(F.col(text), end + 1, F.lit(AROUND)).alias("after"),
-            )
-
-        heads = F.filter(F.sequence(F.lit(1), F.size(toks)), lambda i: first(F.xxhash64(word(i))))
-        grams = lambda i: F.filter(F.array(*(F.lit(n) for n in lengths)), lambda n: (i + n - 1 <= F.size(toks)) & whole(F.xxhash64(F.array_join(F.transform(F.slice(toks, i, n), lambda x: x["t"]), " "))))
-        return F.flatten(F.transform(heads, lambda i: F.transform(grams(i), lambda n: one(i, n))))
-
-    read = F.transform(tokens(text, pattern), lambda x: F.struct(normal(x["t"]).alias("t"), x["start"], x["end"]))
-    hits = F.get(F.transform(F.array(read), lambda t: F.when(F.size(t) > 0, rows(t))), F.lit(0))  # the tokens are bound once
-    could = docs.select(*dict.fromkeys([*on, "row", *keep]), F.inline(hits))
+        table, told = F.lit(None).cast("binary"), lambda *_: F.lit(True)
+
+    def rows(parts: Column, taken: Column) -> Column:
+        first, whole = (lambda h: told(taken, h, "_heads")), (lambda h: told(taken, h, "_grams"))
+
+        # what lies between tokens and the tokens by turns; places are summed up only where a first token is met
+        words = F.transform(F.filter(F.sequence(F.lit(0), F.size(parts) - 1), lambda k: k % 2 == 1), lambda k: normal(F.get(parts, k)))
+
+        def met(toks: Column) -> Column:
+            gram = lambda i, n: F.array_join(F.slice(toks, i, n), " ")
+            heads = F.filter(F.sequence(F.lit(1), F.size(toks)), lambda i: first(F.xxhash64(F.element_at(toks, i))))
+            grams = lambda i: F.filter(F.array(*(F.lit(n) for n in lengths)), lambda n: (i + n - 1 <= F.size(toks)) & whole(F.xxhash64(gram(i, n))))
+
+            def placed(some: Column) -> Column:
+                def at(starts: Column) -> Column:
+                    def one(i: Column, n: Column) -> Column:
+                        start, last = F.get(starts, 2 * i - 1), 2 * (i + n - 1) - 1
+                        end = F.get(starts, last) + F.length(F.get(parts, last))
+                        return F.struct(
+                            (i - 1).alias("at"), n.alias("n"), gram(i, n).alias("gram"), start.alias("start"), end.alias("end"), F.substring(F.col(text), start + 1, end - start).alias("said"),
+                            F.substring(F.col(text), F.greatest(start - AROUND, F.lit(0)) + 1, F.least(start, F.lit(AROUND))).alias("before"), F.substring(F.col(text), end + 1, F.lit(AROUND)).alias("after"),
+                        )
+
+                    return F.flatten(F.transform(some, lambda x: F.transform(x["ns"], lambda n: one(x["i"], n))))
+
+                return F.when(F.size(some) > 0, _let(_starts(F.transform(parts, lambda p: F.length(p))), at))
+
+            return _let(F.filter(F.transform(heads, lambda i: F.struct(i.alias("i"), grams(i).alias("ns"))), lambda x: F.size(x["ns"]) > 0), placed)
+
+        return F.when(F.size(parts) > 1, _let(words, met))
+
+    marked = F.expr(Q.split(scan.marked(scan.clean(Q.col(text)), pattern), scan._CUT, -1).sql)
+    hits = _let(F.struct(marked.alias("p"), table.alias("t")), lambda x: rows(x["p"], x["t"]))  # the table stands in the plan once
+    # outer: else a filter would be inferred that computes the hits twice more
+    could = docs.select(*dict.fromkeys([*on, "row", *keep]), F.inline_outer(hits)).where("n is not null")
     return could.join(own, [*on, "n", "gram"]).drop("gram")
 
 
