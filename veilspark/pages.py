@@ -56,7 +56,7 @@ walk as (
   case when t.kind = 'a' and t.tag not in ('br', 'meta', 'link', 'img', 'hr') then w.tags || [t.tag] when t.kind = 'z' and list_contains(w.tags, t.tag) then w.tags[:len(w.tags) - list_position(list_reverse(w.tags), t.tag)] else w.tags end as tags,
   case when t.kind = 'a' and t.tag not in ('br', 'meta', 'link', 'img', 'hr') then w.up || [w.n] when t.kind = 'z' and list_contains(w.tags, t.tag) then w.up[:len(w.tags) - list_position(list_reverse(w.tags), t.tag)] else w.up end as up,
   w.n, w.size, w.last
-  from walk w join (select *, regexp_replace(replace(replace(replace(replace(t, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '[ \n\t\r\f\x{a0}]+', ' ', 'g') as u from kinds) t on t.page_id = w.page_id and t.k = w.k + 1)),
+  from walk w join (select *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '&quot;?', '"', 'g'), '&copy;?', '©', 'g'), '&middot;?', '·', 'g'), '&amp;?', '&', 'g'), '[ \n\t\r\f\x{a0}]+', ' ', 'g') as u from kinds) t on t.page_id = w.page_id and t.k = w.k + 1)),
 element as (select page_id, node, tag, case when tag in ('meta', 'link', 'img', 'hr') then up else up[:len(up) - 1] end as path, k from walk where kind = 'e'),
 stretch as (select page_id, up[-1] as node, up, start, start + length(said) as z, start + length(said) - length(ltrim(said)) as first, start + length(rtrim(said)) as last, said from walk where kind = 't' and said != '' and len(up) > 0)""".replace("BLOCKS", ", ".join(f"'{b}'" for b in sorted(html.BLOCK)))
 

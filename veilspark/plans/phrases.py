@@ -57,14 +57,14 @@ def sequence(name: str, pattern: str = TOKEN, normal: Callable[[Column], Column]
     return F.transform(tokens(name, pattern), lambda x: normal(x["t"]))
 
 
-def _slots(phrases: DataFrame, count: int) -> tuple[Column, int] | None:
-    """The table of slots that first tokens and phrases fall into, as a literal, and its size."""
-    size = LEAST
+def _slots(told: DataFrame) -> tuple[Column, int] | None:
+    """The table of slots that hashes (h, distinct) fall into, as a literal, and its size; None where it would be too large."""
+    count, size = told.count(), LEAST
     while size < SLOTS * count:
         size *= 2
     if size > MOST:
         return None
-    at = phrases.select(F.explode(F.array(F.xxhash64(F.element_at("toks", 1)), F.xxhash64("gram"))).alias("h")).select(F.pmod("h", F.lit(size)).alias("at")).distinct().toArrow()
+    at = told.select(F.pmod("h", F.lit(size)).alias("at")).distinct().toArrow()
     table = np.zeros(size, np.uint8)
     table[at.column(0).to_numpy()] = 1
     return F.lit(bytearray(table.tobytes())), size
@@ -82,11 +82,18 @@ def found(docs: DataFrame, phrases: DataFrame, on: list[str], text: str = "text"
     if on:
         hashes = own.groupBy(*on).agg(F.collect_set(F.xxhash64(F.element_at("toks", 1))).alias("_heads"), F.collect_set(F.xxhash64("gram")).alias("_grams"))
         docs = docs.join(hashes, on)
-        table, told = F.lit(None).cast("binary"), lambda _, h, name: F.array_contains(name, h)
-    elif slots := _slots(own, sum(r.c for r in told_of)):
-        table, told = slots[0], lambda taken, h, _: F.substring(taken, F.pmod(h, F.lit(slots[1])).cast("int") + 1, F.lit(1)) == F.lit(bytearray(b"\x01"))
+        tables = {}
+        told = lambda _, h, name: F.array_contains(name, h)
     else:
-        table, told = F.lit(None).cast("binary"), lambda *_: F.lit(True)
+        # first tokens are few, so that hardly any other token is taken for one
+        asked = {"_heads": F.element_at("toks", 1), "_grams": F.col("gram")}
+        tables = {name: _slots(own.select(F.xxhash64(c).alias("h")).distinct()) for name, c in asked.items()}
+        tables = {name: x for name, x in tables.items() if x}
+
+        def told(taken: Column, h: Column, name: str) -> Column:
+            if name not in tables:
+                return F.lit(True)
+            return F.substring(taken[name], F.pmod(h, F.lit(tables[name][1])).cast("int") + 1, F.lit(1)) == F.lit(bytearray(b"\x01"))
 
     def rows(parts: Column, taken: Column) -> Column:
         first, whole = (lambda h: told(taken, h, "_heads")), (lambda h: told(taken, h, "_grams"))
@@ -118,7 +125,8 @@ def found(docs: DataFrame, phrases: DataFrame, on: list[str], text: str = "text"
         return F.when(F.size(parts) > 1, _let(words, met))
 
     marked = F.expr(Q.split(scan.marked(scan.clean(Q.col(text)), pattern), scan._CUT, -1).sql)
-    hits = _let(F.struct(marked.alias("p"), table.alias("t")), lambda x: rows(x["p"], x["t"]))  # the table stands in the plan once
+    # the tables stand in the plan once
+    hits = _let(F.struct(marked.alias("_parts"), *(x[0].alias(name) for name, x in tables.items())), lambda x: rows(x["_parts"], x))
     # outer: else a filter would be inferred that computes the hits twice more
     could = docs.select(*dict.fromkeys([*on, "row", *keep]), F.inline_outer(hits)).where("n is not null")
     return could.join(own, [*on, "n", "gram"]).drop("gram")
