@@ -384,8 +384,8 @@ def _detects(name: str):
     def found(spark, sf_dir):
         docs = _planted(spark, sf_dir, made.text_of(name))
         out = detect.detections(docs, "n", only=(name,)).select("n", "start", "end", "label", "text")
-        if not scan.structured((name,)):
-            # names, dates, addresses and companies: what the sentence holds; what texts have of their own can't be said in SQL
+        if name in planted.PARTLY:
+            # what the sentence holds; what texts have of their own can't be said in SQL
             out = out.join(docs.select("n", "said_at", "said_length"), "n").where("start >= said_at and start < said_at + said_length")
         return out.select(F.col("n").alias("doc"), "start", "end", "label", "text")
 

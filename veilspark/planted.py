@@ -85,6 +85,8 @@ def sentence(cases: list | None = None) -> str:
 
 
 FIRST = "floor(n / 7) % 2 = 1"
+#: Detectors of which SQL can't say what texts have of their own.
+PARTLY = ("date", "address", "business")
 
 
 def around(said: str) -> str:
@@ -141,13 +143,13 @@ def all_sql(cases: list | None = None, own: tuple[str, ...] = ("address-ip", "ca
 
 
 def one_sql(detector: str) -> str:
-    """What one detector finds in documents with a sentence of made.DETECTED; for detectors of words (not of patterns) in the sentence alone."""
+    """What one detector finds in documents with a sentence of made.DETECTED; for those of PARTLY in the sentence alone."""
     cases = made.DETECTED[detector]
     parts = [
         f"select n, (said_at + {len(a)})::int as start, (said_at + {len(a)} + length({v}))::int as \"end\", {quoted(label)} as label, {v} as text from placed where n % {len(cases)} = {k}"
         for k, (a, v, _, label) in enumerate(cases) if label
     ]
-    if detector in OWN:
+    if detector in OWN and detector not in PARTLY:
         parts.append(f"select n, start, \"end\", label, text from ({own_sql((detector,))})")
     return f"with {placed_sql(made.text_of(detector))} select n as doc, start, \"end\", label, text from ({' union all '.join(parts)})"
 
