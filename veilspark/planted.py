@@ -11,7 +11,7 @@ from __future__ import annotations
 from veilspark import made
 from veilspark.functions.language import STOP_WORDS
 from veilspark.functions.patterns import LABELS
-from veilspark.functions.wordlists import TITLES
+from veilspark.functions.wordlists import ADDRESS_STOP, NAME_STOP, TITLES
 from veilspark.made import HEX, N3, N4, N5, N6, N7, N, quoted
 
 FILLER = "repeat('. ', 60)"
@@ -97,14 +97,18 @@ def around(said: str) -> str:
 #: What texts have of their own, in DuckDB's dialect: rule, label, confidence, pattern (before)(value)(after), condition.
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _LUHN = "(select sum(case when k % 2 = 0 then d when d > 4 then 2 * d - 9 else 2 * d end) from (select unnest(list_transform(string_split(reverse(regexp_replace(value, '[^0-9]', '', 'g')), ''), lambda x: x::int)) as d, unnest(range(length(regexp_replace(value, '[^0-9]', '', 'g')))) as k)) % 10 = 0"
+def _listed(words: str) -> str:
+    return ", ".join(quoted(w) for w in words.split())
+
+
 _TITLES = "|".join(x for t in TITLES for x in (t, t.upper()))
 OWN = {
     "address-ip": ("ipv4", IP, 0.95, rf"(^|[^\w.])((?:{_OCTET}\.){{3}}{_OCTET})($|[^\w.]|\.$|\.[^\d])", "true"),
     "card": ("card-number", CARD, 0.95, r"(^|[^\w-])(\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}|\d{4}[ -]?\d{6}[ -]?\d{5})($|[^\w-])", f"length(regexp_replace(value, '[^0-9]', '', 'g')) in (15, 16) and {_LUHN}"),
     "key": ("key-value", KEY, 0.9, r"((?i:\b(?:api[_ \t-]?key|secret|token)\b)[\"'']?[ \t]*[:=][ \t]*[\"'']?)([^\s,;\"'']{8,})()", "true"),
     "phone": ("phone-international", PHONE, 0.86, r"(^|[^\w+])(\+(?:[0-8]|9[02-9]|9\s)\d{0,2}[\s.-]?\(?\d{1,4}\)?(?:[\s.-]?\d{2,4}){2,4})($|[^\d])", "length(regexp_replace(value, '[^0-9]', '', 'g')) between 8 and 15"),
-    "name": ("name-title", "Person Name", 0.85, rf"((?:^|[^A-Za-z0-9_])(?:{_TITLES})(?:\.[ \t]*|[ \t]+))([A-Z][a-z]+(?:[ \t]+[A-Z][a-z]+){{0,3}})()", "length(value) > 1"),
-    "address": ("address-1-signals", "Person Address", 0.5, r"(^|\s)(St\. [A-Z][^\s,;:.\-–/&)\"”’]*)()", "true"),
+    "name": ("name-title", "Person Name", 0.85, rf"((?:^|[^A-Za-z0-9_])(?:{_TITLES})(?:\.[ \t]*|[ \t]+))([A-Z][a-z]+(?:[ \t]+[A-Z][a-z]+){{0,3}})()", f"length(value) > 1 and lower(split_part(value, ' ', 1)) not in ({_listed(NAME_STOP)})"),
+    "address": ("address-1-signals", "Person Address", 0.5, r"(^|\s)(St\. [A-Z][^\s,;:.\-–/&)\"”’]*)()", f"lower(split_part(value, ' ', 2)) not in ({_listed(ADDRESS_STOP)})"),
     "hash": ("hash-hex", "SHA/SSH/Hash Key", 0.85, r"(^|[^0-9a-zA-Z_])([0-9a-f]{128}|[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32}|[0-9A-F]{64}|[0-9A-F]{40})($|[^0-9a-zA-Z_])", "regexp_matches(value, '[0-9]') and regexp_matches(value, '[a-fA-F]')"),
 }
 
