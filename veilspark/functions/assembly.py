@@ -10,7 +10,7 @@ from collections import Counter
 from dataclasses import asdict, dataclass, field, replace
 from itertools import takewhile
 
-from veilspark.functions.rowmatch import key, same_line
+from veilspark.functions.rowmatch import digits, key, same_line
 
 #: Misses after which a document starts over, if it may; characters that a read has at least.
 MOST_MISSES, LEAST_CHARS = 3, 20
@@ -44,11 +44,11 @@ class Assembly:
     def load(cls, d: dict) -> Assembly:
         return cls([Row(**r) for r in d["rows"]], d["misses"], d["reads"], d["pieces"])
 
-    def _row(self, r: dict, piece: int) -> Row:
-        return Row(r["text"], key(r["text"]), r.get("words") or [], bool(r.get("para")), r.get("labels") or [], True, piece)
+    def _row(self, r: dict, k: str, piece: int) -> Row:
+        return Row(r["text"], k, r.get("words") or [], bool(r.get("para")), r.get("labels") or [], True, piece)
 
-    def _start(self, read: list[dict]) -> str:
-        self.rows, self.misses, self.reads, self.pieces = [self._row(r, 1) for r in read], 0, 1, 1
+    def _start(self, read: list[dict], keys: list[str]) -> str:
+        self.rows, self.misses, self.reads, self.pieces = [self._row(r, k, 1) for r, k in zip(read, keys)], 0, 1, 1
         return "new"
 
     def _meetings(self, keys: list[str]) -> list[tuple[int, int]]:
@@ -57,10 +57,21 @@ class Assembly:
         for j, row in enumerate(self.rows):
             if len(row.key) >= 4:
                 places.setdefault(row.key, []).append(j)
-        met = []
+        met: list[tuple[int, int]] = []
+        by_digits: dict[str, list[int]] | None = None
         for i, k in enumerate(keys):
-            could = places.get(k) or [j for j, row in enumerate(self.rows) if row.like(k)]
-            met += [(i, j) for j in could] if k in places or len(could) == 1 else []
+            if k in places:
+                met += [(i, j) for j in places[k]]
+                continue
+            if len(k) >= 4:  # no row is equal, and only rows of equal digits can be near
+                if by_digits is None:
+                    by_digits = {}
+                    for j, row in enumerate(self.rows):
+                        by_digits.setdefault(digits(row.key), []).append(j)
+                could = [j for j in by_digits.get(digits(k), ()) if self.rows[j].like(k)]
+            else:
+                could = [j for j, row in enumerate(self.rows) if row.key == k]
+            met += [(i, j) for j in could] if len(could) == 1 else []
         return met
 
     def _offset(self, keys: list[str]) -> int | None:
@@ -81,30 +92,31 @@ class Assembly:
             row.shown = False
         if sum(len(r["text"]) for r in read) < LEAST_CHARS:
             return "ignored"
+        keys = [key(r["text"]) for r in read]
         if not self.rows:
-            return self._start(read)
-        d = self._offset([key(r["text"]) for r in read])
+            return self._start(read, keys)
+        d = self._offset(keys)
         if d is None and keep_unmatched and not start_over:
             self.misses, self.pieces = 0, self.pieces + 1
-            self.rows += [self._row(r, self.pieces) for r in read]
+            self.rows += [self._row(r, k, self.pieces) for r, k in zip(read, keys)]
             return "merged"
         if d is None:
             self.misses += 1
-            return self._start(read) if start_over and self.misses >= MOST_MISSES else "ignored"
+            return self._start(read, keys) if start_over and self.misses >= MOST_MISSES else "ignored"
         self.misses, self.reads = 0, self.reads + 1
-        self._merge(read, d)
+        self._merge(read, keys, d)
         return "merged"
 
-    def _merge(self, read: list[dict], d: int) -> None:
+    def _merge(self, read: list[dict], keys: list[str], d: int) -> None:
         """Lays a read over the piece that most of its rows are of. What reaches beyond the piece goes on from it, over
         rows of its neighbours as long as they are the same lines, which makes one piece of both, and else before them."""
         rows = self.rows
-        met = Counter(rows[i + d].piece for i, r in enumerate(read) if 0 <= i + d < len(rows) and rows[i + d].like(key(r["text"])))
+        met = Counter(rows[i + d].piece for i, k in enumerate(keys) if 0 <= i + d < len(rows) and rows[i + d].like(k))
         piece = met.most_common(1)[0][0]
         own = {piece}
         first = next(j for j, row in enumerate(rows) if row.piece == piece)
         last = first + sum(1 for _ in takewhile(lambda row: row.piece == piece, rows[first:])) - 1
-        laid = [(i + d, self._row(r, piece)) for i, r in enumerate(read)]
+        laid = [(i + d, self._row(r, k, piece)) for i, (r, k) in enumerate(zip(read, keys))]
         body = rows[first : last + 1]
         for j, row in laid:
             if first <= j <= last:

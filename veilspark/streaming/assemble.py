@@ -15,8 +15,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -28,6 +31,8 @@ DOCUMENT = "task_id string, seq long, side string, result string, n_rows long, p
 EVERY, BURST, READS = "1500 milliseconds", "600 milliseconds", 60
 #: Reads without text after which the documents have to be looked for again.
 AWAY = 4
+#: Reads of a batch taken at once, and characters and rows that are given on together.
+STEP, MOST_CHARS, MOST_ROWS = 64, 1 << 22, 1 << 12
 
 
 @dataclass
@@ -91,8 +96,28 @@ def assemble(reads: DataFrame, start_over: bool = False) -> DataFrame:
 
 
 def assemble_batch(reads: DataFrame, start_over: bool = False) -> DataFrame:
-    """The same over a finished table."""
-    return reads.groupBy("task_id").applyInPandas(lambda key, frame: _stepped(key[0], {}, frame.to_dict("records"), start_over)[1], DOCUMENT)
+    """The same over a finished table: sorted reads run through, of which one task is held at a time."""
+    kinds = T.StructType.fromDDL(DOCUMENT)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema, task, own = to_arrow_schema(kinds), None, None
+        out, size = [], 0
+        for b in batches:
+            for k in range(0, b.num_rows, STEP):
+                for r in b.slice(k, STEP).to_pylist():
+                    if own is None or r["task_id"] != task:
+                        task, own = r["task_id"], Task()
+                    shown = own.add(r, start_over)
+                    if shown:
+                        out.append({"task_id": task, "seq": r["seq"], "side": r["side"], **shown})
+                        size += len(shown["text"])
+                    if size >= MOST_CHARS or len(out) >= MOST_ROWS:
+                        yield pa.RecordBatch.from_pylist(out, schema)
+                        out, size = [], 0
+        yield pa.RecordBatch.from_pylist(out, schema)
+
+    asked = reads.select("task_id", "seq", "side", "header", "rows")
+    return asked.repartition("task_id").sortWithinPartitions("task_id", "seq").mapInArrow(run, kinds)
 
 
 def snapshots(spark: SparkSession, folder: str, per_trigger: int = READS) -> DataFrame:
