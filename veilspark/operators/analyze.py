@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from veilspark.functions import layout, locate, rowmatch
 from veilspark.operators import compare, verify, view
 from veilspark.plans.materialize import once
+from veilspark.sources.html import parts
 
 
 def moved(found: DataFrame, pairs: DataFrame, id_col: str = "pair_id", left: str = "left_text", right: str = "right_text") -> DataFrame:
@@ -35,15 +38,16 @@ def analyze(pairs: DataFrame, id_col: str = "pair_id", left: str = "left_text",
 
 
 def _by_row(df: DataFrame, columns: list[str], schema: str, f: Callable[..., list[tuple]], keep: str) -> DataFrame:
-    names = [x.split()[0] for x in schema.split(",")]
-    kind = df.schema[keep].dataType.simpleString()
+    out = T.StructType([T.StructField(keep, df.schema[keep].dataType), *T.StructType.fromDDL(schema)])
 
-    def run(frames):
-        for frame in frames:
-            out = [(k, *row) for k, *given in frame.itertuples(index=False, name=None) for row in f(*given)]
-            yield pd.DataFrame(out, columns=[keep, *names])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = to_arrow_schema(out)
+        for b in (part for batch in batches for part in parts(batch)):
+            found = [(k, row) for k, given in enumerate(zip(*(c.to_pylist() for c in b.columns[1:]))) for row in f(*given)]
+            columns = zip(*(row for _, row in found)) if found else [()] * (len(kinds) - 1)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([k for k, _ in found], pa.int32())), *(pa.array(c, x.type) for c, x in zip(columns, list(kinds)[1:]))], schema=kinds)
 
-    return df.select(keep, *columns).mapInPandas(run, f"{keep} {kind}, {schema}")
+    return df.select(keep, *columns).mapInArrow(run, out)
 
 
 def read_rows(reads: DataFrame, id_col: str, read_col: str = "read") -> DataFrame:
