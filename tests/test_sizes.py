@@ -37,3 +37,35 @@ def test_colours_of_reads_by_arrow(spark):
     assert "MapInArrow" in found._jdf.queryExecution().toString()
     got = found.groupBy(F.col("read_id") % 4, "site_label", "start", "end", "text", "hex", "count").count().collect()
     assert {tuple(r) for r in got} == {(0, "Person Name", 0, 5, "Alpha", None, 0, 175), (1, None, None, None, "Alpha", "#c8c896", 1, 175)}
+
+
+def test_batches_are_taken_up_in_parts(spark, monkeypatch):
+    import pyarrow as pa
+
+    from veilspark.operators import analyze, detect
+    from veilspark.sources import html, nodes
+
+    assert [len(x) for x in html.parts(pa.array(range(2 * html.STEP + 1)))] == [html.STEP, html.STEP, 1] and not list(html.parts(pa.array([])))
+    n = 3 * html.STEP + 5
+    pages = spark.range(n).coalesce(1).selectExpr("id as page_id", "case when id % 7 > 0 then concat('<p>Page <b>', id, '</b></p>') end as html")
+    texts = pages.select("page_id", html.text_of(F.col("html")).alias("t"))
+    assert "ArrowEvalPython" in texts._jdf.queryExecution().toString()
+    assert {r.page_id: r.t for r in texts.collect()} == {k: f"Page {k}\n" if k % 7 else "" for k in range(n)}
+    assert nodes.nodes(pages).groupBy("page_id").count().where("count = 2").count() == sum(k % 7 > 0 for k in range(n))
+    said = spark.range(n).coalesce(1).selectExpr("id as doc_id", "concat('he works at Zentrix Technologies Pvt Ltd now, ', id) as text")
+    assert {(r.doc_id, r.text) for r in detect.detections(said, only=("business",)).collect()} == {(k, "Zentrix Technologies Pvt Ltd") for k in range(n)}
+    rows = spark.range(n).coalesce(1).selectExpr("id as pair_id", "array('one two', concat('row ', id, ' said')) as left_rows", "array(concat('row ', id, ' said'), 'one two') as right_rows")
+    out = analyze.reorder(rows)
+    assert "MapInArrow" in out._jdf.queryExecution().toString()
+    assert {tuple(r) for r in out.collect()} == {x for k in range(n) for x in ((k, 0, 1, "one two", 2), (k, 1, 0, f"row {k} said", 2))}
+
+
+def test_letters_are_counted_without_a_match_for_each(spark):
+    from veilspark.functions import language
+
+    said = {"": None, "a1b2c3d4e5f6g7": None, "abc defgh": "English", "la casa de los amigos": "Spanish", "अआइई उऊऋए": "Hindi/Marathi (Devanagari)", "e\u0301 1 2 abcdef": "English", "1234567 !?": None}
+    docs = spark.createDataFrame(list(said), "string")
+    got = docs.select("value", language.language_of(F.col("value")), language.letters(F.col("value")))
+    assert "regexp_count" not in docs.select(language.letters(F.col("value")))._jdf.queryExecution().analyzed().toString().lower()
+    rows = got.collect()
+    assert {r[0]: r[1] for r in rows} == said and [r[2] for r in rows] == [0, 7, 8, 17, 8, 8, 0]
