@@ -7,7 +7,8 @@ import json
 from pyspark.sql import functions as F
 
 from veilspark.functions import rowmatch
-from veilspark.operators import colours
+from veilspark.operators import colours, lexicon
+from veilspark.plans import phrases
 from veilspark.streaming import assemble
 
 
@@ -69,3 +70,15 @@ def test_letters_are_counted_without_a_match_for_each(spark):
     assert "regexp_count" not in docs.select(language.letters(F.col("value")))._jdf.queryExecution().analyzed().toString().lower()
     rows = got.collect()
     assert {r[0]: r[1] for r in rows} == said and [r[2] for r in rows] == [0, 7, 8, 17, 8, 8, 0]
+
+
+def test_names_are_keyed_and_places_told_by_few_steps(spark):
+    names = spark.createDataFrame(["Zen  Pvt. Ltd. Group Inc", "Zen Group and Co.", "Ltd", " Ltd.", "A .", "., Inc", "", "Inc\u00a0Ltd ltd LTD Inc", "Tom\u2019s  AND Co"], "string")
+    keyed = names.select("value", lexicon.name_key(F.col("value")).alias("k"))
+    assert keyed._jdf.queryExecution().analyzed().toString().count("regexp_replace(") <= 7
+    assert [r.k for r in keyed.collect()] == ["zen", "zen group and", "ltd", "ltd", "a", ".,", "", "inc ltd", "tom's and"]
+    # only what lies between candidates is measured, not each part of a text
+    docs, own = spark.createDataFrame([(0, "x " * 30000 + "\u65e5 \U0001f600 ravi  kumar, " + "y " * 30000 + "ravi kumar ravi")], "row int, text string"), spark.createDataFrame([(["ravi", "kumar"],), (["ravi"],)], "toks array<string>")
+    hits = phrases.found(docs, own, [])
+    assert "_parts, lambdafunction(length(" not in hits._jdf.queryExecution().analyzed().toString()
+    assert sorted((r.start, r.end, r.said) for r in hits.collect()) == [(60004, 60008, "ravi"), (60004, 60015, "ravi  kumar"), (120017, 120021, "ravi"), (120017, 120027, "ravi kumar"), (120028, 120032, "ravi")]
