@@ -82,3 +82,22 @@ def test_names_are_keyed_and_places_told_by_few_steps(spark):
     hits = phrases.found(docs, own, [])
     assert "_parts, lambdafunction(length(" not in hits._jdf.queryExecution().analyzed().toString()
     assert sorted((r.start, r.end, r.said) for r in hits.collect()) == [(60004, 60008, "ravi"), (60004, 60015, "ravi  kumar"), (120017, 120021, "ravi"), (120017, 120027, "ravi kumar"), (120028, 120032, "ravi")]
+
+
+def test_selectors_read_each_page_once(spark):
+    from veilspark.sources import nodes
+
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    said = "concat('<html><body><p name=\"a', id % 3, '\">x <b>', id, '</b></p><p class=\"note\">y</p><p class=\"note\">z</p></body></html>')"
+    pages = spark.range(40).selectExpr("nullif(id, 7) as page_id", f"case when id % 5 > 0 then {said} end as html").mapInArrow(seen, "page_id long, html string")
+    out = nodes.selectors(nodes.nodes(pages)).collect()
+    assert read.value == 40
+    got = {(r.page_id, r.node): r.selector for r in out}
+    of = lambda k: ["html", "body", f'p[name="a{k % 3}"]', f'p[name="a{k % 3}"] > b', "body > p.note:nth-of-type(2)", "body > p.note:nth-of-type(3)"]
+    assert len(out) == len(got) and got == {(k, n): s for k in range(40) if k % 5 and k != 7 for n, s in enumerate(of(k))}
