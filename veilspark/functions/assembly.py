@@ -44,11 +44,12 @@ class Assembly:
     def load(cls, d: dict) -> Assembly:
         return cls([Row(**r) for r in d["rows"]], d["misses"], d["reads"], d["pieces"])
 
-    def _row(self, r: dict, k: str, piece: int) -> Row:
-        return Row(r["text"], k, r.get("words") or [], bool(r.get("para")), r.get("labels") or [], True, piece)
+    def _row(self, r: dict, piece: int, k: str | None = None) -> Row:
+        """k: the key of the row's text, where it is known."""
+        return Row(r["text"], key(r["text"]) if k is None else k, r.get("words") or [], bool(r.get("para")), r.get("labels") or [], True, piece)
 
     def _start(self, read: list[dict], keys: list[str]) -> str:
-        self.rows, self.misses, self.reads, self.pieces = [self._row(r, k, 1) for r, k in zip(read, keys)], 0, 1, 1
+        self.rows, self.misses, self.reads, self.pieces = [self._row(r, 1, k) for r, k in zip(read, keys)], 0, 1, 1
         return "new"
 
     def _meetings(self, keys: list[str]) -> list[tuple[int, int]]:
@@ -98,7 +99,7 @@ class Assembly:
         d = self._offset(keys)
         if d is None and keep_unmatched and not start_over:
             self.misses, self.pieces = 0, self.pieces + 1
-            self.rows += [self._row(r, k, self.pieces) for r, k in zip(read, keys)]
+            self.rows += [self._row(r, self.pieces, k) for r, k in zip(read, keys)]
             return "merged"
         if d is None:
             self.misses += 1
@@ -116,7 +117,7 @@ class Assembly:
         own = {piece}
         first = next(j for j, row in enumerate(rows) if row.piece == piece)
         last = first + sum(1 for _ in takewhile(lambda row: row.piece == piece, rows[first:])) - 1
-        laid = [(i + d, self._row(r, k, piece)) for i, (r, k) in enumerate(zip(read, keys))]
+        laid = [(i + d, self._row(r, piece, k)) for i, (r, k) in enumerate(zip(read, keys))]
         body = rows[first : last + 1]
         for j, row in laid:
             if first <= j <= last:
