@@ -8,7 +8,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from veilspark.functions import addresses, known, language, people
-from veilspark.operators import compare, verify
+from veilspark.operators import analyze, compare, verify
 
 WORDS = ["the", "der", "und", "le", "aap", "a1-b2c", "x9@zz.", "K1L2;", "{a=1};", "foo()", "§§§", "12.5%", "x" * 45, "name:", "Straße", "é", "end."]
 
@@ -62,6 +62,19 @@ def test_each_row_has_its_report(spark):
     assert (by[1].verdict, by[1].main_language, by[2].verdict, by[3].total_letters, by[3].languages, by[None].verdict) == ("other", "French", "english", 0, None, "english")
 
 
+def test_both_stages_see_a_pair_once(spark, monkeypatch):
+    calls = []
+    for module in (compare, verify):
+        real = module.pair_rows
+        monkeypatch.setattr(module, "pair_rows", lambda *a, real=real: calls.append(1) or real(*a))
+    left = "Write to ann@gmail.com or call +44 20 7946 0018 now. Mr. Ravi Kumar said so."
+    pairs = spark.createDataFrame([(1, left, left.replace("ann@gmail.com", "bob@yahoo.com")), (2, left, left), (3, None, "")], "pair_id long, left_text string, right_text string")
+    out = analyze.analyze(pairs, labels=None)
+    assert len(calls) == 1
+    for got, want in ((out["L1"], compare.identify(compare.compare(pairs, labels=None))), (out["L2"].drop("moved"), verify.verify(pairs))):
+        assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
 def test_words_are_made_near_anchors_alone(monkeypatch):
     made = []
 

@@ -26,15 +26,25 @@ def moved(found: DataFrame, pairs: DataFrame, id_col: str = "pair_id", left: str
     return found.join(texts, id_col, "left").withColumn("moved", (F.col("category") == "UNKNOWN_TEXT") & ((F.length(said) < 4) | there)).drop("_l", "_r")
 
 
+def both(pairs: DataFrame, id_col: str = "pair_id", left: str = "left_text", right: str = "right_text", labels: str | None = "labels") -> DataFrame:
+    """(id, stage, l1, l2): compare()'s rows as l1 of stage 1, and what verify's kernel sees as l2 of stage 2."""
+    kinds = T.StructType([T.StructField("stage", T.IntegerType()), T.StructField("l1", compare.FINDING), T.StructField("l2", verify.RAW)])
+    named = lambda kind, row: dict(zip(kind.names, row))
+    make = lambda p: [(1, named(compare.FINDING, r), None) for r in p.findings()] + [(2, None, named(verify.RAW, r)) for r in verify.Walk(p).all()]
+    return compare.pair_rows(pairs, make, kinds, id_col, left, right, labels)
+
+
 def analyze(pairs: DataFrame, id_col: str = "pair_id", left: str = "left_text", right: str = "right_text", labels: str | None = "labels") -> dict[str, DataFrame]:
-    """L1, L2, items, other and summary, as DataFrames that share nothing but the pairs."""
-    l1 = once(compare.identify(compare.compare(pairs, id_col, left, right, labels)))
-    l2 = once(moved(verify.verify(pairs, id_col, left, right, labels), pairs, id_col, left, right))
+    """L1, L2, items, other and summary, as DataFrames. Both stages look at a pair that is detected and aligned once, and
+    texts are read again for nothing but what L2 says of moved text."""
+    rows = once(both(pairs, id_col, left, right, labels))
+    l1 = compare.identify(rows.where("stage = 1").select(id_col, "l1.*"))
+    l2 = once(verify.verify(pairs, id_col, left, right, labels, rows.where("stage = 2").select(id_col, "l2.*")))
     marks = None
     if labels:
         marks = pairs.select(id_col, F.explode(labels).alias("x")).select(id_col, F.col("x.start").alias("b_start"), F.col("x.end").alias("b_end"), F.col("x.raw_label").alias("raw_label"))
     found, other = view.items(l1, l2, marks, id_col), view.other_changes(l2, id_col)
-    return {"L1": l1, "L2": l2, "items": found, "other": other, "summary": view.summary(found, other, id_col)}
+    return {"L1": l1, "L2": moved(l2, pairs, id_col, left, right), "items": found, "other": other, "summary": view.summary(found, other, id_col)}
 
 
 def _by_row(df: DataFrame, columns: list[str], schema: str, f: Callable[..., list[tuple]], keep: str) -> DataFrame:
