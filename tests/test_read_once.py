@@ -112,3 +112,12 @@ def test_public_names_are_sought_where_words_changed(monkeypatch):
     monkeypatch.setattr(known, "find", lambda text, extra=(): 1 / 0)
     text = "We went to Infosys over the hill."
     assert verify.Walk(compare.Pair(text, text, [])).all() == []
+
+
+def test_repeats_of_few_names_are_sought_and_are_the_same(monkeypatch):
+    rng = random.Random(8)
+    few = "Mr. Ravi Kumar O'Brien Rao-Patil R. Ravi. Raviji xRavi Kumar,Dr Asha Shah Ravi\nRavi é éRavi Ravié Mrs. Lu Verma_ _Asha".split(" ")
+    said = [" ".join(rng.choice(few) for _ in range(rng.choice([6, 20, 60]))) for _ in range(1000)]
+    got = [people.names(t) for t in said]
+    monkeypatch.setattr(people, "FEW_NAMES", -1)
+    assert got == [people.names(t) for t in said] and sum(s.rule.startswith("name-repeat") for x in got for s in x) > 1000
